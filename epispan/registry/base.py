@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from epispan.session import configure
 
-MODULES = ("cohort",)
+MODULES = ("cohort", "covariate")
 
 
 @dataclass(frozen=True)
