@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from epispan.session import configure
 
-MODULES = ("cohort", "covariate")
+MODULES = ("cohort", "covariate", "statistic")
 
 
 @dataclass(frozen=True)
@@ -19,6 +19,7 @@ class Query:
     run: Callable[[SparkSession, str], DataFrame]
     sql: str | None
     covers: tuple[str, ...]
+    module: str
 
 
 REGISTRY: dict[str, Query] = {}
@@ -34,7 +35,8 @@ def query(name: str, covers: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(configure(spark), sf_dir)
 
-        REGISTRY[name] = Query(name, run, sql, tuple(covers.split()))
+        module = fn.__module__.rsplit(".", 1)[-1]
+        REGISTRY[name] = Query(name, run, sql, tuple(covers.split()), module)
         return fn
 
     return register

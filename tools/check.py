@@ -1,4 +1,4 @@
-"""Run registered queries and compare them with their SQL: ``python tools/check.py [sf] [name...]``."""
+"""Run registered queries and compare them with their SQL: ``python tools/check.py [sf] [name | module:]...``."""
 
 from __future__ import annotations
 
@@ -62,7 +62,7 @@ def main() -> int:
         duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
     bad = 0
     for name, entry in load_all().items():
-        if args and not any(a in name for a in args):
+        if args and not any(a in (name, entry.module + ":") for a in args):
             continue
         start = time.time()
         try:
