@@ -61,12 +61,13 @@ def hash_rank(
     return rank_in_cells(keyed, list(by), ["_cell"], ["_hash", id_col], out).drop("_hash")
 
 
-def value_splits(frame: DataFrame, value: str, n_cells: int) -> list[float]:
+def value_splits(frame: DataFrame, value: str, n_cells: int, shift: float = 0.0) -> list[float]:
     """Cell edges for a double column from a mergeable quantile sketch.
 
-    A value that spans several edges is frequent; it gets a cell of its own.
+    A value that spans several edges is frequent; it gets a cell of its own.  ``shift`` moves the
+    edges by a share of a cell.
     """
-    probs = [k / n_cells for k in range(1, n_cells)]
+    probs = [(k + shift) / n_cells for k in range(1, n_cells) if k + shift < n_cells]
     if not probs:
         return [-math.inf, math.inf]
     sketch = frame.agg(
@@ -83,6 +84,8 @@ def value_splits(frame: DataFrame, value: str, n_cells: int) -> list[float]:
 
 def assign_cells(frame: DataFrame, value: str, splits: Sequence[float], out: str) -> DataFrame:
     """Cell number of each value by binary search on the edges."""
+    if len(splits) == 2:
+        return frame.withColumn(out, F.lit(0))
     bucketed = Bucketizer(
         splits=list(splits), inputCol=value, outputCol=out, handleInvalid="error"
     ).transform(frame)
