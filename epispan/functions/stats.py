@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 LOGIT_GUARD = 1e-15
 SCORE_GUARD = 1e-10
@@ -99,7 +100,7 @@ def _beta_share(a: float, b: float, x: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p value of a t statistic; meant for result tables."""
     out = [
@@ -109,7 +110,7 @@ def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out, index=t.index, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p_value(x: pd.Series) -> pd.Series:
     """Upper tail of a chi-square with one degree of freedom; meant for result tables."""
     out = [np.nan if pd.isna(v) else math.erfc(math.sqrt(max(v, 0.0) / 2)) for v in x]

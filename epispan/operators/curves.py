@@ -99,6 +99,17 @@ def kaplan_meier(frame: DataFrame, time: str, event: str, by: Sequence[str] = ()
     )
 
 
+def censoring_curve(daily: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Censoring survival from daily counts with ``leaving`` and ``n_events``."""
+    from_here = Window.partitionBy(*by).orderBy("t").rowsBetween(0, Window.unboundedFollowing)
+    rows = daily.withColumn("n_risk", F.sum("leaving").over(from_here)).withColumn(
+        "n_censored", F.col("leaving") - F.col("n_events")
+    )
+    left = F.greatest(F.col("n_risk") - F.col("n_events"), F.lit(1))
+    curve = F.exp(F.sum(_log_keep("n_censored", left)).over(_upto(by, "t")))
+    return rows.select(*by, "t", curve.alias("cens_surv"))
+
+
 def aalen_johansen(
     frame: DataFrame, time: str, event: str, by: Sequence[str] = (), cause: int = 1
 ) -> DataFrame:

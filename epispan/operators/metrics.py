@@ -171,7 +171,7 @@ def _across_cells(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def uno_weights(at_own_time: DataFrame, tau: float | None = None) -> DataFrame:
+def uno_weights(at_own_time: DataFrame, tau: float | Column | None = None) -> DataFrame:
     """Squared inverse censoring survival per group and day, zero from ``tau`` on."""
     inverse = 1 / (F.col("cens_surv") * F.col("cens_surv"))
     inverse = F.when(F.col("cens_surv") > 0, inverse).otherwise(0.0)

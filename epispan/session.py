@@ -40,9 +40,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(frame: DataFrame, label: str = "cut") -> DataFrame:
-    """Write a frame to the shared folder and read it back, so lineage ends in durable files."""
+def cut(frame: DataFrame, label: str = "cut", by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a frame to the shared folder and read it back, so lineage ends in durable files.
+
+    ``by`` partitions the files, so later filters on those columns read only their part.
+    """
     spark = frame.sparkSession
     path = scratch_path(spark, label)
-    frame.write.parquet(path)
+    writer = frame.write.partitionBy(*by) if by else frame.write
+    writer.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
