@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from epispan.session import configure
 
-MODULES = ("cohort", "covariate", "statistic", "matching", "estimation")
+MODULES = ("cohort", "covariate", "statistic", "matching", "estimation", "files")
 
 
 @dataclass(frozen=True)

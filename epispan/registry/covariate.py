@@ -35,7 +35,7 @@ def wide_at_index(spark, sf):
 COHORT = f"{PERSONS}, co AS (SELECT person_id, index_date FROM dated WHERE index_date IS NOT NULL)"
 FIELD_NAME = "CASE field WHEN '101' THEN 'bmi' WHEN '102' THEN 'pressure' ELSE 'education' END"
 
-ASOF = f"""{COHORT}, {VISITS},
+ASOF_TAIL = f"""{VISITS},
 latest_long AS (
   SELECT person_id, {FIELD_NAME} AS field, arr, arg_max(value, (visit_date, visit)) AS value
   FROM co JOIN long_values ON eid = person_id AND visit_date <= index_date GROUP BY ALL),
@@ -47,6 +47,7 @@ latest AS (
     max(value) FILTER (WHERE field = 'pressure' AND arr = 1) AS pressure_1
   FROM co LEFT JOIN latest_long USING (person_id) GROUP BY person_id)
 """
+ASOF = f"{COHORT}, {ASOF_TAIL}"
 
 
 @query(
@@ -181,7 +182,7 @@ def _keep(spark, sf):
 
 
 IN_WINDOW = "code_date > index_date - 5 * 365 AND code_date <= index_date"
-FEATURES = f"""{COHORT}, {CODED}, features AS (
+FEATURES_TAIL = f"""{CODED}, features AS (
   SELECT co.person_id, count(code) FILTER (WHERE {IN_WINDOW}) AS num_diagnoses,
     count(drug_code) FILTER (WHERE {IN_WINDOW}) AS num_drugs,
     coalesce(bool_or(regexp_matches(code, '^(?:E[01].*)') AND code_date <= index_date), false) AS econ_early,
@@ -191,6 +192,7 @@ FEATURES = f"""{COHORT}, {CODED}, features AS (
     CAST(date_diff('day', max(code_date) FILTER (WHERE code_date <= index_date), any_value(index_date)) AS INTEGER) AS days_since_last
   FROM co LEFT JOIN coded c ON c.person_id = co.person_id GROUP BY co.person_id)
 """
+FEATURES = f"{COHORT}, {FEATURES_TAIL}"
 
 
 def diagnosis_features(spark, sf):

@@ -6,11 +6,17 @@ from pyspark.sql import functions as F
 
 from epispan.functions import stats
 from epispan.operators import curves as K
+from epispan.operators import hazards as H
 from epispan.operators import metrics as E
+from epispan.operators import propensity as Q
 from epispan.operators import sampling as P
+from epispan.operators import summaries as M
+from epispan.operators import tmle as T
+from epispan.params import HazardParams
 from epispan.registry.base import query
 from epispan.registry.sql import SEED, hashed
 from epispan.registry.statistic import FOLLOWUP, followup
+from epispan.session import cut
 
 GRID = tuple(range(0, 2401, 200))
 EVAL_TIMES = (400.0, 800.0, 1200.0, 1600.0)
@@ -201,3 +207,255 @@ def _ibs(spark, sf):
 def _risk(spark, sf):
     score = stats.risk_score(F.col("curve"))
     return predicted(spark, sf).select("person_id", F.round(score, 6).alias("risk_score"))
+
+
+# One simple curve model per person stands in for fitted hazards where SQL recomputes the result.
+STEP_TARGETS = (600.0, 1200.0, 1800.0)
+
+
+def step_target():
+    return T.Target(
+        "person_id", "hospitalized", "event_indicator", "propensity", GRID_F, STEP_TARGETS, bound=0.05
+    )
+
+
+GRID_F = tuple(float(t) for t in GRID)
+
+
+def curve_frame(spark, sf):
+    """Constant hazards per person and arm, shared censoring curve, and a propensity."""
+    lift = 1 + F.col("c_nationkey") / 50
+    arrays = {}
+    for arm in (0, 1):
+        for cause, base in ((1, 0.06), (2, 0.03)):
+            value = lift * (base * (1 + 0.3 * arm))
+            arrays[H.haz_name(cause, arm)] = F.array_repeat(value, len(GRID))
+        stay = [0.98 ** (k + 1) for k in range(len(GRID))]
+        arrays[H.cens_name(arm)] = F.array(*[F.lit(s) for s in stay])
+    rows = followup(spark, sf).withColumns(arrays)
+    rows = rows.withColumn("own", H.grid_index("event_time", GRID))
+    return rows.withColumn("propensity", 0.2 + F.col("c_nationkey") / 100)
+
+
+INFLUENCE = f"""{FOLLOWUP},
+cf AS (
+  SELECT person_id, hospitalized, event_indicator, least(event_time // 200, {len(GRID) - 1}) AS own, arm,
+    CASE WHEN arm = 1 THEN 0.2::DOUBLE + c_nationkey / 100 ELSE 1 - (0.2::DOUBLE + c_nationkey / 100) END AS pi,
+    (1 + c_nationkey / 50) * (0.06::DOUBLE * (1 + 0.3::DOUBLE * arm)) AS h1, (1 + c_nationkey / 50) * (0.03::DOUBLE * (1 + 0.3::DOUBLE * arm)) AS h2
+  FROM followup, (SELECT unnest([0, 1]) AS arm)),
+st AS (
+  SELECT cf.*, s, pow(1 - h1 - h2, s + 1) AS surv, (1 - pow(1 - h1 - h2, s + 1)) / (h1 + h2) AS mass,
+    1 / (greatest(pi, 0.05) * greatest(pow(0.98::DOUBLE, s), 0.05)) AS weight,
+    CASE WHEN hospitalized = (arm = 1) THEN 1 ELSE 0 END AS own_arm,
+    CASE WHEN own = s AND event_indicator = 1 THEN 1 ELSE 0 END - CASE WHEN s <= own THEN h1 ELSE 0 END AS m1,
+    CASE WHEN own = s AND event_indicator = 2 THEN 1 ELSE 0 END - CASE WHEN s <= own THEN h2 ELSE 0 END AS m2
+  FROM cf, (SELECT unnest(range({len(GRID)})) AS s)),
+per_arm AS (
+  SELECT k.person_id, k.arm, ev AS event, k.s * 200.0::DOUBLE AS target_time, any_value(k.mass * CASE ev WHEN 1 THEN k.h1 ELSE k.h2 END) AS f,
+    sum(x.weight * x.own_arm * (CASE ev WHEN 1 THEN x.m1 ELSE x.m2 END
+      - (k.mass - x.mass) * CASE ev WHEN 1 THEN k.h1 ELSE k.h2 END / x.surv * (x.m1 + x.m2))) AS m
+  FROM st k JOIN st x ON x.person_id = k.person_id AND x.arm = k.arm AND x.s <= k.s, (SELECT unnest([1, 2]) AS ev)
+  WHERE k.s IN (3, 6, 9) GROUP BY k.person_id, k.arm, ev, k.s),
+inf AS (
+  SELECT person_id, event, target_time, max(f) FILTER (WHERE arm = 1) AS f1, max(f) FILTER (WHERE arm = 0) AS f0,
+    max(f + m) FILTER (WHERE arm = 1) AS u1, max(f + m) FILTER (WHERE arm = 0) AS u0 FROM per_arm GROUP BY ALL)
+"""
+
+
+@query(
+    "influence_values",
+    "M17",
+    f"""WITH {INFLUENCE} SELECT person_id, event, target_time, round(f1, 12) AS f1, round(f0, 12) AS f0,
+    round(u1, 12) AS u1, round(u0, 12) AS u0 FROM inf""",
+)
+def _influence(spark, sf):
+    out = T.influence_rows(curve_frame(spark, sf), step_target())
+    return out.withColumns({c: F.round(c, 12) for c in ("f1", "f0", "u1", "u0")})
+
+
+MOMENTS = f"""{INFLUENCE},
+mo AS (SELECT event, target_time, count(*) AS n, avg(f1) AS p1, avg(f0) AS p0, var_samp(u1) AS v1, var_samp(u0) AS v0, covar_samp(u1, u0) AS c FROM inf GROUP BY ALL),
+se AS (SELECT *, sqrt(greatest(v1 + v0 - 2 * c, 0) / n) AS rd_se, sqrt(greatest(v1 / (p1 * p1) + v0 / (p0 * p0) - 2 * c / (p1 * p0), 0) / n) AS log_se FROM mo),
+est AS (
+  SELECT event, target_time, 'risks' AS type, 1 AS arm, p1 AS estimate, sqrt(v1 / n) AS se, p1 - {T.Z_95} * sqrt(v1 / n) AS lo, p1 + {T.Z_95} * sqrt(v1 / n) AS hi FROM se
+  UNION ALL SELECT event, target_time, 'risks', 0, p0, sqrt(v0 / n), p0 - {T.Z_95} * sqrt(v0 / n), p0 + {T.Z_95} * sqrt(v0 / n) FROM se
+  UNION ALL SELECT event, target_time, 'rr', NULL, p1 / p0, p1 / p0 * log_se, p1 / p0 * exp(-{T.Z_95} * log_se), p1 / p0 * exp({T.Z_95} * log_se) FROM se
+  UNION ALL SELECT event, target_time, 'rd', NULL, p1 - p0, rd_se, p1 - p0 - {T.Z_95} * rd_se, p1 - p0 + {T.Z_95} * rd_se FROM se)
+"""
+ROUNDED = ("estimate", "se", "lo", "hi")
+
+
+def step_estimates(spark, sf):
+    return T.estimates(T.influence_rows(curve_frame(spark, sf), step_target()))
+
+
+@query(
+    "estimates",
+    "M18 D12",
+    f"WITH {MOMENTS} SELECT event, target_time, type, arm, "
+    + ", ".join(f"round({c}, 7) AS {c}" for c in ROUNDED)
+    + " FROM est",
+)
+def _estimates(spark, sf):
+    return step_estimates(spark, sf).withColumns({c: F.round(c, 7) for c in ROUNDED})
+
+
+@query(
+    "e_values",
+    "M19",
+    f"""WITH {MOMENTS}, r AS (SELECT event, target_time, estimate, lo, hi, CASE WHEN estimate >= 1 THEN lo ELSE hi END AS near FROM est WHERE type = 'rr'),
+    a AS (SELECT *, CASE WHEN estimate < 1 THEN 1 / estimate ELSE estimate END AS e, CASE WHEN near < 1 THEN 1 / near ELSE near END AS l FROM r)
+    SELECT event, target_time, round(e + sqrt(e * (e - 1)), 6) AS e_value,
+      CASE WHEN lo <= 1 AND hi >= 1 THEN 1.0::DOUBLE ELSE round(l + sqrt(l * (l - 1)), 6) END AS e_value_limit FROM a""",
+)
+def _e_values(spark, sf):
+    out = T.e_values(step_estimates(spark, sf).where("type = 'rr'"))
+    return out.select(
+        "event",
+        "target_time",
+        F.round("e_value", 6).alias("e_value"),
+        F.round("e_value_limit", 6).alias("e_value_limit"),
+    )
+
+
+@query(
+    "e_value_contours",
+    "M19",
+    f"""WITH {MOMENTS}, lv AS (SELECT unnest([1.0::DOUBLE, 1.5, 2.0, 3.0]) AS x)
+    SELECT event, target_time, a.x AS rr_exposure, b.x AS rr_outcome, round(a.x * b.x / (a.x + b.x - 1), 7) AS bias_factor,
+      round(CASE WHEN estimate >= 1 THEN estimate / (a.x * b.x / (a.x + b.x - 1)) ELSE estimate * (a.x * b.x / (a.x + b.x - 1)) END, 7) AS adjusted
+    FROM est, lv a, lv b WHERE type = 'rr'""",
+)
+def _contours(spark, sf):
+    ratios = step_estimates(spark, sf).where("type = 'rr'")
+    out = T.e_value_contours(ratios, (1.0, 1.5, 2.0, 3.0))
+    return out.select(
+        "event",
+        "target_time",
+        "rr_exposure",
+        "rr_outcome",
+        F.round("bias_factor", 7).alias("bias_factor"),
+        F.round("adjusted", 7).alias("adjusted"),
+    )
+
+
+@query(
+    "nuisance_weight_summary",
+    "M20",
+    f"""WITH {INFLUENCE}, w AS (SELECT hospitalized, s * 200.0::DOUBLE AS target_time, weight FROM st WHERE own_arm = 1 AND s IN (3, 6, 9))
+    SELECT hospitalized, target_time, count(*) AS n, round(max(weight), 7) AS largest, round(quantile_cont(weight, 0.25), 7) AS q25,
+      round(quantile_cont(weight, 0.5), 7) AS q50, round(quantile_cont(weight, 0.75), 7) AS q75 FROM w GROUP BY ALL""",
+)
+def _nuisance(spark, sf):
+    rows = T.nuisance_weights(curve_frame(spark, sf), step_target())
+    out = M.group_distribution(rows, ["hospitalized", "target_time"], ["weight"]).drop("covariate")
+    return out.withColumns({c: F.round(c, 7) for c in ("largest", "q25", "q50", "q75")})
+
+
+@query(
+    "g_computation",
+    "M16",
+    f"""WITH {INFLUENCE} SELECT event, target_time, round(avg(f1), 8) AS f1, round(avg(f0), 8) AS f0 FROM inf GROUP BY ALL""",
+)
+def _g_comp(spark, sf):
+    rows = T.influence_rows(curve_frame(spark, sf), step_target())
+    out = T.g_computation(rows, ["event", "target_time"], ["f1", "f0"])
+    return out.withColumns({c: F.round(c, 8) for c in ("f1", "f0")})
+
+
+@query(
+    "effect_groups",
+    "M22 A20 J15",
+    f"""WITH {INFLUENCE}, ef AS (SELECT person_id, target_time, f1 - f0 AS hte FROM inf WHERE event = 1),
+    cuts AS (SELECT target_time, quantile_cont(hte, 0.05) AS a, quantile_cont(hte, 0.95) AS b FROM ef GROUP BY 1),
+    g AS (SELECT ef.*, CASE WHEN hte <= a + 1e-12 THEN 'bottom' WHEN hte <= b + 1e-12 THEN 'middle' ELSE 'top' END AS grp FROM ef JOIN cuts USING (target_time))
+    SELECT target_time, count(c_acctbal) FILTER (WHERE grp = 'bottom') AS n_bottom, count(c_acctbal) FILTER (WHERE grp = 'top') AS n_top,
+      round(avg(c_acctbal) FILTER (WHERE grp = 'bottom'), 6) AS mean_bottom, round(avg(c_acctbal) FILTER (WHERE grp = 'top'), 6) AS mean_top
+    FROM g JOIN customer ON c_custkey = person_id GROUP BY 1""",
+)
+def _effect_groups(spark, sf):
+    effects = T.effect_rows(curve_frame(spark, sf), step_target())
+    # curves of the same nation agree only up to rounding, which must not split a group
+    effects = effects.withColumn("hte", F.round("hte", 11))
+    grouped = M.hte_quantile_groups(effects, "target_time", "hte", 0.05)
+    joined = grouped.join(followup(spark, sf).select("person_id", "c_acctbal"), "person_id")
+    out = M.compare_continuous(joined, ["target_time"], ["c_acctbal"])
+    return out.select(
+        "target_time",
+        "n_bottom",
+        "n_top",
+        F.round("mean_bottom", 6).alias("mean_bottom"),
+        F.round("mean_top", 6).alias("mean_top"),
+    )
+
+
+COVARIATES = ("age", "c_acctbal", "c_nationkey")
+FIT_GRID = tuple(float(t) for t in range(0, 2401, 200))
+
+
+def fit_rows(spark, sf):
+    rows = followup(spark, sf)
+    names = ["person_id", "hospitalized", "event_time", "event_indicator", *COVARIATES]
+    return cut(rows.select(*names), "fit")
+
+
+def crossed(spark, sf, folds=3):
+    return H.cross_fit(
+        fit_rows(spark, sf), "person_id", COVARIATES, "hospitalized", "event_time",
+        "event_indicator", FIT_GRID, folds, seed=SEED,
+    )
+
+
+@query("hazard_curves", "M6 D10")
+def _hazards(spark, sf):
+    rows = fit_rows(spark, sf)
+    model = H.fit_hazards(
+        rows, COVARIATES, "hospitalized", "event_time", "event_indicator", FIT_GRID, seed=SEED
+    )
+    keep = ["person_id", "hospitalized"]
+    return H.predict_hazards(model, rows, COVARIATES, "hospitalized", keep)
+
+
+@query("hazard_curves_boosted", "M6")
+def _hazards_boosted(spark, sf):
+    rows = fit_rows(spark, sf)
+    settings = HazardParams(learner="gbt", n_iter=3, learning_rate=0.1, max_depth=3, min_samples_leaf=49)
+    model = H.fit_hazards(
+        rows, COVARIATES, "hospitalized", "event_time", "event_indicator", FIT_GRID, params=settings, seed=SEED
+    )
+    keep = ["person_id", "hospitalized"]
+    return H.predict_hazards(model, rows, COVARIATES, "hospitalized", keep)
+
+
+@query("cross_fit", "M7 W10 P30")
+def _cross_fit(spark, sf):
+    return crossed(spark, sf)
+
+
+@query("metric_panel", "M14 M9 M10 M11 M12 M13 D11")
+def _panel(spark, sf):
+    return H.metric_panel(crossed(spark, sf), "hospitalized", "event_time", "event_indicator", FIT_GRID)
+
+
+@query("tune", "M8 A25 T3")
+def _tune(spark, sf):
+    trials = H.random_trials(2, SEED, HazardParams())
+    best, results = H.tune(
+        fit_rows(spark, sf), "person_id", COVARIATES, "hospitalized", "event_time",
+        "event_indicator", FIT_GRID, trials, "c_antolini_all", folds=2, seed=SEED,
+    )
+    rows = [(r["trial"], r["params"].reg_param, r["value"], r["params"] == best) for r in results]
+    return spark.createDataFrame(rows, "trial int, reg_param double, value double, best boolean")
+
+
+@query("tmle_estimates", "M17 M18 M16 M15")
+def _tmle(spark, sf):
+    curves = crossed(spark, sf)
+    rows = fit_rows(spark, sf)
+    data = Q.propensity_scores(rows, "person_id", "hospitalized", COVARIATES, SEED, learner="logistic")
+    target = T.Target(
+        "person_id", "hospitalized", "event_indicator", "propensity_score", FIT_GRID, STEP_TARGETS
+    )
+    frame = cut(T.targeting_frame(curves, data, target, "event_time"), "targeting")
+    done = T.tmle_update(frame, target, max_updates=20)
+    return T.all_estimates(done.frame, frame, target)
