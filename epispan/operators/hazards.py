@@ -31,6 +31,8 @@ from epispan.session import cut
 
 ARMS = (0, 1)
 MAX_TOTAL_HAZARD = 0.999
+LOGISTIC_ITERATIONS = 40
+NEVER = -30.0
 ENDPOINTS = ("0", "1", "2", "all")
 
 
@@ -91,22 +93,23 @@ def bounded(hazards: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LogisticHazards:
-    """Multinomial model of the causes and binary model of censoring with one effect per grid time."""
+    """One multinomial model of staying, each cause, and censoring, with one effect per grid time.
+
+    Censoring is only possible without an event, so its hazard is its share among the event free.
+    """
 
     features: PipelineModel
     treated_at: int
     causes: tuple[int, ...]
-    event_x: np.ndarray  # classes x features
-    event_t: np.ndarray  # classes x times
-    cens_x: np.ndarray
-    cens_t: np.ndarray
+    by_feature: np.ndarray  # classes x features
+    by_time: np.ndarray  # classes x times
 
     def predict(self, frame: DataFrame, keep: Sequence[str]) -> DataFrame:
         rows = self.features.transform(frame).select(*keep, vector_to_array("features").alias("_x"))
         names = curve_columns(self.causes)
         fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields if f.name != "_x"}
         schema = ", ".join([f"{c} {t}" for c, t in fields.items()] + [f"{c} array<double>" for c in names])
-        event_x, event_t, cens_x, cens_t = self.event_x, self.event_t, self.cens_x, self.cens_t
+        by_feature, by_time = self.by_feature, self.by_time
         treated_at, causes, kept = self.treated_at, self.causes, list(keep)
 
         def work(batches):
@@ -117,10 +120,10 @@ class LogisticHazards:
                 out = pdf[kept].copy()
                 for arm in ARMS:
                     x[:, treated_at] = arm
-                    eta = (x @ event_x.T)[:, :, None] + event_t[None]
-                    eta = np.exp(eta - eta.max(axis=1, keepdims=True))
-                    haz = bounded((eta / eta.sum(axis=1, keepdims=True))[:, 1:, :])
-                    leave = 1.0 / (1.0 + np.exp(-((x @ cens_x)[:, None] + cens_t[None])))
+                    eta = (x @ by_feature.T)[:, :, None] + by_time[None]
+                    share = np.exp(eta - eta.max(axis=1, keepdims=True))
+                    haz = bounded((share / share.sum(axis=1, keepdims=True))[:, 1:-1, :])
+                    leave = share[:, -1] / (share[:, 0] + share[:, -1])
                     for k, cause in enumerate(causes):
                         out[haz_name(cause, arm)] = list(haz[:, k, :])
                     out[cens_name(arm)] = list(survival_from_hazard(leave))
@@ -177,10 +180,6 @@ def keep_product(leave: pd.Series) -> pd.Series:
     return pd.Series(list(survival_from_hazard(np.stack(leave.to_numpy())))) if len(leave) else leave
 
 
-def _one_hot_split(weights: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
-    return weights[..., :n_features], weights[..., n_features:]
-
-
 def fit_hazards(
     frame: DataFrame,
     columns: Sequence[str],
@@ -199,34 +198,27 @@ def fit_hazards(
     if params.learner == "logistic":
         features = Pipeline(stages=feature_stages(names, flagged)).fit(cast)
         rows = features.transform(periods).select(
-            F.col("features").alias("x"), "t_idx", "event_label", "cens_label", "cens_risk"
+            F.col("features").alias("x"), "t_idx", "event_label", "cens_label"
         )
         # the encoder must know every grid time, also those nobody reaches in this fold
         known = frame.sparkSession.range(len(grid)).select(F.col("id").cast("int").alias("t_idx"))
         encoder = OneHotEncoder(inputCol="t_idx", outputCol="t_hot", dropLast=False).fit(known)
         rows = encoder.transform(rows)
         rows = VectorAssembler(inputCols=["x", "t_hot"], outputCol="features").transform(rows)
-        rows = rows.select("features", "event_label", "cens_label", "cens_risk").persist()
-        common = {"regParam": params.reg_param, "maxIter": 60, "featuresCol": "features"}
-        label = F.lit(0.0)
+        label = F.when(F.col("cens_label") == 1, F.lit(len(causes) + 1.0)).otherwise(0.0)
         for k, cause in enumerate(causes):
-            label = F.when(F.col("event_label") == cause, F.lit(float(k + 1))).otherwise(label)
-        event_model = LogisticRegression(labelCol="_y", family="multinomial", **common).fit(
-            rows.withColumn("_y", label)
-        )
-        cens_model = LogisticRegression(labelCol="cens_label", family="binomial", **common).fit(
-            rows.where("cens_risk")
-        )
-        rows.unpersist()
-        p = len(names) + len(flagged)
-        matrix = np.full((len(causes) + 1, p + len(grid)), 0.0)
-        offset = np.full(len(causes) + 1, -30.0)
-        seen = event_model.coefficientMatrix.toArray()
-        matrix[: len(seen)], offset[: len(seen)] = seen, event_model.interceptVector.toArray()
-        event_x, event_t = _one_hot_split(matrix, p)
-        cens_x, cens_t = _one_hot_split(cens_model.coefficients.toArray(), p)
+            label = F.when(F.col("event_label") == cause, F.lit(k + 1.0)).otherwise(label)
+        model = LogisticRegression(
+            labelCol="_y", featuresCol="features", family="multinomial",
+            regParam=params.reg_param, maxIter=LOGISTIC_ITERATIONS, tol=1e-5,
+        ).fit(rows.select("features", label.alias("_y")))
+        p, classes = len(names) + len(flagged), len(causes) + 2
+        # a class nobody has in the highest place is unknown to the fit and stays very unlikely
+        matrix, offset = np.zeros((classes, p + len(grid))), np.full(classes, NEVER)
+        seen = model.coefficientMatrix.toArray()
+        matrix[: len(seen)], offset[: len(seen)] = seen, model.interceptVector.toArray()
         return LogisticHazards(
-            features, len(names) - 1, tuple(causes), event_x, event_t + offset[:, None], cens_x, cens_t + cens_model.intercept
+            features, len(names) - 1, tuple(causes), matrix[:, :p], matrix[:, p:] + offset[:, None]
         )
     if params.learner == "gbt":
         timed = periods.withColumn("grid_t", F.get(F.array(*[F.lit(float(t)) for t in grid]), F.col("t_idx")))
