@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from epispan.functions import dates as D
 from epispan.operators.hotdeck import hot_deck_sample
 from epispan.params import (
+    COMPOSITE,
     HISTORICAL,
     TEST_NEGATIVE,
     CohortParams,
     Experiment,
     PersonColumns,
 )
+from epispan.session import cut
 
 
 def with_index(persons: DataFrame, cols: PersonColumns) -> DataFrame:
@@ -53,25 +55,51 @@ def split_exposed_pool(
     return exposed, pool
 
 
+def _experiment_rows(experiments: Sequence[Experiment], cols: PersonColumns, params: CohortParams) -> Column:
+    """The experiments as one constant array; the endpoint is a position among the endpoint dates."""
+    endpoints = [*cols.endpoint_map, COMPOSITE]
+    rows = []
+    for e in experiments:
+        if e.endpoint not in endpoints:
+            raise ValueError(f"Unknown endpoint: {e.endpoint}")
+        wave = params.wave(e.wave)
+        subset = "tested" if e.design == TEST_NEGATIVE else e.subset
+        rows.append(
+            F.struct(
+                F.lit(e.name).alias("experiment"),
+                F.lit(e.design).alias("design"),
+                F.lit(endpoints.index(e.endpoint)).alias("endpoint"),
+                F.lit(wave.first).alias("first"),
+                F.lit(wave.last).cast("date").alias("last"),
+                F.lit(subset).cast("string").alias("subset"),
+            )
+        )
+    return F.array(*rows)
+
+
 def _per_experiment(
     frame: DataFrame,
     experiments: Sequence[Experiment],
     cols: PersonColumns,
-    keep: dict[str, Column],
+    params: CohortParams,
+    keep: Callable[[Column], Column],
 ) -> DataFrame:
     """One row per person and qualifying experiment; rows that do not qualify are never emitted."""
-    specs = F.array(
-        *[
-            F.struct(
-                F.lit(e.name).alias("experiment"),
-                F.lit(e.design).alias("design"),
-                D.event_date(cols, e.endpoint).alias("event_date"),
-                F.coalesce(keep[e.name], F.lit(False)).alias("keep"),
-            )
-            for e in experiments
-        ]
-    )
-    return frame.select("*", F.inline(F.filter(specs, lambda s: s["keep"]))).drop("keep")
+    rows = F.filter(_experiment_rows(experiments, cols, params), keep)
+    endpoints = [*cols.endpoint_map, COMPOSITE]
+    dates = F.array(*[D.event_date(cols, endpoint) for endpoint in endpoints])
+    spread = frame.withColumn("_e", F.explode(rows))
+    return spread.withColumns(
+        {
+            "experiment": F.col("_e.experiment"),
+            "design": F.col("_e.design"),
+            "event_date": F.get(dates, F.col("_e.endpoint")),
+        }
+    ).drop("_e")
+
+
+def _inside(date: str, e: Column) -> Column:
+    return (F.col(date) >= e["first"]) & (e["last"].isNull() | (F.col(date) <= e["last"]))
 
 
 def exposed_cohort(
@@ -82,12 +110,19 @@ def exposed_cohort(
 ) -> DataFrame:
     """Exposed rows of every experiment with outcome and age."""
     exposed, _ = split_exposed_pool(persons, cols, params)
-    keep = {
-        e.name: D.in_wave("index_date", params.wave(e.wave))
-        & D.in_subset(cols, "tested" if e.design == TEST_NEGATIVE else e.subset)
-        for e in experiments
-    }
-    spread = _per_experiment(exposed, experiments, cols, keep)
+    exposed = exposed.withColumns(
+        {f"_{s}": D.in_subset(cols, s) for s in ("hospital", "tested")}
+    )
+
+    def keep(e: Column) -> Column:
+        member = (
+            e["subset"].isNull()
+            | ((e["subset"] == "hospital") & F.col("_hospital"))
+            | ((e["subset"] == "tested") & F.col("_tested"))
+        )
+        return _inside("index_date", e) & member
+
+    spread = _per_experiment(exposed, experiments, cols, params, keep).drop("_hospital", "_tested")
     valid = spread.where(D.valid_dates("index_date", cols.censoring, "event_date", cols.death))
     return with_outcome(valid, cols.death)
 
@@ -100,13 +135,13 @@ def control_pool(
 ) -> DataFrame:
     """Pool rows of every experiment; test-negative pools need a first test inside the wave."""
     _, pool = split_exposed_pool(persons, cols, params)
-    keep = {
-        e.name: D.in_wave(cols.tested, params.wave(e.wave))
-        if e.design == TEST_NEGATIVE
-        else F.lit(True)
-        for e in experiments
-    }
-    return _per_experiment(pool.drop("index_date", "age_days"), experiments, cols, keep)
+
+    def keep(e: Column) -> Column:
+        tested = F.coalesce(_inside(cols.tested, e), F.lit(False))
+        return (e["design"] != TEST_NEGATIVE) | tested
+
+    pool = pool.drop("index_date", "age_days")
+    return _per_experiment(pool, experiments, cols, params, keep)
 
 
 def sampled_controls(
@@ -134,23 +169,22 @@ def sampled_controls(
         ),
     ).drop("donor_date", "donor_age")
 
-    parts = []
+    controls = drawn.withColumn("censoring_date", F.col(cols.censoring))
     if any(e.design == HISTORICAL for e in experiments):
         followed = exposed.where(historical & (F.col("event_indicator") == 0)).select(
             cols.id, "experiment", F.col("event_time").alias("donor_time")
         )
-        early = hot_deck_sample(
-            followed, drawn.where(historical), values=["donor_time"], salt="b", **draw
+        drawn = hot_deck_sample(
+            followed, drawn, values=["donor_time"], salt="b", needed=historical, **draw
         )
-        limit = F.lit(params.historical_cutoff)
-        parts.append(
-            early.withColumn(cols.censoring, limit)
-            .withColumn("censoring_date", F.date_add("index_date", F.col("donor_time")))
-            .drop("donor_time")
-        )
-    if any(e.design != HISTORICAL for e in experiments):
-        parts.append(drawn.where(~historical).withColumn("censoring_date", F.col(cols.censoring)))
-    controls = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        limit, own = F.lit(params.historical_cutoff), F.col(cols.censoring)
+        followed_until = F.date_add("index_date", F.col("donor_time"))
+        controls = drawn.withColumns(
+            {
+                "censoring_date": F.when(historical, followed_until).otherwise(own),
+                cols.censoring: F.when(historical, limit).otherwise(own),
+            }
+        ).drop("donor_time")
 
     controls = controls.where(
         D.valid_dates("index_date", cols.censoring, "event_date", cols.death)
@@ -179,8 +213,13 @@ def build_cohorts(
     params: CohortParams,
     on_empty: str = "error",
 ) -> DataFrame:
-    """Dated cohorts of all experiments, one lazy plan, keyed by ``experiment``."""
+    """Dated cohorts of all experiments, keyed by ``experiment``.
+
+    The exposed rows feed the output and several donor tables, so they are written out once.
+    """
+    needed = ["experiment", "design", cols.id, "exposed", "index_date", "age_days"]
     exposed = exposed_cohort(persons, experiments, cols, params)
+    exposed = cut(exposed.select(*needed, "event_time", "event_indicator"), "exposed")
     pool = control_pool(persons, experiments, cols, params)
     controls = sampled_controls(exposed, pool, experiments, cols, params, on_empty)
     return final_projection(exposed, cols.id).unionByName(final_projection(controls, cols.id))

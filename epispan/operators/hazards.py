@@ -27,12 +27,14 @@ from epispan.operators.propensity import MAX_TREE_DEPTH, feature_stages, numeric
 from epispan.operators.sampling import stratified_folds
 from epispan.functions.stats import risk_score
 from epispan.params import HazardParams
-from epispan.session import cut
+from epispan.session import FITS_AT_ONCE, at_least_parallel, cut, fit_together, spread
 
 ARMS = (0, 1)
 MAX_TOTAL_HAZARD = 0.999
-LOGISTIC_ITERATIONS = 40
+LOGISTIC_ITERATIONS = 30
 NEVER = -30.0
+PERIOD_ROWS_PER_TASK = 5_000_000
+PERSONS_PER_TASK = 50_000
 ENDPOINTS = ("0", "1", "2", "all")
 
 
@@ -194,7 +196,9 @@ def fit_hazards(
     """Fit hazards of the causes and of censoring on all rows of the frame."""
     names = [*columns, treated]
     cast, flagged = numeric_features(frame, names)
-    periods = person_periods(cast, time, event, grid)
+    # a person unfolds into up to one row per grid time, so tasks take few persons each
+    spread_rows = spread(cast, frame.count(), max(1, PERIOD_ROWS_PER_TASK // len(grid)))
+    periods = person_periods(spread_rows, time, event, grid)
     if params.learner == "logistic":
         features = Pipeline(stages=feature_stages(names, flagged)).fit(cast)
         rows = features.transform(periods).select(
@@ -210,7 +214,7 @@ def fit_hazards(
             label = F.when(F.col("event_label") == cause, F.lit(k + 1.0)).otherwise(label)
         model = LogisticRegression(
             labelCol="_y", featuresCol="features", family="multinomial",
-            regParam=params.reg_param, maxIter=LOGISTIC_ITERATIONS, tol=1e-5,
+            regParam=params.reg_param, maxIter=LOGISTIC_ITERATIONS, tol=1e-4,
         ).fit(rows.select("features", label.alias("_y")))
         p, classes = len(names) + len(flagged), len(causes) + 2
         # a class nobody has in the highest place is unknown to the fit and stays very unlikely
@@ -285,14 +289,18 @@ def cross_fit(
     """
     dealt = stratified_folds(frame, id_col, event, folds, seed)
     dealt = cut(dealt, "folds", by=("fold",))
+    persons = dealt.count()
     keep = [id_col, "fold", treated, time, event]
-    parts = []
-    for k in range(folds):
+
+    def fit(k: int) -> DataFrame:
         train = dealt.where(F.col("fold") != k)
         settings = choose(train, k) if choose else params
         model = fit_hazards(train, columns, treated, time, event, grid, causes, settings, seed)
-        held = dealt.where(F.col("fold") == k)
-        parts.append(predict_hazards(model, held, columns, treated, keep))
+        held = at_least_parallel(dealt.where(F.col("fold") == k), persons // folds, PERSONS_PER_TASK)
+        return predict_hazards(model, held, columns, treated, keep)
+
+    # tuning inside a fold already runs its own fits side by side
+    parts = fit_together(frame.sparkSession, fit, range(folds), 1 if choose else FITS_AT_ONCE)
     crossed = parts[0]
     for part in parts[1:]:
         crossed = crossed.unionByName(part)

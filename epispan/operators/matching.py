@@ -316,9 +316,11 @@ def nearest_neighbor_match(
         caliper = caliper * (frame.agg(F.stddev_samp(score)).first()[0] or 0.0)
     elif caliper_unit != "absolute":
         raise ValueError(f"Unknown caliper unit: {caliper_unit}")
+    frame = cut(frame.select(id_col, treated, score), "match-input")
     scores = frame.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(treated)).alias("n_t"), F.count_if(~F.col(treated)).alias("n_c")
     )
+    scores = cut(scores, "match-scores")
     pairs = _pair_rows(match_blocks(scores, caliper, cell_values))
     ranked = ranked_by_score(frame, id_col, treated, score)
     side = {

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from epispan.operators.curves import kaplan_meier
 from epispan.operators.ranking import assign_cells, value_splits
+from epispan.session import cut
 
 CELL_ROWS = 50_000
 
@@ -57,6 +58,8 @@ def score_counts(
 
 
 def _celled(counts: DataFrame, cell_rows: int) -> tuple[DataFrame, int]:
+    """Score cells of about equal size; the counts are read several times, so they are written out."""
+    counts = cut(counts, "score-counts")
     n_cells = max(1, math.ceil(counts.count() / cell_rows))
     splits = value_splits(counts, "score", n_cells)
     return assign_cells(counts, "score", splits, "cell"), len(splits) - 1

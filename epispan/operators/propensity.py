@@ -23,6 +23,7 @@ from epispan.functions.hashing import stable_hash
 from epispan.functions.stats import clipped, logit
 from epispan.operators.matching import balanced_weights
 from epispan.operators.sampling import in_training
+from epispan.session import cut, fit_together
 
 # Grid of the boosted classifier and its settings without a search.
 GRID_DEPTH = (3, 4, 5)
@@ -160,13 +161,12 @@ def calibrated_scores(
     """
     numbered = training.withColumn("_fold", hash_fold(id_col, seed, folds))
     sums = {m: F.lit(0.0) for m in ("isotonic", "sigmoid")}
-    out = target
-    for k in range(folds):
+
+    def fit(k: int):
         model = data.fit(numbered.where(F.col("_fold") != k), learner, **settings)
         raw, edge = f"_raw_{k}", f"_logit_{k}"
         held = with_score(model, numbered.where(F.col("_fold") == k), raw)
-        held = held.withColumn(edge, logit(clipped(F.col(raw))))
-        out = with_score(model, out, raw).withColumn(edge, logit(clipped(F.col(raw))))
+        held = held.withColumn(edge, logit(clipped(F.col(raw)))).select(raw, edge, data.label)
         iso = IsotonicRegression(
             featuresCol=raw, labelCol=data.label, predictionCol=f"_iso_{k}"
         ).fit(held)
@@ -178,6 +178,12 @@ def calibrated_scores(
                 ),
             ]
         ).fit(held)
+        return model, iso, platt
+
+    out = target
+    for k, (model, iso, platt) in enumerate(fit_together(training.sparkSession, fit, range(folds))):
+        raw, edge = f"_raw_{k}", f"_logit_{k}"
+        out = with_score(model, out, raw).withColumn(edge, logit(clipped(F.col(raw))))
         out = iso.transform(out)
         out = platt.transform(out).withColumn(f"_sig_{k}", vector_to_array("_p")[1])
         out = out.drop("_edge", "_p", "_rp", "_pr")
@@ -262,12 +268,18 @@ def stacked_propensity(
     settings = settings or {}
     data = prepare(frame, treated, columns)
     numbered = data.frame.withColumn("_fold", hash_fold(id_col, seed, folds))
+
+    def fit(task: tuple[int, str]) -> PipelineModel:
+        k, learner = task
+        return data.fit(numbered.where(F.col("_fold") != k), learner, **settings.get(learner, {}))
+
+    tasks = [(k, learner) for k in range(folds) for learner in learners]
+    models = dict(zip(tasks, fit_together(frame.sparkSession, fit, tasks)))
     parts = []
     for k in range(folds):
         held = numbered.where(F.col("_fold") == k)
         for learner in learners:
-            model = data.fit(numbered.where(F.col("_fold") != k), learner, **settings.get(learner, {}))
-            held = with_score(model, held, f"_{learner}")
+            held = with_score(models[k, learner], held, f"_{learner}")
         parts.append(held)
     crossed = parts[0]
     for part in parts[1:]:
@@ -276,6 +288,7 @@ def stacked_propensity(
     crossed = crossed.withColumns(
         {e: logit(clipped(F.col(e.removesuffix("_logit")), 1e-3)) for e in edges}
     )
+    crossed = cut(crossed.select(id_col, treated, data.label, *edges), "stack")
     stack = Pipeline(
         stages=[
             VectorAssembler(inputCols=edges, outputCol="features"),

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epispan.functions.hashing import hash_cell
+from epispan.session import cut
 
 TIE_CELLS = 256
 
@@ -97,8 +98,10 @@ def value_rank(
 ) -> DataFrame:
     """Zero-based position over all rows ordered by (value, tie cell, id).
 
-    The tie cell comes from a hash of the id, so a value shared by many rows still spreads.
+    The tie cell comes from a hash of the id, so a value shared by many rows still spreads.  The
+    frame, which should hold only the needed columns, is written out because it is read three times.
     """
+    frame = cut(frame, "ranked")
     splits = value_splits(frame, value, n_cells)
     celled = assign_cells(frame, value, splits, "_cell").withColumn(
         "_tie", hash_cell(tie_hash, int(math.log2(TIE_CELLS)))

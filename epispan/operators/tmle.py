@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from epispan.functions import stats
 from epispan.operators.hazards import (
     ARMS,
+    PERSONS_PER_TASK,
     before,
     bounded,
     cens_name,
@@ -27,11 +28,12 @@ from epispan.operators.hazards import (
     haz_name,
     incidence,
 )
-from epispan.session import cut
+from epispan.session import at_least_parallel, cut
 
 Z_95 = 1.959963984540054
-LADDER = tuple(3.0**-k for k in range(6))
-CUT_EVERY = 10
+LADDER = (1.0, 0.5, 0.25, 0.1, 0.02)
+CUT_EVERY = 5
+RIDGE = 1e-9
 MIN_SURVIVAL = 1e-8
 
 
@@ -64,7 +66,8 @@ def targeting_frame(crossed: DataFrame, propensity: DataFrame, target: Target, t
     curves = crossed.select(
         *keep, grid_index(time, target.grid).alias("own"), *curve_columns(target.causes)
     )
-    return curves.join(propensity.select(target.id_col, target.propensity), target.id_col)
+    joined = curves.join(propensity.select(target.id_col, target.propensity), target.id_col)
+    return at_least_parallel(joined, crossed.count(), PERSONS_PER_TASK)
 
 
 class Block:
@@ -134,21 +137,37 @@ def _blocks(batches, target: Target, steps: Sequence[tuple[np.ndarray, float]]):
 
 @dataclass(frozen=True)
 class Score:
-    """Mean of the influence values' martingale part, spread, and the plug-in risks."""
+    """Mean of the influence values' martingale part, spread, plug-in risks, and second moments."""
 
     mean: np.ndarray
     sd: np.ndarray
     risk: np.ndarray
+    moments: np.ndarray  # per arm, the mean outer product of the martingale parts
     n: float
 
     @property
-    def norm(self) -> float:
-        return float(np.sqrt((self.mean**2).sum()))
+    def size(self) -> float:
+        """Length of the mean influence values in units of their spread."""
+        return float(np.sqrt(((self.mean / np.maximum(self.sd, 1e-300)) ** 2).sum()))
 
     def solved(self) -> bool:
         limit = self.sd / (math.sqrt(self.n) * max(math.log(self.n), 1.0))
         return bool((np.abs(self.mean) <= limit).all())
 
+    def direction(self) -> np.ndarray:
+        """Step that cancels the mean influence values to first order.
+
+        Along a direction the means fall at the rate of the second moments of the martingale
+        parts, which do not mix the arms.
+        """
+        out = np.zeros_like(self.mean)
+        for arm, block in enumerate(self.moments):
+            ridge = RIDGE * np.trace(block) / len(block) * np.eye(len(block))
+            out[arm] = np.linalg.lstsq(block + ridge, self.mean[arm].ravel(), rcond=1e-10)[0].reshape(
+                self.mean[arm].shape
+            )
+        return out
+
 
 def scores(
     frame: DataFrame,
@@ -159,9 +178,11 @@ def scores(
 ) -> list[Score]:
     """Score of every candidate step size, in one pass; each partition returns only sums."""
     flat = int(np.prod(target.shape))
+    arms, each = target.shape[0], flat // target.shape[0]
+    width = 4 * flat + arms * each * each
 
     def sums(batches):
-        total = np.zeros((len(sizes), 4 * flat))
+        total = np.zeros((len(sizes), width))
         n = 0
         for pdf, block in _blocks(batches, target, steps):
             n += len(pdf)
@@ -170,24 +191,25 @@ def scores(
                 m, f = block.influence(haz)
                 u = m + f
                 parts = [x.reshape(len(pdf), flat).sum(axis=0) for x in (m, f, u, u * u)]
+                by_arm = m.reshape(len(pdf), arms, each)
+                parts += [(by_arm[:, a].T @ by_arm[:, a]).ravel() for a in range(arms)]
                 total[k] += np.concatenate(parts)
         if n:
             for k in range(len(sizes)):
-                slots = pd.DataFrame({"slot": np.arange(4 * flat, dtype="int32"), "value": total[k]})
+                slots = pd.DataFrame({"slot": np.arange(width, dtype="int32"), "value": total[k]})
                 yield slots.assign(candidate=np.int32(k), n=float(n))[["candidate", "n", "slot", "value"]]
 
     rows = frame.mapInPandas(sums, "candidate int, n double, slot int, value double")
     table = rows.groupBy("candidate", "slot").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
-    found = {(r["candidate"], r["slot"]): (r["value"], r["n"]) for r in table.collect()}
+    found = table.toPandas().sort_values(["candidate", "slot"])
     out = []
     for k in range(len(sizes)):
-        n = found[(k, 0)][1]
-        m, f, u, uu = (
-            np.array([found[(k, part * flat + i)][0] for i in range(flat)]).reshape(target.shape)
-            for part in range(4)
-        )
+        mine = found[found["candidate"] == k]
+        n, values = float(mine["n"].iloc[0]), mine["value"].to_numpy()
+        m, f, u, uu = (values[i * flat : (i + 1) * flat].reshape(target.shape) for i in range(4))
         spread = np.sqrt(np.maximum(uu / n - (u / n) ** 2, 0.0) * n / max(n - 1, 1))
-        out.append(Score(m / n, spread, f / n, n))
+        moments = values[4 * flat :].reshape(arms, each, each) / n
+        out.append(Score(m / n, spread, f / n, moments, n))
     return out
 
 
@@ -220,25 +242,22 @@ class Targeted:
 def tmle_update(frame: DataFrame, target: Target, max_updates: int = 500) -> Targeted:
     """Move the hazards until every mean influence value is small against its standard error.
 
-    Each pass tries a ladder of step sizes and keeps the one that shrinks the scores most; every
-    few steps the moved curves are written out so that no pass repeats a long history.
+    Each pass tries a ladder of step lengths along the first-order solution and keeps the one that
+    shrinks the scores most, so few passes are needed; every few steps the moved curves are
+    written out so that no pass repeats a long history.
     """
     current, steps = frame, []
     score = initial = scores(frame, target, [])[0]
-    size, used = 1.0, 0
-    while used < max_updates and not score.solved() and score.norm > 0:
-        direction = score.mean / score.norm
-        sizes = [size * rung for rung in LADDER]
-        tried = scores(current, target, steps, direction, sizes)
-        best = min(range(len(sizes)), key=lambda k: tried[k].norm)
+    used = 0
+    while used < max_updates and not score.solved():
+        direction = score.direction()
+        tried = scores(current, target, steps, direction, LADDER)
+        best = min(range(len(LADDER)), key=lambda k: tried[k].size)
         used += 1
-        if tried[best].norm >= score.norm:
-            size *= LADDER[-1]
-            if size < 1e-12:
-                break
-            continue
-        steps = [*steps, (direction, sizes[best])]
-        score, size = tried[best], sizes[best] * 3
+        if tried[best].size >= score.size:
+            break
+        steps = [*steps, (direction, LADDER[best])]
+        score = tried[best]
         if len(steps) >= CUT_EVERY:
             current, steps = cut(moved_frame(current, target, steps), "tmle"), []
     if steps:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+FITS_AT_ONCE = 4
+
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -50,3 +57,26 @@ def cut(frame: DataFrame, label: str = "cut", by: tuple[str, ...] = ()) -> DataF
     writer = frame.write.partitionBy(*by) if by else frame.write
     writer.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def spread(frame: DataFrame, rows: int, rows_per_task: int) -> DataFrame:
+    """Repartition narrow rows that each stand for much work, to at most ``rows_per_task`` per task.
+
+    Never fewer tasks than the cluster runs at once.
+    """
+    tasks = max(frame.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / rows_per_task))
+    return frame.repartition(tasks)
+
+
+def at_least_parallel(frame: DataFrame, rows: int, rows_per_task: int) -> DataFrame:
+    """Spread a frame only when it is too small to fill the cluster by itself."""
+    slots = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(slots) if rows < slots * rows_per_task else frame
+
+
+def fit_together(spark: SparkSession, fit: Callable, items: Iterable, at_once: int = FITS_AT_ONCE) -> list:
+    """Run independent model fits side by side, since one fit seldom fills the cluster."""
+    inherit = inheritable_thread_target(spark)
+    tasks = [inherit(partial(fit, item)) for item in items]
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return list(pool.map(lambda task: task(), tasks))
