@@ -14,6 +14,7 @@ HISTORY_YEARS = 5
 DAYS_PER_HISTORY_YEAR = 365
 ARRAY_PART = 10_000
 ARRAY_SALTS = 64
+VISIT_SPAN = 10_000
 
 
 def attach_main(cohort: DataFrame, main: DataFrame, id_col: str, main_id: str) -> DataFrame:
@@ -37,10 +38,24 @@ def set_to_missing(frame: DataFrame, columns: Sequence[str], values: Sequence[fl
     return frame.withColumns({c: missing_if(f"`{c}`", values) for c in columns})
 
 
-def carry_forward(long: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    """Replace nulls by the latest earlier value of the same key, ordered by visit."""
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return long.withColumn(value, F.last(value, ignorenulls=True).over(upto))
+def carry_forward(
+    long: DataFrame, keys: Sequence[str], order: str, value: str, span: int = VISIT_SPAN
+) -> DataFrame:
+    """Replace nulls by the latest earlier value of the same key, ordered by visit number.
+
+    Visits are cut into spans; a span starts from the last value of the spans before it, so the
+    visits of one key need not meet in one task.
+    """
+    keys = list(keys)
+    spans = long.withColumn("_span", F.floor(F.col(order) / span))
+    place = F.when(F.col(value).isNotNull(), F.col(order))
+    ends = spans.groupBy(*keys, "_span").agg(F.max_by(value, place).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*keys, "_span", F.last("_end", ignorenulls=True).over(earlier).alias("_start"))
+    upto = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.last(value, ignorenulls=True).over(upto)
+    joined = spans.withColumn(value, inside).join(starts, [*keys, "_span"])
+    return joined.withColumn(value, F.coalesce(value, "_start")).drop("_span", "_start")
 
 
 def asof_latest_visit(
@@ -131,12 +146,16 @@ def map_codes(
 
 
 def _array_parts(
-    codes: DataFrame, id_col: str, date: str, position: str, part_size: int
+    codes: DataFrame, spans: DataFrame, id_col: str, date: str, position: str, part_size: int
 ) -> DataFrame:
-    """Number the part of every code row; only histories above ``part_size`` get more than part 0."""
+    """Join codes and index dates, numbering the part of every code row.
+
+    Only histories above ``part_size`` get more than part 0.  Their index rows are repeated per
+    part, so that the part joins the key and one person's codes spread over many tasks.
+    """
     sizes = codes.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
     if sizes.where(F.col("_n") > part_size).isEmpty():
-        return codes.withColumn("part", F.lit(0).cast("bigint"))
+        return spans.join(codes, id_col).withColumn("part", F.lit(0).cast("bigint"))
     celled = codes.withColumn("_salt", F.pmod(F.xxhash64(position), F.lit(ARRAY_SALTS)))
     cells = celled.groupBy(id_col, date, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = (
@@ -144,7 +163,9 @@ def _array_parts(
     )
     starts = F.coalesce(F.sum("_n").over(before), F.lit(0))
     parts = cells.withColumn("part", F.floor(starts / part_size)).drop("_n")
-    return celled.join(parts, [id_col, date, "_salt"]).drop("_salt")
+    numbered = celled.join(parts, [id_col, date, "_salt"]).drop("_salt")
+    repeated = spans.join(parts.select(id_col, "part").distinct(), id_col)
+    return repeated.join(numbered, [id_col, "part"])
 
 
 def collect_code_arrays(
@@ -166,8 +187,9 @@ def collect_code_arrays(
     A history longer than ``part_size`` codes continues in further rows with the next ``part``
     number, so no array grows without bound; all other persons have part 0 only.
     """
-    parted = _array_parts(codes, id_col, date, position, part_size)
-    joined = cohort.select(*keys, index).join(parted, id_col).where(in_lookback(date, index, years))
+    spans = cohort.select(*keys, index)
+    joined = _array_parts(codes, spans, id_col, date, position, part_size)
+    joined = joined.where(in_lookback(date, index, years))
     entry = F.struct(
         F.col(position).alias("pos"), code.alias("code"), F.date_format(date, "yyyyMMdd").alias("day")
     )

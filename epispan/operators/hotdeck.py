@@ -41,6 +41,9 @@ def hot_deck_sample(
     for which ``needed`` is false stay, without values.
     """
     by = list(by)
+    if on_empty == "error" and donors.isEmpty():
+        # an empty side would let the optimizer skip the row-level check below
+        raise ValueError("no donors to draw from")
     ranked = donor_index(donors.select(id_col, *by, *values), id_col, by, seed).drop(id_col)
     sizes = donors.groupBy(*by).agg(F.count(F.lit(1)).alias("n_donors"))
     keyed = recipients.join(F.broadcast(sizes), by, "left")

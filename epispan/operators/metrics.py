@@ -120,7 +120,8 @@ def concordance(
     if weights is None:
         counts = counts.withColumn("weight", F.lit(1.0))
     else:
-        counts = counts.join(weights.select(*by, "t", "weight"), [*by, "t"], "left")
+        # one weight per group and day
+        counts = counts.join(F.broadcast(weights.select(*by, "t", "weight")), [*by, "t"], "left")
     counts = counts.withColumn("weight", F.when(F.col("event"), F.coalesce("weight", F.lit(0.0))).otherwise(0.0))
     cells, n_cells = _celled(counts, cell_rows)
 
@@ -128,7 +129,7 @@ def concordance(
     head = "".join(f"{c} {types[c]}, " for c in by)
     schema = f"{head}concordant double, tied double, comparable double"
 
-    def inside(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def inside(key, pdf):
         rank = np.unique(pdf["score"].to_numpy(), return_inverse=True)[1].astype("int64")
         day = pdf["t"].to_numpy().astype("int64")
         day = day - day.min()
@@ -233,7 +234,8 @@ def auc_over_time(
 ) -> DataFrame:
     """Cumulative/dynamic AUC per group and time with inverse-censoring weights on the cases."""
     by = list(by)
-    counts = score_counts(frame, by, score, time, event).join(at_own_time, [*by, "t"], "left")
+    counts = score_counts(frame, by, score, time, event)
+    counts = counts.join(F.broadcast(at_own_time), [*by, "t"], "left")  # one row per group and day
     inverse = F.when(F.col("event") & (F.col("cens_surv") > 0), F.col("n") / F.col("cens_surv"))
     counts = counts.withColumn("weight", F.coalesce(inverse, F.lit(0.0)))
     cells, _ = _celled(counts, cell_rows)
@@ -242,7 +244,7 @@ def auc_over_time(
     head = "".join(f"{c} {types[c]}, " for c in by)
     schema = f"{head}cell int, t double, inner_sum double, cases double, controls double"
 
-    def inside(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def inside(key, pdf):
         pdf = pdf.sort_values("score")
         _, rank = np.unique(pdf["score"].to_numpy(), return_inverse=True)
         day, n = pdf["t"].to_numpy(dtype="float64"), pdf["n"].to_numpy(dtype="float64")
@@ -304,7 +306,8 @@ def brier_over_time(
     if not by:
         asked = times
     at_grid = step_values(asked, train_curve.withColumn("t", F.col("t").cast("double")), by, "cens_surv", 1.0)
-    rows = frame.join(own.withColumnRenamed("t", time), [*by, time])
+    # one row per group and day; many persons may share the last day
+    rows = frame.join(F.broadcast(own.withColumnRenamed("t", time)), [*by, time])
     at = np.asarray(grid, dtype="float64")
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     head = "".join(f"{c} {types[c]}, " for c in by)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from epispan.functions import codes as C
 from epispan.operators import covariates as V
 from epispan.operators import wide as Wd
+from epispan.operators.joins import BROADCAST_ROWS
 from epispan.params import (
     BIOBANK_FIELDS,
     BIOBANK_MISSING,
@@ -81,15 +82,18 @@ def merge_covariates(
 ) -> DataFrame:
     """Cohort with main covariates, diagnosis counts and flags, and drug counts.
 
-    Diagnoses and drugs are reduced to the cohort's persons and to one row per person and day
-    before they meet the index dates.
+    Diagnoses and drugs are reduced to one row per person and day before they meet the index
+    dates, and before that to the cohort's persons where those are few enough to broadcast.
     """
     keys = list(keys)
     index = cohort.select(*keys, "index_date")
     persons = cohort.select(id_col).distinct()
+    few = persons.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     main = biobank_specials(main_covariates(cohort, source, keys, id_col))
-    diagnoses = V.keep_cohort_persons(source.diagnoses, persons, id_col)
-    drugs = V.keep_cohort_persons(source.drugs, persons, id_col)
+    diagnoses, drugs = source.diagnoses, source.drugs
+    if few:
+        diagnoses = V.keep_cohort_persons(diagnoses, F.broadcast(persons), id_col)
+        drugs = V.keep_cohort_persons(drugs, F.broadcast(persons), id_col)
     found = V.code_features(diagnoses, index, keys, id_col, source.patterns)
     counted = V.code_features(
         drugs, index, keys, id_col, {}, count_name="num_drugs", code="drug_code"
