@@ -36,6 +36,7 @@ NEVER = -30.0
 PERIOD_ROWS_PER_TASK = 5_000_000
 PERSONS_PER_TASK = 50_000
 ENDPOINTS = ("0", "1", "2", "all")
+METRIC_FAMILIES = ("c_harrel", "c_uno", "c_antolini", "auc_mean", "ibs")
 
 
 def haz_name(cause: int, arm: int) -> str:
@@ -398,16 +399,16 @@ def metric_panel(
     grid: Sequence[float],
     only: str | None = None,
     causes: Sequence[int] = (1, 2),
+    families: Sequence[str] = METRIC_FAMILIES,
 ) -> DataFrame:
     """Fold metrics ``(fold, metric, endpoint, value)`` for censoring, both events and overall survival.
 
     Persons followed beyond the training part of their fold are left out; AUC and the inverse
     weights use grid times strictly inside the fold's follow-up.  ``only`` names one metric with
-    its endpoint suffix, e.g. ``c_antolini_all``.
+    its endpoint suffix, e.g. ``c_antolini_all``; ``families`` limits the metrics of a full panel.
     """
     wanted = None if only is None else only.rsplit("_", 1)
-    families = {"c_harrel", "c_uno", "c_antolini", "auc_mean", "ibs"}
-    if wanted and (wanted[0] not in families or wanted[1] not in ENDPOINTS):
+    if wanted and (wanted[0] not in METRIC_FAMILIES or wanted[1] not in ENDPOINTS):
         raise ValueError(f"Unknown metric: {only}")
     keep = ["fold", treated, time, event]
     curves = factual_curves(crossed, treated, keep, causes)
@@ -444,7 +445,7 @@ def metric_panel(
         out.append(frame.select("fold", F.lit(name).alias("metric"), "endpoint", F.col(value).alias("value")))
 
     def needed(name: str) -> bool:
-        return wanted is None or wanted[0] == name
+        return name in families if wanted is None else wanted[0] == name
 
     if needed("c_harrel"):
         add("c_harrel", E.concordance(rows, by, score, "t", "hit"), "c_index")

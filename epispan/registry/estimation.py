@@ -12,10 +12,11 @@ from epispan.operators import propensity as Q
 from epispan.operators import sampling as P
 from epispan.operators import summaries as M
 from epispan.operators import tmle as T
-from epispan.params import HazardParams
+from epispan.params import FitParams, HazardParams
+from epispan.plans.estimation import select_rows
 from epispan.registry.base import query
 from epispan.registry.sql import SEED, hashed
-from epispan.registry.statistic import FOLLOWUP, followup
+from epispan.registry.statistic import FOLD, FOLLOWUP, followup
 from epispan.session import cut
 
 GRID = tuple(range(0, 2401, 200))
@@ -228,7 +229,7 @@ def curve_frame(spark, sf):
     arrays = {}
     for arm in (0, 1):
         for cause, base in ((1, 0.06), (2, 0.03)):
-            value = lift * (base * (1 + 0.3 * arm))
+            value = lift * (base * (1 + 0.31 * arm))
             arrays[H.haz_name(cause, arm)] = F.array_repeat(value, len(GRID))
         stay = [0.98 ** (k + 1) for k in range(len(GRID))]
         arrays[H.cens_name(arm)] = F.array(*[F.lit(s) for s in stay])
@@ -241,7 +242,7 @@ INFLUENCE = f"""{FOLLOWUP},
 cf AS (
   SELECT person_id, hospitalized, event_indicator, least(event_time // 200, {len(GRID) - 1}) AS own, arm,
     CASE WHEN arm = 1 THEN 0.2::DOUBLE + c_nationkey / 100 ELSE 1 - (0.2::DOUBLE + c_nationkey / 100) END AS pi,
-    (1 + c_nationkey / 50) * (0.06::DOUBLE * (1 + 0.3::DOUBLE * arm)) AS h1, (1 + c_nationkey / 50) * (0.03::DOUBLE * (1 + 0.3::DOUBLE * arm)) AS h2
+    (1 + c_nationkey / 50) * (0.06::DOUBLE * (1 + 0.31::DOUBLE * arm)) AS h1, (1 + c_nationkey / 50) * (0.03::DOUBLE * (1 + 0.31::DOUBLE * arm)) AS h2
   FROM followup, (SELECT unnest([0, 1]) AS arm)),
 st AS (
   SELECT cf.*, s, pow(1 - h1 - h2, s + 1) AS surv, (1 - pow(1 - h1 - h2, s + 1)) / (h1 + h2) AS mass,
@@ -389,6 +390,39 @@ def _effect_groups(spark, sf):
     )
 
 
+PANEL = f"""{INFLUENCE}, folds AS (SELECT person_id, event_time, {FOLD} AS fold FROM followup),
+own AS (
+  SELECT x.person_id, f.fold, f.event_time, x.event_indicator, x.s, x.surv, 1 - x.h1 * x.mass AS p1, 1 - x.h2 * x.mass AS p2,
+    pow(0.98::DOUBLE, x.s + 1) AS p0
+  FROM st x JOIN folds f USING (person_id) WHERE own_arm = 1),
+scored AS (
+  SELECT person_id, fold, event_time, any_value(event_indicator) AS code, round(sum(-ln(p0 + 1e-10)), 9) AS s0, round(sum(-ln(p1 + 1e-10)), 9) AS s1,
+    round(sum(-ln(p2 + 1e-10)), 9) AS s2, round(sum(-ln(surv + 1e-10)), 9) AS sa FROM own GROUP BY ALL),
+ends AS (
+  SELECT fold, '0' AS endpoint, event_time AS t, code = 0 AS hit, s0 AS score FROM scored
+  UNION ALL SELECT fold, '1', event_time, code = 1, s1 FROM scored
+  UNION ALL SELECT fold, '2', event_time, code = 2, s2 FROM scored
+  UNION ALL SELECT fold, 'all', event_time, code > 0, sa FROM scored),
+kept AS (SELECT e.* FROM ends e WHERE t < (SELECT max(o.event_time) FROM folds o WHERE o.fold <> e.fold))
+"""
+
+
+@query(
+    "metric_panel_concordance",
+    "M14 M9",
+    f"""WITH {PANEL} SELECT i.fold, 'c_harrel' AS metric, i.endpoint,
+      round(avg(CASE WHEN j.score < i.score THEN 1.0 WHEN j.score = i.score THEN 0.5 ELSE 0.0 END), 8) AS value
+    FROM kept i JOIN kept j ON i.hit AND i.fold = j.fold AND i.endpoint = j.endpoint AND (j.t > i.t OR (j.t = i.t AND NOT j.hit))
+    GROUP BY i.fold, i.endpoint""",
+)
+def _panel_concordance(spark, sf):
+    rows = P.stratified_folds(curve_frame(spark, sf), "person_id", "event_indicator", 5, SEED)
+    out = H.metric_panel(
+        rows, "hospitalized", "event_time", "event_indicator", GRID_F, families=("c_harrel",)
+    )
+    return out.na.drop(subset=["value"]).withColumn("value", F.round("value", 8))
+
+
 COVARIATES = ("age", "c_acctbal", "c_nationkey")
 FIT_GRID = tuple(float(t) for t in range(0, 2401, 200))
 
@@ -406,6 +440,27 @@ def crossed(spark, sf, folds=3):
     )
 
 
+@query(
+    "selection_counts",
+    "A26 P14 T2",
+    f"""WITH {FOLLOWUP}, s AS (SELECT * FROM followup WHERE event_time > 30),
+    n AS (SELECT count(*) FILTER (WHERE hospitalized) AS n1, count(*) FILTER (WHERE NOT hospitalized) AS n0 FROM s)
+    SELECT 'all' AS step, count(*) AS n FROM followup UNION ALL SELECT 'subset', count(*) FROM s
+    UNION ALL SELECT 'subsample', n1 + CASE WHEN n0 > 2.0 * n1 THEN CAST(floor(2.0 * n1) AS BIGINT) ELSE n0 END FROM n""",
+)
+def _selection(spark, sf):
+    rows = followup(spark, sf).select("person_id", "hospitalized", "event_time")
+    subset = FitParams(subset_condition="event_time > 30")
+    sampled = FitParams(subset_condition="event_time > 30", control_subsample_factor=2.0)
+    steps = {
+        "all": rows,
+        "subset": select_rows(rows, subset, "person_id", "hospitalized"),
+        "subsample": select_rows(rows, sampled, "person_id", "hospitalized"),
+    }
+    counts = [f.agg(F.lit(k).alias("step"), F.count(F.lit(1)).alias("n")) for k, f in steps.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @query("hazard_curves", "M6 D10")
 def _hazards(spark, sf):
     rows = fit_rows(spark, sf)

@@ -230,7 +230,7 @@ def _boosted(spark, sf):
 def _grid(spark, sf):
     data = Q.prepare(feature_rows(spark, sf), "hospitalized", FEATURES)
     numbered = data.frame.withColumn("_fold", Q.hash_fold("person_id", SEED, 3))
-    _, points = Q.grid_search(
+    points = Q.grid_search(
         data, numbered, "_fold", 3, depths=(2, 3), rates=(0.1,), iterations=(3,)
     )
     return spark.createDataFrame(

@@ -76,7 +76,7 @@ def at_least_parallel(frame: DataFrame, rows: int, rows_per_task: int) -> DataFr
 
 def fit_together(spark: SparkSession, fit: Callable, items: Iterable, at_once: int = FITS_AT_ONCE) -> list:
     """Run independent model fits side by side, since one fit seldom fills the cluster."""
-    inherit = inheritable_thread_target(spark)
-    tasks = [inherit(partial(fit, item)) for item in items]
+    # every task needs its own copy of the thread's properties, hence one wrapper per task
+    tasks = [inheritable_thread_target(spark)(partial(fit, item)) for item in items]
     with ThreadPoolExecutor(max_workers=at_once) as pool:
         return list(pool.map(lambda task: task(), tasks))

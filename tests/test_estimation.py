@@ -125,7 +125,7 @@ def test_propensity_variants(design):
 def test_grid_search_reports_every_point(design):
     data = Q.prepare(design.where("patient_id < 400"), "exposed", ["x", "z"])
     folds = data.frame.withColumn("_fold", Q.hash_fold("patient_id", 1, 2))
-    _, points = Q.grid_search(data, folds, "_fold", 2, depths=(1, 2), rates=(0.1,), iterations=(2,))
+    points = Q.grid_search(data, folds, "_fold", 2, depths=(1, 2), rates=(0.1,), iterations=(2,))
     assert {p["max_depth"] for p in points} == {1, 2}
     assert all(0 <= p["accuracy"] <= 1 for p in points)
 
