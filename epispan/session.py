@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import pathlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial
@@ -13,6 +15,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 FITS_AT_ONCE = 4
+PACKAGE_ZIP = "epispan_package.zip"
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,12 +27,26 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators are planned for."""
+    """Apply the runtime settings the operators are planned for, and ship this package to workers."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, wherever the driver was started."""
+    context = spark.sparkContext
+    if any(path.endswith(PACKAGE_ZIP) for path in context.listFiles):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="epispan-")) / PACKAGE_ZIP
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for source in sorted(root.rglob("*.py")):
+            bundle.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a local one only for local sessions without it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
