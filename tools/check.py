@@ -18,6 +18,16 @@ sys.path.insert(0, ROOT)
 from epispan.registry import load_all  # noqa: E402
 
 
+SAME_TYPE = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "VARCHAR": "string",
+    "DOUBLE": "double",
+    "DATE": "date",
+    "BOOLEAN": "boolean",
+}
+
+
 def session(cpus: str = "8") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -87,7 +97,11 @@ def main() -> int:
                 print("   spark:", [x for x in a if x not in sb][:3])
                 print("   duck :", [x for x in b if x not in sa][:3])
             else:
-                odd = [t for t in types.values() if "HUGE" in t or "DECIMAL" in t]
+                odd = [
+                    f"{c}: {kind} / {types[c]}"
+                    for c, kind in frame.dtypes
+                    if SAME_TYPE.get(types[c], types[c].lower()) != kind
+                ]
                 note = f" types {odd}" if odd else ""
                 print(f"ok   {name} {len(a)} rows {took:.1f}s{note}", flush=True)
         except Exception:
