@@ -57,7 +57,8 @@ def ranked_by_score(frame: DataFrame, id_col: str, treated: str, score: str) ->
         .where(F.col("_n") > HEAVY_SCORE)
     )
     tie = hash_cell(stable_hash(0, F.lit("tie"), "id"), int(math.log2(TIE_CELLS)))
-    keyed = rows.join(heavy, ["score", "treated"], "left").withColumn(
+    # at most one heavy score per HEAVY_SCORE persons
+    keyed = rows.join(F.broadcast(heavy), ["score", "treated"], "left").withColumn(
         "_tie", F.when(F.col("_n").isNotNull(), tie).otherwise(F.lit(0).cast("bigint"))
     )
     # only heavy scores have more than one tie cell, so only they need offsets
@@ -285,9 +286,12 @@ def match_blocks(scores: DataFrame, caliper: float, cell_values: int = CELL_VALU
 
 
 def _pair_rows(blocks: DataFrame) -> DataFrame:
-    """One row per pair; large blocks are unrolled in chunks."""
+    """One row per pair; a large block is cut into chunks that spread over tasks."""
     chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / PAIR_CHUNK))
-    chunked = blocks.withColumn("_chunk", F.explode(chunks))
+    large = F.col("n") > PAIR_CHUNK
+    small = blocks.where(~large).withColumn("_chunk", F.lit(0).cast("bigint"))
+    spread = blocks.where(large).withColumn("_chunk", F.explode(chunks))
+    chunked = small.unionByName(spread.repartition(F.col("t_score"), F.col("c_score"), F.col("_chunk")))
     first = F.col("_chunk") * PAIR_CHUNK
     last = F.least(first + PAIR_CHUNK, F.col("n")) - 1
     unrolled = chunked.withColumn("_k", F.explode(F.sequence(first, last)))
@@ -321,7 +325,7 @@ def nearest_neighbor_match(
         F.count_if(F.col(treated)).alias("n_t"), F.count_if(~F.col(treated)).alias("n_c")
     )
     scores = cut(scores, "match-scores")
-    pairs = _pair_rows(match_blocks(scores, caliper, cell_values))
+    pairs = _pair_rows(cut(match_blocks(scores, caliper, cell_values), "match-blocks"))
     ranked = ranked_by_score(frame, id_col, treated, score)
     side = {
         prefix: ranked.where(cond).select(

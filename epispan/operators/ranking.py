@@ -126,8 +126,11 @@ def exact_quantiles(
     A mergeable sketch brackets every requested rank; one more scan counts what lies below the
     bracket and keeps only the values inside, so at most a small share of each group is ordered.
     """
-    by = list(by)
-    kept = frame.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    keys = list(by)
+    # without groups a constant key keeps the bracket join an equi join
+    kept = frame.withColumn("_all", F.lit(0)).where(F.col(value).isNotNull())
+    by = keys or ["_all"]
+    kept = kept.select(*by, F.col(value).alias("_v"))
     slack = 2.0 / accuracy
     lows = [max(0.0, p - slack) for p in probs]
     highs = [min(1.0, p + slack) for p in probs]
@@ -157,11 +160,8 @@ def exact_quantiles(
         ]
     )
     brackets = brackets.select(*by, F.inline(specs))
-    joined = (
-        kept.join(F.broadcast(brackets), by)
-        if by
-        else kept.join(F.broadcast(brackets), F.col("_v") <= F.col("hi"))
-    )
+    # one row per group and requested quantile
+    joined = kept.join(F.broadcast(brackets), by)
     grouped = (
         joined.where(F.col("_v") <= F.col("hi"))
         .withColumn("_at", F.when(F.col("_v") >= F.col("lo"), F.col("_v")))
@@ -180,7 +180,7 @@ def exact_quantiles(
     )
     share = F.col("rank") - F.floor("rank")
     return at_or_above.select(
-        *by,
+        *keys,
         "prob",
         (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias("quantile"),
     )

@@ -96,6 +96,7 @@ def test_nested_runs_across_cells(spark):
 
 def test_heavy_score_is_ranked_in_tie_cells(spark, monkeypatch):
     monkeypatch.setattr(X, "HEAVY_SCORE", 10)
+    monkeypatch.setattr(X, "PAIR_CHUNK", 7)
     rows = [(i, i % 3 == 0, 0.5) for i in range(300)] + [(1000 + i, True, 1.0) for i in range(5)]
     ranked = X.ranked_by_score(as_frame(spark, rows), "id", "treated", "score").collect()
     for arm in (True, False):
