@@ -126,17 +126,15 @@ def exact_quantiles(
     A mergeable sketch brackets every requested rank; one more scan counts what lies below the
     bracket and keeps only the values inside, so at most a small share of each group is ordered.
     """
-    keys = list(by)
-    # without groups a constant key keeps the bracket join an equi join
-    kept = frame.withColumn("_all", F.lit(0)).where(F.col(value).isNotNull())
-    by = keys or ["_all"]
-    kept = kept.select(*by, F.col(value).alias("_v"))
+    by = list(by)
+    kept = frame.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
     slack = 2.0 / accuracy
     lows = [max(0.0, p - slack) for p in probs]
     highs = [min(1.0, p + slack) for p in probs]
     edges = F.percentile_approx("_v", F.array(*[F.lit(p) for p in (*lows, *highs)]), accuracy)
     k = len(probs)
-    brackets = kept.groupBy(*by).agg(
+    grouped = kept.groupBy(*by) if by else kept
+    brackets = grouped.agg(
         edges.alias("_edges"),
         F.count(F.lit(1)).alias("_n"),
         F.min("_v").alias("_min"),
@@ -160,8 +158,17 @@ def exact_quantiles(
         ]
     )
     brackets = brackets.select(*by, F.inline(specs))
-    # one row per group and requested quantile
-    joined = kept.join(F.broadcast(brackets), by)
+    if by:
+        # one row per group and requested quantile
+        joined = kept.join(F.broadcast(brackets), by)
+    else:
+        # a single group's few brackets become constants
+        found = [tuple(r[c] for c in ("prob", "rank", "lo", "hi")) for r in brackets.collect()]
+        rows = [
+            F.struct(*[F.lit(v).cast("double").alias(c) for c, v in zip(("prob", "rank", "lo", "hi"), r)])
+            for r in found
+        ]
+        joined = kept.select("_v", F.inline(F.array(*rows)))
     grouped = (
         joined.where(F.col("_v") <= F.col("hi"))
         .withColumn("_at", F.when(F.col("_v") >= F.col("lo"), F.col("_v")))
@@ -180,7 +187,7 @@ def exact_quantiles(
     )
     share = F.col("rank") - F.floor("rank")
     return at_or_above.select(
-        *keys,
+        *by,
         "prob",
         (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias("quantile"),
     )

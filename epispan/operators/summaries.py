@@ -22,31 +22,35 @@ def histogram(
 
     ``by`` names a handful of groups, each with its own edges.
     """
-    by = list(by) or ["_all"]
-    rows = frame.withColumn("_all", F.lit(0)).select(
-        *by, F.col(exposed).alias("_exposed"), feature.cast("double").alias("_x")
-    ).where(F.col("_x").isNotNull())
-    ends = rows.groupBy(*by).agg(F.min("_x").alias("_min"), F.max("_x").alias("_max"))
+    by = list(by)
+    rows = frame.select(*by, F.col(exposed).alias("_exposed"), feature.cast("double").alias("_x"))
+    rows = rows.where(F.col("_x").isNotNull())
+    ends = [F.min("_x").alias("_min"), F.max("_x").alias("_max")]
     flat = F.col("_min") == F.col("_max")
-    ends = ends.select(
-        *by,
-        F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("_lo"),
-        F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("_hi"),
-    ).withColumn("_width", (F.col("_hi") - F.col("_lo")) / bins)
+    edges = {
+        "_lo": F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")),
+        "_hi": F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")),
+    }
+    number = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    if by:
+        spans = rows.groupBy(*by).agg(*ends).withColumns(edges).select(*by, "_lo", width.alias("_width"))
+        rows = rows.join(F.broadcast(spans), by)
+        grid = spans.select(*by, "_lo", "_width", number)
+    else:
+        # one group has one pair of edges, which become constants
+        spans = rows.agg(*ends).withColumns(edges).select("_lo", width.alias("_width"))
+        lo, step = spans.first()
+        constant = {"_lo": F.lit(lo).cast("double"), "_width": F.lit(step).cast("double")}
+        rows = rows.withColumns(constant)
+        grid = frame.sparkSession.range(1).select(number).withColumns(constant)
     slot = F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_width")), F.lit(bins - 1))
-    counts = (
-        rows.join(F.broadcast(ends), by)
-        .groupBy(*by, slot.cast("int").alias("bin"))
-        .agg(
-            F.count_if(F.col("_exposed")).alias("n_exposed"),
-            F.count_if(~F.col("_exposed")).alias("n_control"),
-        )
-    )
-    grid = ends.select(
-        *by, "_lo", "_width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    counts = rows.groupBy(*by, slot.cast("int").alias("bin")).agg(
+        F.count_if(F.col("_exposed")).alias("n_exposed"),
+        F.count_if(~F.col("_exposed")).alias("n_control"),
     )
     return grid.join(counts, [*by, "bin"], "left").select(
-        *[c for c in by if c != "_all"],
+        *by,
         "bin",
         (F.col("_lo") + F.col("bin") * F.col("_width")).alias("bin_start"),
         F.coalesce("n_exposed", F.lit(0)).alias("n_exposed"),
