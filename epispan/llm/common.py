@@ -23,9 +23,10 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Session settings of the library, with small Arrow batches because texts can be long."""
+    """Session settings of the library, with small Arrow batches because texts can be long, and tight files."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
     return spark
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispan.llm import lines, mixing, neardup, pii, quality
+from epispan.llm import ann, bpe, language, lines, lm, mixing, neardup, pii, quality, tokenfile
 from epispan.llm.common import documents, prepared
 from epispan.session import cut
 
@@ -41,6 +41,26 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure_quality(documents(spark, sf_dir))
 
 
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+@query("op5_lm_scores")
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(documents(spark, sf_dir))
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.digest(tokenfile.round_trip(documents(spark, sf_dir)))
+
+
+@query("op7_bpe")
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encode(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 @query("op8_mixing", mixing.ORACLE)
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = documents(spark, sf_dir).select("doc_id", "source", mixing.word_count().alias("size"))
@@ -53,3 +73,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(documents(spark, sf_dir))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query("op10_nearest_vectors")
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0)
