@@ -44,7 +44,8 @@ def test_entry_has_rows(spark):
 
 def test_contract_keys_match():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert not [n for n in contract.queries() if re.match(r"op\d+_|pipeline", n)]
+    assert set(load_all()) <= set(contract.queries())
+    assert not [n for n in load_all() if re.match(r"op\d+_|pipeline", n)]
 
 
 def test_every_operator_of_the_survey_has_a_query():
