@@ -7,17 +7,17 @@ every node of a component hangs on its smallest id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from epispan.session import cut
 
 
 def large_star(links: DataFrame) -> DataFrame:
-    """``links`` are (u, v) with u > v."""
+    """``links`` are (u, v) with u > v. The result may repeat links."""
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(links: DataFrame) -> DataFrame:
@@ -26,9 +26,12 @@ def small_star(links: DataFrame) -> DataFrame:
     return least.select("u", F.col("m").alias("v")).union(moved).distinct()
 
 
-def state(links: DataFrame) -> tuple:
-    """What changes as long as links move: their number, and an order-free hash of them."""
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def written(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links, cut, and what changes as long as they move: their number and an order-free hash of them."""
+    seen = Observation()
+    hashed = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    done = cut(links.observe(seen, F.count(F.lit(1)).alias("n"), hashed.alias("hash")), "links")
+    return done, (seen.get["n"], seen.get["hash"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -37,11 +40,9 @@ def components(links: DataFrame) -> DataFrame:
     Null ends and links of an id with itself are ignored; repeated links count once; an empty table gives no rows.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = cut(links, "links")
-    before = state(links)
-    while True:
-        links = cut(small_star(large_star(links)), "links")
-        after = state(links)
+    links, before = written(links)
+    while before[0]:
+        links, after = written(small_star(large_star(links)))
         if after == before:
             break
         before = after

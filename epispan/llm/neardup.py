@@ -6,8 +6,9 @@
 3. Every member of a bucket is paired with the bucket's smallest id. Pairs are tested on the minima, then confirmed on the
    full shingle sets; links join into components.
 4. A bucket may still hold different components, whose members differ from the smallest id but perhaps not from each
-   other. All pairs across components of such a bucket are compared on the minima, block by block in numpy, and the
-   candidates are confirmed on the full sets as before. No bucket is capped and no member is left out.
+   other. Members are compared across components on the minima, block by block in numpy; those with a candidate are compared on
+   their sets in the same way, and only links that join two components leave a block. No bucket is capped, no member is
+   left out and no list of pairs is written.
 
 Defined results: a text without words has an empty set and links with nothing; fewer words than a shingle make one shingle;
 rows that share a doc_id are one document, linked with what any of them links with; a row without doc_id links with nothing
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from epispan.llm.common import Batches, byte_texts, mix64, record
 from epispan.llm.components import components
+from epispan.operators.joins import broadcast_if_small
 from epispan.session import cut
 
 SHINGLE_WORDS = 5
@@ -37,6 +39,7 @@ SEED = 11
 #: Minima that must agree, in standard errors below the similarity asked for.
 MARGIN_ERRORS = 5.0
 BLOCK_MEMBERS = 512
+COLUMNS = 4096
 HASH_CHUNK = 4096
 KEPT_WORDS = 500_000
 
@@ -129,29 +132,36 @@ def least_agreeing(similarity: int, minima: int) -> int:
     return int(np.floor(minima * (share - MARGIN_ERRORS * (share * (1 - share) / minima) ** 0.5)))
 
 
-def agreeing(candidates: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+def agreeing(candidates: DataFrame, signs: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of which at least ``least`` minima are equal."""
-    sign = classes.select("doc_id", "minima")
 
     @F.pandas_udf("int")
     def equal(left: pd.Series, right: pd.Series) -> pd.Series:
         if not len(left):
             return pd.Series([], dtype="int32")
-        x, y = (np.frombuffer(b"".join(map(bytes, s)), np.uint32).reshape(len(s), -1) for s in (left, right))
+        x, y = (signatures(s) for s in (left, right))
         return pd.Series((x == y).sum(axis=1).astype(np.int32))
 
     return (
-        candidates.join(sign.select(F.col("doc_id").alias("b"), F.col("minima").alias("of_b")), "b")
-        .join(sign.select(F.col("doc_id").alias("a"), F.col("minima").alias("of_a")), "a")
+        candidates.join(signs.select(F.col("id").alias("b"), F.col("minima").alias("of_b")), "b")
+        .join(signs.select(F.col("id").alias("a"), F.col("minima").alias("of_a")), "a")
         .where(equal("of_a", "of_b") >= least)
         .select("a", "b")
     )
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+def signatures(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, column)), np.uint32).reshape(len(column), -1)
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Shingle sets of the documents in ``ids (doc_id)``, written once for all joins that need them."""
+    wanted = broadcast_if_small(cut(ids.distinct(), "wanted"))
+    return cut(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words), "shingle-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs whose full sets are similar enough. A set travels with the pairs of its larger id, never with its smaller id."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(shingle_sets(docs.join(ends, "doc_id", "left_semi"), words), "shingle-sets")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return (
         pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
@@ -167,11 +177,11 @@ def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select(*members.columns, F.coalesce("component", "id").alias("component"))
 
 
-def mixed_buckets(bands: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets that still hold more than one component, each bucket once by its members' digest."""
-    members = labelled(bands, found)
+def mixed_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that still hold more than one component; of buckets with the same members, one."""
+    named = labelled(members, found)
     buckets = (
-        members.groupBy("band", "key")
+        named.groupBy("band", "key")
         .agg(
             F.min("component").alias("low"),
             F.max("component").alias("high"),
@@ -183,49 +193,118 @@ def mixed_buckets(bands: DataFrame, found: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("band", "key")).alias("bucket"))
         .select("bucket.band", "bucket.key", "size")
     )
-    return members.join(buckets, ["band", "key"])
+    return named.join(buckets, ["band", "key"])
 
 
-def across(mixed: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Candidate pairs between components of a bucket, from blocks of members compared on their minima.
-
-    A member goes to every pair of blocks that its block is part of, so a bucket's work spreads over tasks of fixed memory.
-    """
+def block_pairs(members: DataFrame) -> DataFrame:
+    """Members dealt to the pairs of blocks of their bucket: work of a bucket spreads over tasks of fixed memory."""
     n_blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(SEED)), n_blocks).cast("int")
-    placed = (
-        mixed.join(classes.select(F.col("doc_id").alias("id"), "minima"), "id")
-        .withColumn("n_blocks", n_blocks)
+    return (
+        members.withColumn("n_blocks", n_blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select(
-            "band",
-            "key",
-            F.least("own", "other").alias("low"),
-            F.greatest("own", "other").alias("high"),
-            "own",
-            "id",
-            "component",
-            "minima",
-        )
+        .withColumn("low", F.least("own", "other"))
+        .withColumn("high", F.greatest("own", "other"))
+        .drop("n_blocks", "other", "size")
     )
 
+
+def sides(block: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    low, high = block["low"].iloc[0], block["high"].iloc[0]
+    return block[block["own"] == low], block[block["own"] == high]
+
+
+def suspects(mixed: DataFrame, signs: DataFrame, least: int) -> DataFrame:
+    """Members of mixed buckets whose minima agree well enough with a member of another component."""
+
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        low, high = block["low"].iloc[0], block["high"].iloc[0]
-        left = block[block["own"] == low]
-        right = block[block["own"] == high]
-        sign = lambda f: np.frombuffer(b"".join(map(bytes, f["minima"])), np.uint32).reshape(len(f), -1)
-        x, y = sign(left), sign(right)
-        ids, components_of = right["id"].to_numpy(), right["component"].to_numpy()
-        a, b = [], []
-        for k, (i, c) in enumerate(zip(left["id"], left["component"], strict=True)):
-            equal = ((x[k] == y).sum(axis=1) >= least) & (components_of != c) & ((ids > i) | (low != high))
-            a += [i] * int(equal.sum())
-            b += ids[equal].tolist()
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return placed.groupBy("band", "key", "low", "high").applyInPandas(compare, "a bigint, b bigint").distinct()
+        left, right = sides(block)
+        x, y = signatures(left["minima"]), signatures(right["minima"])
+        other, hit = right["component"].to_numpy(), np.zeros(len(right), bool)
+        ids = []
+        for sign, i, component in zip(x, left["id"], left["component"], strict=True):
+            near = ((sign == y).sum(axis=1) >= least) & (other != component)
+            hit |= near
+            ids += [i] * bool(near.any())
+        both = np.unique(np.r_[np.array(ids, np.int64), right["id"].to_numpy(np.int64)[hit]])
+        return pd.DataFrame({"band": block["band"].iloc[0], "key": block["key"].iloc[0], "id": both})
+
+    dealt = block_pairs(mixed.join(signs, "id"))
+    return dealt.groupBy("band", "key", "low", "high").applyInPandas(compare, "band int, key bigint, id bigint").distinct()
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections between two lists of sets: a matrix product over the values that both sides hold."""
+    sizes = [[len(s) for s in side] for side in (left, right)]
+    values = [np.concatenate(side) for side in (left, right)]
+    shared = np.intersect1d(*values)
+    rows, places = [], []
+    for side, own in zip(values, sizes, strict=True):
+        at = np.minimum(np.searchsorted(shared, side), max(len(shared) - 1, 0))
+        held = shared[at] == side if len(shared) else np.zeros(len(side), bool)
+        rows.append(np.repeat(np.arange(len(own)), own)[held])
+        places.append(at[held])
+    total = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(shared), COLUMNS):
+        part = []
+        for k in range(2):
+            grid = np.zeros((len(sizes[k]), COLUMNS), np.float32)
+            inside = (places[k] >= start) & (places[k] < start + COLUMNS)
+            grid[rows[k][inside], places[k][inside] - start] = 1
+            part.append(grid)
+        total += part[0] @ part[1].T
+    return total
+
+
+def across(members: DataFrame, sets: DataFrame, similarity: int, whole: bool = False) -> DataFrame:
+    """Links (a, b) that join different components of a bucket; of several that join the same two, one.
+
+    All pairs of two blocks are compared at once. Sets are compared by 32 bits of their values unless ``whole``, which can
+    only make a pair look more alike: no link is missed, and the links found are confirmed on the full values afterwards.
+    """
+    values = F.col("shingles") if whole else F.transform("shingles", lambda s: F.shiftright(s, 32).cast("int"))
+    short = sets.select(F.col("doc_id").alias("id"), values.alias("values"))
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        left, right = sides(block)
+        shared = common_counts(*([np.unique(v) for v in side["values"]] for side in (left, right)))
+        n, m = (np.array([len(v) for v in side["values"]], np.float64) for side in (left, right))
+        alike = 100 * shared >= similarity * (n[:, None] + m - shared)
+        alike &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while root.get(c, c) != c:
+                root[c] = root.get(root[c], root[c])
+                c = root[c]
+            return c
+
+        links = []
+        for i, j in zip(*np.nonzero(alike), strict=True):
+            p, q = top(int(left["component"].iloc[i])), top(int(right["component"].iloc[j]))
+            if p != q:
+                root[p] = q
+                a, b = int(left["id"].iloc[i]), int(right["id"].iloc[j])
+                links.append((min(a, b), max(a, b)))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    dealt = block_pairs(members.join(short, "id"))
+    return dealt.groupBy("band", "key", "low", "high").applyInPandas(compare, "a bigint, b bigint").distinct()
+
+
+def joined_up(members: DataFrame, found: DataFrame, links: DataFrame, signs: DataFrame, known: DataFrame, words: int, similarity: int, least: int):
+    """Components after the links across components of all mixed buckets."""
+    mixed = cut(mixed_buckets(members, found), "mixed")
+    chosen = cut(suspects(mixed, signs, least), "suspects")
+    sizes = chosen.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"))
+    own = labelled(chosen, found).join(sizes, ["band", "key"])
+    sets = sets_of(chosen.select(F.col("id").alias("doc_id")), known, words)
+    more = cut(across(own, sets, similarity), "across")
+    sure = cut(confirmed(more, sets, similarity), "confirmed")
+    if sure.count() < more.count():  # 32 bits deceived: a false link may have stood for a true one, so compare all bits
+        sure = across(own, sets, similarity, whole=True)
+    return cut(components(links.union(sure)), "components")
 
 
 def near_duplicates(
@@ -240,22 +319,25 @@ def near_duplicates(
     known = texts.where("doc_id is not null")
     first = cut(signed(texts, words, minima), "signed")
     sets = first.where("doc_id is not null and digest is not null")
-    twins = sets.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("twin"))
-    of_class = sets.join(twins, ["digest", "n_shingles"])
-    classes = cut(of_class.where("doc_id = twin").select("doc_id", "digest", "minima").distinct(), "classes")
+    least_row = F.min(F.struct("doc_id", "minima")).alias("least_row")
+    classes = cut(sets.groupBy("digest", "n_shingles").agg(least_row).select("digest", "n_shingles", "least_row.*"), "classes")
+    twins = classes.select("digest", "n_shingles", F.col("doc_id").alias("twin"))
+    of_class = sets.select("doc_id", "digest", "n_shingles").join(twins, ["digest", "n_shingles"])
     ids = of_class.groupBy("doc_id").agg(F.min("twin").alias("a"), F.max("twin").alias("z")).where("a < z")
     same_id = of_class.join(ids, "doc_id").where("twin > a").select("a", F.col("twin").alias("b"))
+
     least = least_agreeing(similarity, minima)
     bands = cut(band_keys(classes, rows, minima), "bands")
-    buckets = bands.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
-    stars = bands.join(buckets, ["band", "key"]).where("id > a").select("a", F.col("id").alias("b")).distinct()
-    pairs = cut(agreeing(stars, classes, least), "pairs")
-    links = cut(confirmed(pairs, known, words, similarity).union(same_id), "confirmed")
+    buckets = cut(bands.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z"), "buckets")
+    members = cut(bands.join(broadcast_if_small(buckets), ["band", "key"]).select("band", "key", "id", "a"), "members")
+    involved = broadcast_if_small(cut(members.select(F.col("id").alias("doc_id")).distinct(), "involved"))
+    signs = cut(classes.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "minima").distinct(), "signs")
+    stars = members.where("id > a").select("a", F.col("id").alias("b")).distinct()
+    pairs = cut(agreeing(stars, signs, least), "pairs")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    links = cut(confirmed(pairs, sets_of(ends, known, words), similarity).union(same_id), "confirmed")
     found = cut(components(links), "components")
-    rest = cut(across(mixed_buckets(bands, found), classes, least), "across")
-    if rest.limit(1).count():
-        links = links.union(confirmed(rest, known, words, similarity))
-        found = cut(components(links), "components")
+    found = joined_up(members.drop("a"), found, links, signs, known, words, similarity, least)
     of_row = first.select("doc_id", "n_shingles", "digest").join(twins, ["digest", "n_shingles"], "left")
     labels = labelled(of_row.withColumn("id", F.coalesce("twin", "doc_id")), found)
     return labels.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
