@@ -21,10 +21,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epispan.llm.pretokens import PieceCache
+from epispan.llm.pretokens import PieceEncoder, simple_tokens
 
-KEPT_PIECES = 300_000
-TEXTS_AT_ONCE = 64
+KEPT_PIECES = 600_000
 
 #: The private alphabet: byte b is the letter U+0100 + b. None of them is white space to sentencepiece.
 ALPHABET = "".join(chr(0x100 + b) for b in range(256))
@@ -92,28 +91,24 @@ class Codec:
         ordered = sorted(ranks.values())
         self.ids = np.array(ordered, np.uint32)
         self.tokens = {rank: self.back(self.model.id_to_piece(k)) for k, rank in enumerate(ordered)}
-        self.cache = PieceCache(self.learn, KEPT_PIECES)
+        self.pieces = PieceEncoder(self.split, self.encode_token, KEPT_PIECES)
 
     @staticmethod
     def back(text: str) -> bytes:
         return bytes(ord(c) - 0x100 for c in text)
 
-    def learn(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers, from its pre-tokens."""
-        split = [self.pattern.findall(t) for t in texts]
-        distinct = list(set().union(*split))
-        known = {p: self.ranks.get(p.encode()) for p in distinct}
-        merged = [p for p in distinct if known[p] is None]
-        found = self.model.encode([letters(p.encode()) for p in merged], num_threads=1) if merged else []
-        ids = {p: np.array([rank], "<u4").tobytes() for p, rank in known.items() if rank is not None}
-        ids.update((p, self.ids[k].astype("<u4").tobytes()) for p, k in zip(merged, found, strict=True))
-        return [b"".join(map(ids.__getitem__, s)) for s in split]
+    def split(self, piece: str) -> list[str]:
+        return simple_tokens(piece) or self.pattern.findall(piece)
+
+    def encode_token(self, token: str) -> bytes:
+        """Ids of a pre-token, little-endian 32-bit."""
+        data = token.encode()
+        whole = self.ranks.get(data)
+        ids = self.ids[self.model.encode(letters(data))] if whole is None else np.array([whole])
+        return ids.astype("<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for start in range(0, len(texts), TEXTS_AT_ONCE):
-            out += self.cache.encode(texts[start : start + TEXTS_AT_ONCE])
-        return out
+        return [self.pieces.encode(t) for t in texts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -7,47 +7,66 @@ are cut by two replacements; all other texts stay whole.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-#: White space (or the mark itself) that makes a text stay whole.
-ODD = re.compile("[\0\t\v\f\r\x1c-\x1f\x85\xa0  -     　]|[ \n][ \n]")
 MARK = "\0"
 
+#: What makes a text stay whole: the mark, white space in a row, and all white space but space and line feed.
+ODD_CODES = (0x00, 0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B))
+ODD_CODES += (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+ODD = ("  ", " \n", "\n ", "\n\n", *map(chr, ODD_CODES))
+
+#: Pieces above this length are encoded but not kept.
+LONG_PIECE = 200
+
 
 def pieces(text: str) -> list[str]:
     """The text cut before every space and around every line feed; whole if its white space is not that simple."""
-    if ODD.search(text):
+    if any(odd in text for odd in ODD):
         return [text]
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split(MARK)
 
 
-class PieceCache(dict):
-    """Encoded bytes per piece, filled a batch of texts at a time and emptied when it has grown too large."""
+class Kept(dict):
+    """Encoded bytes per string, found when first asked for, and emptied when there are too many."""
 
-    def __init__(self, learn, most: int):
+    def __init__(self, find: Callable[[str], bytes], most: int):
         super().__init__()
-        self.learn, self.most = learn, most
+        self.find, self.most = find, most
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        if len(self) > self.most:
-            self.clear()
-        unknown = set().union(*cut) - self.keys()
-        long = {p for p in unknown if len(p) > LONG_PIECE}
-        self.update(zip(short := list(unknown - long), self.learn(short), strict=True))
-        once = dict(zip(long, self.learn(list(long)), strict=True))
-        known = ChainLookup(self, once) if once else self
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+    def __missing__(self, text: str) -> bytes:
+        found = self.find(text)
+        if len(text) <= LONG_PIECE:
+            if len(self) >= self.most:
+                self.clear()
+            self[text] = found
+        return found
 
 
-class ChainLookup:
-    def __init__(self, first: dict, second: dict):
-        self.first, self.second = first, second
+class PieceEncoder:
+    """Encodes texts by their pieces, and pieces by their pre-tokens; both are kept."""
 
-    def __getitem__(self, key: str) -> bytes:
-        found = self.first.get(key)
-        return self.second[key] if found is None else found
+    def __init__(self, split: Callable[[str], list[str]], encode_token: Callable[[str], bytes], most: int):
+        self.tokens = Kept(encode_token, most)
+        self.split = split
+        self.known = Kept(self.encode_piece, most)
 
+    def encode_piece(self, piece: str) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, self.split(piece)))
 
-#: Pieces above this length are encoded but not kept.
-LONG_PIECE = 200
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, pieces(text)))
+
+
+#: Marks that are a pre-token of their own after a word.
+MARKS = frozenset(".,;:!?")
+
+
+def simple_tokens(piece: str) -> list[str] | None:
+    """Pre-tokens of a word with at most one space before and one mark after it; None for any other piece."""
+    word = piece[1:] if piece[:1] == " " else piece
+    if word.isalpha():
+        return [piece]
+    if word[-1:] in MARKS and word[:-1].isalpha():
+        return [piece[:-1], piece[-1]]
+    return None

@@ -11,6 +11,9 @@ Defined results: null or empty text has the end id only; null doc_id sorts first
 
 from __future__ import annotations
 
+import codecs
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
@@ -18,15 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epispan.llm.common import Batches, record, texts
-from epispan.llm.pretokens import PieceCache
+from epispan.llm.pretokens import PieceEncoder, simple_tokens
 from epispan.session import cut, scratch_path
 
 END_ID = 2
-KEPT_PIECES = 300_000
-TEXTS_AT_ONCE = 64
+KEPT_PIECES = 600_000
 BLOCK_IDS = 2**18
 IDS_PER_SHARD = 2**24
-JOINED_PIECES = 2_000
 
 IDS_DDL = "doc_id bigint, ids binary"
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -74,38 +75,53 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return values
 
 
+def byte_letters() -> str:
+    """The letters by which byte-level vocabularies write the bytes 0 to 255: printable ones stand for themselves."""
+    printable = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in printable else next(others)) for b in range(256))
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class Encoder:
-    """The public tokenizer, asked once per distinct piece of text."""
+    """The public tokenizer. A byte-level one is asked once per distinct pre-token, any other one per text."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4"
-        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.cache = PieceCache(self.learn, KEPT_PIECES)
-
-    def learn(self, found: list[str]) -> list[bytes]:
-        """Ids of each piece. Pieces without white space inside are encoded many at a time, with line feeds between."""
-        plain = [p for p in found if p and "\n" not in p and len(self.feed) == 1 and len(p.split()) == 1 and p.strip() == p[p[0] == " " :]]
-        known = {}
-        for start in range(0, len(plain), JOINED_PIECES):
-            part = plain[start : start + JOINED_PIECES]
-            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, self.dtype)
-            edges = np.r_[-1, np.flatnonzero(ids == self.feed[0]), len(ids)]
-            if len(edges) == len(part) + 1:
-                known.update((p, ids[a + 1 : b].tobytes()) for p, a, b in zip(part, edges[:-1], edges[1:], strict=True))
-        rest = [p for p in found if p not in known]
-        encoded = self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else []
-        known.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(rest, encoded, strict=True))
-        return [known[p] for p in found]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        read = json.loads(definition)
+        cut = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.by_piece = (
+            read["model"]["type"] == "BPE"
+            and read["normalizer"] is None
+            and read["truncation"] is None
+            and cut.items() <= (read["pre_tokenizer"] or {}).items()
+        )
+        self.pieces = PieceEncoder(self.split, self.encode_token, KEPT_PIECES)
+
+    def split(self, piece: str) -> list[str]:
+        """Pre-tokens in the letters of the vocabulary."""
+        simple = simple_tokens(piece)
+        if simple:
+            return [codecs.charmap_decode(t.encode(), "strict", BYTE_LETTERS)[0] for t in simple]
+        return [token for token, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
+
+    def encode_token(self, token: str) -> bytes:
+        return np.array([t.id for t in self.tokenizer.model.tokenize(token)], self.dtype).tobytes()
+
+    def encode_text(self, text: str) -> bytes:
+        if self.by_piece and not any(a in text for a in self.added):
+            return self.pieces.encode(text)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, batch: list[str], end_id: int) -> list[bytes]:
         end = np.array([end_id], self.dtype).tobytes()
-        out = []
-        for start in range(0, len(batch), TEXTS_AT_ONCE):
-            out += [ids + end for ids in self.cache.encode(batch[start : start + TEXTS_AT_ONCE])]
-        return out
+        return [self.encode_text(t) + end for t in batch]
 
 
 ENCODERS: dict[int, Encoder] = {}
