@@ -220,6 +220,8 @@ def suspects(mixed: DataFrame, signs: DataFrame, least: int) -> DataFrame:
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         left, right = sides(block)
+        if not len(left) or not len(right):  # no member fell into one of the two blocks
+            return pd.DataFrame({"band": [], "key": [], "id": []}).astype({"band": "int32", "key": "int64", "id": "int64"})
         x, y = signatures(left["minima"]), signatures(right["minima"])
         other, hit = right["component"].to_numpy(), np.zeros(len(right), bool)
         ids = []
@@ -268,6 +270,8 @@ def across(members: DataFrame, sets: DataFrame, similarity: int, whole: bool = F
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         left, right = sides(block)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
         shared = common_counts(*([np.unique(v) for v in side["values"]] for side in (left, right)))
         n, m = (np.array([len(v) for v in side["values"]], np.float64) for side in (left, right))
         alike = 100 * shared >= similarity * (n[:, None] + m - shared)
