@@ -30,7 +30,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 BLOCK_WORDS = 2**20
 BLOCK_DOCS = 2**16
-SHARD_WORDS = 2**24
+SHARD_WORDS = 2**22
 SEED = 17
 PARALLEL_LEVEL = 6
 TAIL_DEVIATIONS = 12
