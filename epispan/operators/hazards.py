@@ -31,7 +31,6 @@ from epispan.session import FITS_AT_ONCE, at_least_parallel, cut, fit_together,
 
 ARMS = (0, 1)
 MAX_TOTAL_HAZARD = 0.999
-LOGISTIC_ITERATIONS = 30
 NEVER = -30.0
 PERIOD_ROWS_PER_TASK = 5_000_000
 PERSONS_PER_TASK = 50_000
@@ -195,6 +194,8 @@ def fit_hazards(
     seed: int = 0,
 ) -> LogisticHazards | TreeHazards:
     """Fit hazards of the causes and of censoring on all rows of the frame."""
+    if params.learner == "gbt" and params.max_depth > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {params.max_depth} is above the learner's limit of {MAX_TREE_DEPTH}")
     names = [*columns, treated]
     cast, flagged = numeric_features(frame, names)
     # a person unfolds into up to one row per grid time, so tasks take few persons each
@@ -215,7 +216,7 @@ def fit_hazards(
             label = F.when(F.col("event_label") == cause, F.lit(k + 1.0)).otherwise(label)
         model = LogisticRegression(
             labelCol="_y", featuresCol="features", family="multinomial",
-            regParam=params.reg_param, maxIter=LOGISTIC_ITERATIONS, tol=1e-4,
+            regParam=params.reg_param, maxIter=params.logistic_iter, tol=params.logistic_tol,
         ).fit(rows.select("features", label.alias("_y")))
         p, classes = len(names) + len(flagged), len(causes) + 2
         # a class nobody has in the highest place is unknown to the fit and stays very unlikely
@@ -232,7 +233,7 @@ def fit_hazards(
         settings = {
             "maxIter": params.n_iter,
             "stepSize": params.learning_rate,
-            "maxDepth": min(params.max_depth, MAX_TREE_DEPTH),
+            "maxDepth": params.max_depth,
             "minInstancesPerNode": params.min_samples_leaf,
             "seed": seed,
             "featuresCol": "features",
@@ -319,7 +320,7 @@ def random_trials(n: int, seed: int, base: HazardParams) -> list[HazardParams]:
                 base,
                 n_iter=draw.randint(50, 250),
                 learning_rate=rate,
-                max_depth=min(draw.randint(2, 100), MAX_TREE_DEPTH),
+                max_depth=draw.randint(2, MAX_TREE_DEPTH),
                 min_samples_leaf=draw.randint(1, 60),
                 reg_param=10 ** draw.uniform(-5, -1),
             )

@@ -145,7 +145,10 @@ BIOBANK_PATTERNS = {
 
 @dataclass(frozen=True)
 class HazardParams:
-    """Learner of the discrete-time hazards; the boosting values apply to ``learner='gbt'``."""
+    """Learner of the discrete-time hazards; the boosting values apply to ``learner='gbt'``.
+
+    A depth above the learner's limit raises.
+    """
 
     learner: str = "logistic"
     n_iter: int = 125
@@ -153,6 +156,8 @@ class HazardParams:
     max_depth: int = 3
     min_samples_leaf: int = 49
     reg_param: float = 1e-3
+    logistic_iter: int = 30
+    logistic_tol: float = 1e-4
 
 
 @dataclass(frozen=True)

@@ -214,3 +214,8 @@ def write_results(result: Estimated, out: str) -> None:
     for name, table in tables.items():
         if table is not None:
             table.write.mode("overwrite").parquet(f"{out}/{name}")
+    if not result.solved:
+        logger.warning("targeting did not solve its equations after %d updates", result.updates)
+    row = [(result.updates, result.solved)]
+    spark = result.estimates.sparkSession
+    spark.createDataFrame(row, "updates int, solved boolean").coalesce(1).write.mode("overwrite").parquet(f"{out}/targeting")

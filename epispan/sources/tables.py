@@ -31,14 +31,25 @@ def cohort_schema(cols: PersonColumns) -> T.StructType:
     )
 
 
+def strict(name: str, kind: T.DataType | str, path: str, formats: Sequence[str] = ()) -> Column:
+    """Text as a value of ``kind``: blank text is null, text that does not parse raises with file, column and text.
+
+    ``formats`` are tried in order for dates; without them the value is cast.
+    """
+    text = F.trim(quoted(name))
+    text = F.when(text != "", text)
+    parsed = F.coalesce(*[F.try_to_date(text, f) for f in formats]) if formats else text.try_cast(kind)
+    complaint = F.raise_error(F.concat(F.lit(f"{path}: column {name}: bad value "), text)).cast(kind)
+    return F.when(text.isNotNull() & parsed.isNull(), complaint).otherwise(parsed)
+
+
 def _read_csv(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
     """CSV with a header; columns are matched by name, so their order in the file does not matter."""
     head = spark.read.csv(path, header=True, inferSchema=False, **options)
-    typed = {f.name: quoted(f.name).try_cast(f.dataType) for f in schema.fields}
-    missing = sorted(set(typed) - set(head.columns))
+    missing = sorted({f.name for f in schema.fields} - set(head.columns))
     if missing:
         raise ValueError(f"{path} lacks columns {missing}")
-    return head.select(*[column.alias(name) for name, column in typed.items()])
+    return head.select(*[strict(f.name, f.dataType, path).alias(f.name) for f in schema.fields])
 
 
 def read_person_dates(
@@ -71,9 +82,8 @@ def read_wide_main(
 
     def typed(name: str) -> Column:
         if name == id_col:
-            return quoted(name).cast("bigint")
-        kind = "date" if name.startswith(f"{date_field}-") else "double"
-        return quoted(name).try_cast(kind)
+            return strict(name, "bigint", path)
+        return strict(name, "date" if name.startswith(f"{date_field}-") else "double", path)
 
     return head.select(*[typed(c).alias(c) for c in names])
 
@@ -86,18 +96,13 @@ def read_code_families(
 
     def typed(name: str) -> Column:
         if name == id_col:
-            return quoted(name).cast("bigint")
+            return strict(name, "bigint", path)
         is_date = any(name.startswith(prefix) for prefix in date_prefixes)
-        return quoted(name).try_cast("date") if is_date else quoted(name)
+        return strict(name, "date", path) if is_date else quoted(name)
 
     return head.select(*[typed(c).alias(c) for c in head.columns])
 
 
-def mixed_date(text: str, formats: Sequence[str]) -> Column:
-    """First format that parses."""
-    return F.coalesce(*[F.try_to_date(F.col(text), f) for f in formats])
-
-
 def read_glob_tsv(
     spark: SparkSession,
     pattern: str,
@@ -106,12 +111,15 @@ def read_glob_tsv(
     result: str = "result",
     formats: Sequence[str] = ("dd/MM/yyyy", "yyyy-MM-dd"),
 ) -> DataFrame:
-    """Test results from all matching tab-separated files, with dates in mixed formats."""
+    """Test results from all matching tab-separated files.
+
+    Dates may be in any of ``formats``; the first that parses holds, so a date of another format raises.
+    """
     raw = spark.read.csv(pattern, sep="\t", header=True, inferSchema=False)
     return raw.select(
-        F.col(id_col).cast("bigint").alias(id_col),
-        mixed_date(date, formats).alias(date),
-        F.col(result).cast("int").alias(result),
+        strict(id_col, "bigint", pattern).alias(id_col),
+        strict(date, "date", pattern, formats).alias(date),
+        strict(result, "int", pattern).alias(result),
     )
 
 

@@ -77,3 +77,25 @@ def test_scratch_paths_lie_in_the_named_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert shared_folder(spark) == folder
     assert scratch_path(spark, "a").startswith(folder) and scratch_path(spark, "a") != scratch_path(spark, "a")
+
+
+@pytest.mark.parametrize("column, bad", [("birth_date", "03/04/2020"), ("patient_id", "x7")])
+def test_bad_values_raise_with_column_and_value(spark, person_csv, tmp_path, column, bad):
+    lines = open(person_csv).read().split("\n")
+    names = lines[0].split(",")
+    values = lines[1].split(",")
+    values[names.index(column)] = bad
+    path = tmp_path / "bad.csv"
+    path.write_text("\n".join([lines[0], ",".join(values), *lines[2:]]))
+    with pytest.raises(Exception, match=f"column {column}: bad value {bad}"):
+        tables.read_person_dates(spark, str(path)).collect()
+
+
+def test_dates_of_another_format_raise(spark, tmp_path):
+    path = tmp_path / "tests.tsv"
+    path.write_text("eid\tspecdate\tresult\n1\t01/02/2020\t1\n2\t2020-02-03\t0\n3\t\t0\n")
+    rows = tables.read_glob_tsv(spark, str(path)).orderBy("eid").collect()
+    assert [r.specdate for r in rows] == [dt.date(2020, 2, 1), dt.date(2020, 2, 3), None]
+    path.write_text("eid\tspecdate\tresult\n1\tApr 5 2020\t1\n")
+    with pytest.raises(Exception, match="column specdate: bad value Apr 5 2020"):
+        tables.read_glob_tsv(spark, str(path)).collect()
