@@ -204,13 +204,13 @@ class Scorer:
 
     def score(self, text: str) -> np.ndarray:
         split = text.split()
-        unknown = set(split) - self.place.keys()
+        unknown = [p for p in set(split) if p not in self.place]
         if len(self.place) + len(unknown) > KEPT_PIECES:
             self.place.clear()
             self.scores = np.zeros((1024, self.scores.shape[1]))
-            unknown = set(split)
+            unknown = list(set(split))
         if unknown:
-            self.learn(list(unknown))
+            self.learn(unknown)
         return self.scores[np.fromiter(map(self.place.__getitem__, split), np.int64, len(split))].sum(axis=0)
 
 
