@@ -12,8 +12,8 @@ from epispan.operators.joins import broadcast_if_small, require_rows
 
 HISTORY_YEARS = 5
 DAYS_PER_HISTORY_YEAR = 365
-ARRAY_PART = 10_000
-ARRAY_SALTS = 64
+ARRAY_CHUNK = 10_000
+MAX_CATEGORIES = 1_000
 VISIT_SPAN = 10_000
 
 
@@ -145,29 +145,6 @@ def map_codes(
     return joined.withColumn(label, known).drop("_label")
 
 
-def _array_parts(
-    codes: DataFrame, spans: DataFrame, id_col: str, date: str, position: str, part_size: int
-) -> DataFrame:
-    """Join codes and index dates, numbering the part of every code row.
-
-    Only histories above ``part_size`` get more than part 0.  Their index rows are repeated per
-    part, so that the part joins the key and one person's codes spread over many tasks.
-    """
-    sizes = codes.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-    if sizes.where(F.col("_n") > part_size).isEmpty():
-        return spans.join(codes, id_col).withColumn("part", F.lit(0).cast("bigint"))
-    celled = codes.withColumn("_salt", F.pmod(F.xxhash64(position), F.lit(ARRAY_SALTS)))
-    cells = celled.groupBy(id_col, date, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = (
-        Window.partitionBy(id_col).orderBy(date, "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    parts = cells.withColumn("part", F.floor(starts / part_size)).drop("_n")
-    numbered = celled.join(parts, [id_col, date, "_salt"]).drop("_salt")
-    repeated = spans.join(parts.select(id_col, "part").distinct(), id_col)
-    return repeated.join(numbered, [id_col, "part"])
-
-
 def collect_code_arrays(
     codes: DataFrame,
     cohort: DataFrame,
@@ -180,27 +157,40 @@ def collect_code_arrays(
     years: int = HISTORY_YEARS,
     position: str = "pos",
     date: str = "code_date",
-    part_size: int = ARRAY_PART,
+    chunk_size: int = ARRAY_CHUNK,
 ) -> DataFrame:
-    """Position-ordered code and ``yyyyMMdd`` date arrays of the look-back window.
+    """Position-ordered code and ``yyyyMMdd`` date arrays of the look-back window, one row per key.
 
-    A history longer than ``part_size`` codes continues in further rows with the next ``part``
-    number, so no array grows without bound; all other persons have part 0 only.
+    Entries are sorted in chunks of ``chunk_size`` neighbouring positions, so that the codes of
+    one person are ordered by several tasks; the chunks of a key are then put together in order.
+    The chunk size has no influence on the result.
     """
-    spans = cohort.select(*keys, index)
-    joined = _array_parts(codes, spans, id_col, date, position, part_size)
-    joined = joined.where(in_lookback(date, index, years))
+    joined = cohort.select(*keys, index).join(codes, id_col).where(in_lookback(date, index, years))
     entry = F.struct(
         F.col(position).alias("pos"), code.alias("code"), F.date_format(date, "yyyyMMdd").alias("day")
     )
-    arrays = joined.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    chunk = F.floor(F.col(position) / chunk_size).alias("_chunk")
+    chunks = joined.groupBy(*keys, chunk).agg(F.array_sort(F.collect_list(entry)).alias("_part"))
+    parts = F.array_sort(F.collect_list(F.struct("_chunk", "_part")))
+    arrays = chunks.groupBy(*keys).agg(parts.alias("_parts"))
+    arrays = arrays.withColumn("_all", F.flatten("_parts._part"))
     return arrays.select(
-        *keys, "part", F.col("_all.code").alias(codes_name), F.col("_all.day").alias(dates_name)
+        *keys, F.col("_all.code").alias(codes_name), F.col("_all.day").alias(dates_name)
     )
 
 
-def categories(frame: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct non-null values of categorical columns, found in one pass."""
+def categories(
+    frame: DataFrame, columns: Sequence[str], most: int = MAX_CATEGORIES
+) -> dict[str, list[str]]:
+    """Sorted distinct non-null values of categorical columns.
+
+    The number of values is estimated first: a column with more than about ``most`` of them, such
+    as an id, raises before its values are gathered.
+    """
+    sizes = frame.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in columns]).first()
+    wide = [c for c in columns if sizes[c] > 1.2 * most]
+    if wide:
+        raise ValueError(f"more than {most} categories in {', '.join(wide)}")
     row = frame.agg(
         *[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns]
     ).first()

@@ -47,7 +47,11 @@ def balanced_weights(frame: DataFrame, label: str, out: str = "weight") -> DataF
 
 
 def ranked_by_score(frame: DataFrame, id_col: str, treated: str, score: str) -> DataFrame:
-    """Zero-based rank of every person within (score, arm), also for very frequent scores."""
+    """Zero-based rank of every person within (score, arm), in the order (hash of the id, id).
+
+    The order is the same for rare and frequent scores; ``HEAVY_SCORE`` only decides which scores
+    are ranked by several tasks.
+    """
     rows = frame.select(
         F.col(id_col).alias("id"), F.col(treated).alias("treated"), F.col(score).alias("score")
     )
@@ -58,8 +62,12 @@ def ranked_by_score(frame: DataFrame, id_col: str, treated: str, score: str) ->
     )
     tie = hash_cell(stable_hash(0, F.lit("tie"), "id"), int(math.log2(TIE_CELLS)))
     # at most one heavy score per HEAVY_SCORE persons
-    keyed = rows.join(F.broadcast(heavy), ["score", "treated"], "left").withColumn(
-        "_tie", F.when(F.col("_n").isNotNull(), tie).otherwise(F.lit(0).cast("bigint"))
+    keyed = (
+        rows.withColumn("_order", tie)
+        .join(F.broadcast(heavy), ["score", "treated"], "left")
+        .withColumn(
+            "_tie", F.when(F.col("_n").isNotNull(), F.col("_order")).otherwise(F.lit(0).cast("bigint"))
+        )
     )
     # only heavy scores have more than one tie cell, so only they need offsets
     counts = (
@@ -73,7 +81,7 @@ def ranked_by_score(frame: DataFrame, id_col: str, treated: str, score: str) ->
     offsets = counts.select(
         "score", "treated", "_tie", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy("score", "treated", "_tie").orderBy("id")
+    inside = Window.partitionBy("score", "treated", "_tie").orderBy("_order", "id")
     return (
         keyed.withColumn("_r", F.row_number().over(inside) - 1)
         .join(offsets, ["score", "treated", "_tie"], "left")

@@ -83,25 +83,23 @@ def wide_to_long(frame: DataFrame, id_col: str, date_field: str = "visit_date")
     return frame.select(id_col, F.inline(F.filter(cells, lambda c: c["value"].isNotNull())))
 
 
+def static_values(columns: Sequence[str], date_field: str = "visit_date") -> list[Column]:
+    """The static columns under their field names, as expressions."""
+    return [quoted(c).alias(c.split("-")[0]) for c in wide_layout(columns, date_field).static]
+
+
 def static_columns(frame: DataFrame, keys: Sequence[str], date_field: str = "visit_date") -> DataFrame:
     """The static columns under their field names."""
-    layout = wide_layout(frame.columns, date_field)
-    return frame.select(*keys, *[quoted(c).alias(c.split("-")[0]) for c in layout.static])
+    return frame.select(*keys, *static_values(frame.columns, date_field))
 
 
 def slot_name(field: str, arr: int) -> str:
     return field if arr == 0 else f"{field}.{arr}"
 
 
-def asof_from_wide(
-    frame: DataFrame, keys: Sequence[str], index: str, date_field: str = "visit_date"
-) -> DataFrame:
-    """Latest value of every repeated field at the index date, read inside the wide row.
-
-    A visit counts when its date is not after the index; a value missing at the latest such visit
-    is carried forward from the most recent earlier one.
-    """
-    layout = wide_layout(frame.columns, date_field)
+def asof_columns(columns: Sequence[str], index: str, date_field: str = "visit_date") -> list[Column]:
+    """Latest value of every repeated field at the index date, as expressions on the wide row."""
+    layout = wide_layout(columns, date_field)
     when = {visit: quoted(c) for c, visit in layout.visit_dates}
     picked = []
     for slot in layout.slots:
@@ -116,7 +114,18 @@ def asof_from_wide(
             ]
         )
         picked.append(F.array_max(versions)["value"].alias(slot_name(*slot)))
-    return frame.select(*keys, *picked)
+    return picked
+
+
+def asof_from_wide(
+    frame: DataFrame, keys: Sequence[str], index: str, date_field: str = "visit_date"
+) -> DataFrame:
+    """Latest value of every repeated field at the index date, read inside the wide row.
+
+    A visit counts when its date is not after the index; a value missing at the latest such visit
+    is carried forward from the most recent earlier one.
+    """
+    return frame.select(*keys, *asof_columns(frame.columns, index, date_field))
 
 
 def code_families_to_long(

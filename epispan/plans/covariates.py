@@ -50,8 +50,8 @@ def main_covariates(cohort: DataFrame, source: Biobank, keys: Sequence[str], id_
     values = [c for c, *_ in layout.repeated if c in keep] + [c for c in layout.static if c in keep]
     named = V.set_to_missing(named, values, source.missing)
     rows = V.attach_main(cohort.select(*keys, "index_date"), named, id_col, source.main_id)
-    latest = Wd.asof_from_wide(rows, keys, "index_date")
-    return latest.join(Wd.static_columns(rows, keys), list(keys))
+    latest = Wd.asof_columns(rows.columns, "index_date")
+    return rows.select(*keys, *latest, *Wd.static_values(rows.columns))
 
 
 def biobank_specials(frame: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def design_matrix(merged: DataFrame, one_hot: Sequence[str]) -> DataFrame:
 
 
 def code_arrays(cohort: DataFrame, source: Biobank, keys: Sequence[str], id_col: str) -> DataFrame:
-    """Diagnosis and drug arrays of the look-back window, by key and part."""
+    """Diagnosis and drug arrays of the look-back window, one row per key."""
     index = cohort.select(*keys, "index_date")
     diagnoses = V.collect_code_arrays(
         source.diagnoses, index, keys, id_col, C.format_icd("code"), "diagnoses", "diagnosis_dates"
@@ -121,7 +121,7 @@ def code_arrays(cohort: DataFrame, source: Biobank, keys: Sequence[str], id_col:
     drugs = V.collect_code_arrays(
         mapped, index, keys, id_col, F.col("atc"), "drugs", "prescription_dates"
     )
-    return diagnoses.join(drugs, [*keys, "part"], "full")
+    return diagnoses.join(drugs, list(keys), "full")
 
 
 def patient_json(
@@ -143,7 +143,6 @@ def patient_json(
     label = C.endpoint_label("event_indicator", endpoint)
     return joined.withColumns(
         {
-            "part": F.coalesce("part", F.lit(0).cast("bigint")),
             "sex": C.sex_label("sex", female_coded_as_one),
             "index_date": F.date_format("index_date", "yyyyMMdd"),
             "endpoint_labels": F.array(label),

@@ -67,7 +67,7 @@ def match_rows(
     """Matched rows and the standardised differences before and after matching."""
     scored = Q.propensity_scores(
         frame, id_col, treated, columns, params.seed, learner=learner,
-        calibrate=params.match_calibrate, grid=params.match_grid_search and learner == "gbt",
+        calibrate=params.match_calibrate, grid=params.match_grid_search,
     )
     scored = cut(scored.select(id_col, treated, "propensity_logit"), "scored")
     pairs = cut(

@@ -317,7 +317,7 @@ def _drug_arrays(spark, sf):
 
 def _array_sql(code: str, codes_name: str, dates_name: str) -> str:
     return f"""(
-      SELECT co.person_id, 0 AS part,
+      SELECT co.person_id,
         list({code} ORDER BY pos, {code}, code_date) AS {codes_name},
         list(strftime(code_date, '%Y%m%d') ORDER BY pos, {code}, code_date) AS {dates_name}
       FROM co JOIN coded c ON c.person_id = co.person_id
@@ -331,7 +331,7 @@ ATC = "coalesce(substr(atc, 1, 5), 'UNK')"
 @query(
     "collect_code_arrays",
     "A6",
-    f"""WITH {COHORT}, {CODED} SELECT person_id, CAST(part AS BIGINT) AS part,
+    f"""WITH {COHORT}, {CODED} SELECT person_id,
       array_to_string(diagnoses, '|') AS diagnoses, array_to_string(diagnosis_dates, '|') AS diagnosis_dates
     FROM {_array_sql(ICD, "diagnoses", "diagnosis_dates")}""",
 )
@@ -345,7 +345,7 @@ def _arrays(spark, sf):
 @query(
     "collect_drug_arrays",
     "A6 J8",
-    f"""WITH {COHORT}, {CODED} SELECT person_id, CAST(part AS BIGINT) AS part,
+    f"""WITH {COHORT}, {CODED} SELECT person_id,
       array_to_string(drugs, '|') AS drugs, array_to_string(prescription_dates, '|') AS prescription_dates
     FROM {_array_sql(ATC, "drugs", "prescription_dates")}""",
 )

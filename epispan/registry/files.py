@@ -244,7 +244,7 @@ def _list_sql(code: str, name: str) -> str:
 @query(
     "write_patient_json",
     "S9 D9 A6 P25 P26 X1",
-    f"""WITH {MERGED} SELECT m.person_id, CAST(0 AS BIGINT) AS part, round(age_at_index, 6) AS age_at_index,
+    f"""WITH {MERGED} SELECT m.person_id, round(age_at_index, 6) AS age_at_index,
       CASE WHEN sex = 0 THEN 'Female' ELSE 'Male' END AS sex, strftime(index_date, '%Y%m%d') AS index_date,
       coalesce(d.d, '') AS diagnoses, coalesce(d.d_dates, '') AS diagnosis_dates, coalesce(g.g, '') AS drugs, coalesce(g.g_dates, '') AS prescription_dates,
       event_time AS time_to_endpoint, CASE event_indicator WHEN 0 THEN '' WHEN 1 THEN 'composite' ELSE 'death' END AS endpoint_label,
@@ -257,7 +257,7 @@ def _json(spark, sf):
     records = stage_two.patient_json(merged.drop("pressure.1"), arrays, KEYS, "composite")
     path = scratch_path(spark, "records")
     sinks.write_patient_json(records, path, "person_id")
-    schema = """person_id bigint, part bigint, age_at_index double, sex string, index_date string, diagnoses array<string>,
+    schema = """person_id bigint, age_at_index double, sex string, index_date string, diagnoses array<string>,
       diagnosis_dates array<string>, drugs array<string>, prescription_dates array<string>, time_to_endpoint int,
       endpoint_labels array<string>, exposed boolean, additional_features struct<bmi double, education double, any_large boolean>"""
     rows = spark.read.schema(schema).json(path)
@@ -299,6 +299,7 @@ def _stage_three(spark, sf):
         control_subsample_factor=3.0,
         caliper=0.5,
         match_calibrate=False,
+        match_grid_search=False,
         n_folds_outer=2,
         tune=False,
         target_times=(200, 400, 600),

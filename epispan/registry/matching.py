@@ -119,15 +119,16 @@ def _calibration(spark, sf):
 
 MATCHED = f"""RECURSIVE {ROWS},
 rounds AS (
-  SELECT 0 AS r, person_id AS id, hospitalized AS treated, p_coarse AS score, CAST(NULL AS BIGINT) AS partner FROM rws
+  SELECT 0 AS r, person_id AS id, hospitalized AS treated, p_coarse AS score, CAST(NULL AS BIGINT) AS partner,
+    CAST('0x' || substr(md5('0:tie:' || person_id), 1, 15) AS BIGINT) >> 52 AS tie FROM rws
   UNION ALL
   (WITH available AS (SELECT * FROM rounds WHERE partner IS NULL),
-     pairs AS (SELECT t.id AS ti, c.id AS ci, abs(t.score - c.score) AS d, least(t.score, c.score) AS lo
+     pairs AS (SELECT t.id AS ti, c.id AS ci, t.tie AS tt, c.tie AS ct, abs(t.score - c.score) AS d, least(t.score, c.score) AS lo
        FROM available t JOIN available c ON t.treated AND NOT c.treated AND abs(t.score - c.score) <= 0.025),
-     best AS (SELECT ti, ci, row_number() OVER (PARTITION BY ti ORDER BY d, lo, ci) AS rt,
-       row_number() OVER (PARTITION BY ci ORDER BY d, lo, ti) AS rc FROM pairs),
+     best AS (SELECT ti, ci, row_number() OVER (PARTITION BY ti ORDER BY d, lo, ct, ci) AS rt,
+       row_number() OVER (PARTITION BY ci ORDER BY d, lo, tt, ti) AS rc FROM pairs),
      hit AS (SELECT ti, ci FROM best WHERE rt = 1 AND rc = 1)
-   SELECT a.r + 1, a.id, a.treated, a.score, coalesce(x.ci, y.ti)
+   SELECT a.r + 1, a.id, a.treated, a.score, coalesce(x.ci, y.ti), a.tie
    FROM available a LEFT JOIN hit x ON x.ti = a.id LEFT JOIN hit y ON y.ci = a.id WHERE EXISTS (SELECT 1 FROM hit))),
 pairs AS (SELECT m.id AS treated_id, m.partner AS control_id, abs(m.score - c.p_coarse) AS distance
   FROM rounds m JOIN rws c ON c.person_id = m.partner WHERE m.treated AND m.partner IS NOT NULL)

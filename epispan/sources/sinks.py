@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from epispan.params import Experiment
 
+# Field names of the nested record.
 RECORD_COLUMNS = (
     "age_at_index",
     "sex",
@@ -46,9 +47,8 @@ def write_csv(frame: DataFrame, path: str) -> None:
 
 
 def patient_records(frame: DataFrame, id_col: str) -> DataFrame:
-    """Nested record columns in their fixed order; long histories keep their ``part`` number."""
-    part = ["part"] if "part" in frame.columns else []
-    return frame.select(id_col, *part, *RECORD_COLUMNS)
+    """Nested record columns in their fixed order."""
+    return frame.select(id_col, *RECORD_COLUMNS)
 
 
 def write_patient_json(frame: DataFrame, path: str, id_col: str) -> None:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from epispan.functions import codes as C
@@ -103,22 +104,26 @@ def test_icd_format(spark):
     assert got["E112A"] == "E11.2"
 
 
-def test_arrays_are_split_into_parts_without_loss(spark):
+@pytest.mark.parametrize("chunk_size", [1, 7, 60, 10_000])
+def test_arrays_are_one_per_key_in_position_order(spark, chunk_size):
     rows = [(1, i, f"E{i % 90:02d}", INDEX - dt.timedelta(days=i % 50)) for i in range(500)]
     rows += [(2, i, "I10", INDEX) for i in range(3)]
-    out = V.collect_code_arrays(
-        codes(spark, rows), cohort(spark), ["person_id"], "person_id", F.col("code"), "codes", "days", part_size=60
+    arrays = V.collect_code_arrays(
+        codes(spark, rows[::-1]), cohort(spark), ["person_id"], "person_id", F.col("code"), "codes", "days",
+        chunk_size=chunk_size,
     ).collect()
-    whole = V.collect_code_arrays(
-        codes(spark, rows), cohort(spark), ["person_id"], "person_id", F.col("code"), "codes", "days"
-    ).collect()
-    parts = [r for r in out if r["person_id"] == 1]
-    assert len(parts) > 4 and max(len(r["codes"]) for r in parts) < 120
-    single = next(r for r in whole if r["person_id"] == 1)
-    assert single["part"] == 0 and single["codes"] == [f"E{i % 90:02d}" for i in range(500)]
-    assert sorted(c for r in parts for c in r["codes"]) == sorted(single["codes"])
-    assert sorted(d for r in parts for d in r["days"]) == sorted(single["days"])
-    assert [r["codes"] for r in out if r["person_id"] == 2] == [["I10"] * 3]
+    got = {r["person_id"]: r for r in arrays}
+    assert len(arrays) == len(got) == 2
+    assert got[1]["codes"] == [f"E{i % 90:02d}" for i in range(500)]
+    assert got[1]["days"] == [f"{INDEX - dt.timedelta(days=i % 50):%Y%m%d}" for i in range(500)]
+    assert got[2]["codes"] == ["I10"] * 3
+
+
+def test_too_many_categories_raise(spark):
+    frame = spark.range(200).withColumn("few", F.col("id") % 3)
+    assert V.categories(frame, ["few"], most=50) == {"few": ["0", "1", "2"]}
+    with pytest.raises(ValueError, match="id"):
+        V.categories(frame, ["id", "few"], most=50)
 
 
 def test_unknown_drug_and_repeated_dictionary_keys(spark):

@@ -144,6 +144,7 @@ def test_stage_agrees_with_aalen_johansen_when_randomised(spark, design, tmp_pat
         subset_condition="event_time > 0",
         control_subsample_factor=3.0,
         match_calibrate=False,
+        match_grid_search=False,
         caliper=0.5,
         n_folds_outer=2,
         tune=False,

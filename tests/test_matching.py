@@ -1,5 +1,6 @@
 """Matching against a brute-force greedy pass, and its invariants."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -9,16 +10,21 @@ from pyspark.sql import functions as F
 from epispan.operators import matching as X
 
 
+def rank_key(i):
+    """Persons of one score rank by eight bits of a hash, then by id."""
+    return int(hashlib.md5(f"0:tie:{i}".encode()).hexdigest()[:2], 16), i
+
+
 def brute_force(rows, caliper):
-    """Greedy pass over all pairs in the strict order (distance, lower score, treated id, control id)."""
+    """Greedy pass over all pairs in the strict order (distance, lower score, treated rank, control rank)."""
     pairs = sorted(
-        (abs(s - u), min(s, u), i, j)
+        (abs(s - u), min(s, u), rank_key(i), rank_key(j))
         for i, t, s in rows
         for j, v, u in rows
         if t and not v and abs(s - u) <= caliper
     )
     used, out = set(), set()
-    for _, _, i, j in pairs:
+    for _, _, (_, i), (_, j) in pairs:
         if i not in used and j not in used:
             used |= {i, j}
             out.add((i, j))
@@ -107,6 +113,14 @@ def test_heavy_score_is_ranked_in_tie_cells(spark, monkeypatch):
     assert pairs.where(F.col("distance") > 0).count() == 5
 
 
+@pytest.mark.parametrize("heavy", [1, 10, 100_000])
+def test_pairs_do_not_depend_on_the_heavy_score_limit(spark, monkeypatch, heavy):
+    monkeypatch.setattr(X, "HEAVY_SCORE", heavy)
+    rows = random_rows(np.random.default_rng(9), 60, levels=1)
+    pairs = X.nearest_neighbor_match(as_frame(spark, rows), "id", "treated", "score", 1.5).collect()
+    assert {(p["treated_id"], p["control_id"]) for p in pairs} == brute_force(rows, 1.5)
+
+
 def test_rolling_rate_blocks(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), float(s), bool(rng.random() < s)) for i, s in enumerate(rng.random(95))]
