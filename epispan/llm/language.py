@@ -38,6 +38,7 @@ UNDETERMINED = "und"
 FOLDS, HELD_OUT_FOLD, CALIBRATION_FOLD = 3, 1, 2
 SAMPLE_STEPS = 1_000_000
 KEPT_PIECES = 300_000
+LEARNED_CHARS = 200_000
 LETTERS = regex.compile(r"\p{L}+")
 BLANK = 1  # the number of the blank around words; 0 is any letter not seen in training
 
@@ -202,16 +203,34 @@ class Scorer:
         self.scores[start : start + len(found)] = total
         self.place.update(zip(found, range(start, start + len(found)), strict=True))
 
-    def score(self, text: str) -> np.ndarray:
-        split = text.split()
-        unknown = [p for p in set(split) if p not in self.place]
+    def score_all(self, several: list[str]) -> list[np.ndarray]:
+        """Scores of some texts; their new pieces are read together, ``LEARNED_CHARS`` or one text at a time."""
+        out: list[np.ndarray] = []
+        waiting: list[list[str]] = []
+        unknown: set[str] = set()
+        chars = 0
+        for text in several:
+            waiting.append(text.split())
+            unknown.update(waiting[-1])
+            chars += len(text)
+            if chars > LEARNED_CHARS:
+                out += self.sums(waiting, unknown)
+                waiting, unknown, chars = [], set(), 0
+        return out + self.sums(waiting, unknown)
+
+    def sums(self, splits: list[list[str]], pieces: set[str]) -> list[np.ndarray]:
+        unknown = [p for p in pieces if p not in self.place]
         if len(self.place) + len(unknown) > KEPT_PIECES:
             self.place.clear()
             self.scores = np.zeros((1024, self.scores.shape[1]))
-            unknown = list(set(split))
+            unknown = list(pieces)
         if unknown:
             self.learn(unknown)
-        return self.scores[np.fromiter(map(self.place.__getitem__, split), np.int64, len(split))].sum(axis=0)
+        place = self.place.__getitem__
+        return [self.scores[np.fromiter(map(place, s), np.int64, len(s))].sum(axis=0) for s in splits]
+
+    def score(self, text: str) -> np.ndarray:
+        return self.score_all([text])[0]
 
 
 def chances(entropies: np.ndarray, letters: np.ndarray, sharpness: float) -> np.ndarray:
@@ -283,8 +302,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             out = []
             own = scorer(shared) if model is not None else None
-            for text in texts(batch):
-                scores = own.score(text) if own else np.zeros(1)
+            several = texts(batch)
+            for scores in own.score_all(several) if own else [np.zeros(1)] * len(several):
                 if scores[-1] == 0:
                     out.append((UNDETERMINED, 0.0, None, False))
                     continue
