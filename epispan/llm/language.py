@@ -1,7 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
 Letters of a text, lower-cased, are read word by word; a word is scored from its start to the blank after it, each
-letter given the three before it. Training counts 4-grams on documents with a known language (a sample by hash, at most about
+letter given the three before it. Whole texts are read in numpy, and each distinct 4-gram of about a million letters is
+looked up once. Training counts 4-grams on documents with a known language (a sample by hash, at most about
 ``letters_per_language`` letters of each); lower orders use continuation counts. A gram is four letter numbers of 16
 bits in one 64-bit key; a model is a sorted array of keys beside its values for all languages, read by binary search.
 
@@ -37,8 +38,8 @@ MOST_EVIDENCE = 30.0
 UNDETERMINED = "und"
 FOLDS, HELD_OUT_FOLD, CALIBRATION_FOLD = 3, 1, 2
 SAMPLE_STEPS = 1_000_000
-KEPT_PIECES = 300_000
-LEARNED_CHARS = 200_000
+READ_CHARS = 1_000_000  # letters scored in one numpy step
+CODE_POINTS = 0x110000
 LETTERS = regex.compile(r"\p{L}+")
 BLANK = 1  # the number of the blank around words; 0 is any letter not seen in training
 
@@ -64,6 +65,32 @@ def pack(numbers: np.ndarray) -> np.ndarray:
     return key
 
 
+def unpack(keys: np.ndarray) -> np.ndarray:
+    """The letter numbers in whole keys, one column per place."""
+    return np.column_stack([(keys >> np.uint64(16 * k)) & np.uint64(0xFFFF) for k in range(ORDER - 1, -1, -1)]).astype(np.int64)
+
+
+def cut_between_words(text: str) -> list[str]:
+    """A text in parts of about ``READ_CHARS``, none of which ends inside a word."""
+    parts, start = [], 0
+    while start < len(text):
+        inside = LETTERS.match(text, min(start + READ_CHARS, len(text)))
+        end = inside.end() if inside else min(start + READ_CHARS, len(text))
+        parts.append(text[start:end])
+        start = end
+    return parts
+
+
+def letter_numbers(alphabet: dict[str, int]) -> np.ndarray:
+    """The number of every code point: its own for a known letter, 0 for another letter, ``BLANK`` for the rest."""
+    numbers = np.full(CODE_POINTS, BLANK, np.uint16)
+    for found in LETTERS.finditer("".join(map(chr, range(CODE_POINTS)))):
+        numbers[found.start() : found.end()] = 0
+    for letter, number in alphabet.items():
+        numbers[ord(letter)] = number
+    return numbers
+
+
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the wanted keys are in a sorted array, and which of them are there."""
     at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
@@ -91,7 +118,7 @@ class Level:
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: dict[str, int]
+    numbers: np.ndarray  # letter number of every code point; BLANK where it is no letter
     letter_probs: np.ndarray  # (letters, languages)
     levels: list[Level]  # orders 2 to ORDER
     sharpness: float = 1.0
@@ -108,21 +135,44 @@ class Model:
             probs[there] += level.shares[at[there]]
         return probs
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """Per word: log2 probability in each language, and in the last column the letters read (with the blank)."""
-        if not words:
-            return np.zeros((0, len(self.languages) + 1))
-        known = self.alphabet.get
-        rows = [[BLANK] * (ORDER - 1) + [known(c, 0) for c in w] + [BLANK] for w in words]
-        flat = np.array([n for row in rows for n in row], np.int64)
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        windows = np.lib.stride_tricks.sliding_window_view(flat, ORDER)
-        starts = np.cumsum(lengths) - lengths
-        reads = lengths - (ORDER - 1)
-        first = np.cumsum(reads) - reads
-        inside = np.repeat(starts - first, reads) + np.arange(int(reads.sum()))
-        logs = np.log2(self.probabilities(windows[inside]))
-        return np.c_[np.add.reduceat(logs, first, axis=0), reads]
+    def part_scores(self, parts: list[str]) -> np.ndarray:
+        """Per part: log2 probability in each language, and in the last column the letters read (with the blanks after words)."""
+        lowered = [p.lower() + " " for p in parts]
+        points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+        numbers = np.r_[np.full(ORDER - 1, BLANK, np.uint64), self.numbers[points]]
+        last, before = numbers[ORDER - 1 :], numbers[ORDER - 2 : -1]
+        read = (last != BLANK) | (before != BLANK)  # letters, and the blank that ends a word
+        keys, context = last.copy(), before
+        for k in range(1, ORDER):
+            keys |= context << np.uint64(16 * k)
+            # what lies before the start of the word counts as blank
+            earlier = numbers[max(ORDER - 2 - k, 0) :][: len(last)]
+            context = np.where(context == BLANK, context, earlier)
+        codes, distinct = pd.factorize(keys[read])
+        logs = np.log2(self.probabilities(unpack(distinct)))
+        ends = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)))
+        reads = np.diff(np.r_[0, np.cumsum(read)[ends - 1]])
+        owner = np.repeat(np.arange(len(parts)), reads)
+        sums = [np.bincount(owner, logs[codes, k], len(parts)) for k in range(len(self.languages))]
+        return np.column_stack([*sums, reads])
+
+    def text_scores(self, several: list[str]) -> np.ndarray:
+        """``part_scores`` of whole texts; short texts are read together, long ones in parts cut between words."""
+        total = np.zeros((len(several), len(self.languages) + 1))
+        parts: list[str] = []
+        owners: list[int] = []
+        chars = 0
+        for owner, text in enumerate(several):
+            for part in cut_between_words(text):
+                parts.append(part)
+                owners.append(owner)
+                chars += len(part)
+                if chars >= READ_CHARS:
+                    np.add.at(total, owners, self.part_scores(parts))
+                    parts, owners, chars = [], [], 0
+        if parts:
+            np.add.at(total, owners, self.part_scores(parts))
+        return total
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
@@ -181,56 +231,7 @@ def fit(counted: pd.DataFrame) -> Model:
     probs = np.tile(d * (counts > 0).sum(axis=0) / total / size, (size, 1))
     probs[keys.astype(np.int64)] += np.maximum(counts - d, 0) / total
     probs = np.maximum(probs, 1e-12)
-    return Model(languages, alphabet, probs, levels[::-1])
-
-
-class Scorer:
-    """Scores of texts; scores of distinct white-space pieces are kept by the worker and emptied when many."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.place: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(model.languages) + 1))
-
-    def learn(self, found: list[str]) -> None:
-        words = [LETTERS.findall(p.lower()) for p in found]
-        owner = np.repeat(np.arange(len(found)), [len(w) for w in words])
-        total = np.zeros((len(found), self.scores.shape[1]))
-        np.add.at(total, owner, self.model.word_scores([w for own in words for w in own]))
-        start = len(self.place)
-        while start + len(found) > len(self.scores):
-            self.scores = np.r_[self.scores, np.zeros_like(self.scores)]
-        self.scores[start : start + len(found)] = total
-        self.place.update(zip(found, range(start, start + len(found)), strict=True))
-
-    def score_all(self, several: list[str]) -> list[np.ndarray]:
-        """Scores of some texts; their new pieces are read together, ``LEARNED_CHARS`` or one text at a time."""
-        out: list[np.ndarray] = []
-        waiting: list[list[str]] = []
-        unknown: set[str] = set()
-        chars = 0
-        for text in several:
-            waiting.append(text.split())
-            unknown.update(waiting[-1])
-            chars += len(text)
-            if chars > LEARNED_CHARS:
-                out += self.sums(waiting, unknown)
-                waiting, unknown, chars = [], set(), 0
-        return out + self.sums(waiting, unknown)
-
-    def sums(self, splits: list[list[str]], pieces: set[str]) -> list[np.ndarray]:
-        unknown = [p for p in pieces if p not in self.place]
-        if len(self.place) + len(unknown) > KEPT_PIECES:
-            self.place.clear()
-            self.scores = np.zeros((1024, self.scores.shape[1]))
-            unknown = list(pieces)
-        if unknown:
-            self.learn(unknown)
-        place = self.place.__getitem__
-        return [self.scores[np.fromiter(map(place, s), np.int64, len(s))].sum(axis=0) for s in splits]
-
-    def score(self, text: str) -> np.ndarray:
-        return self.score_all([text])[0]
+    return Model(languages, letter_numbers(alphabet), probs, levels[::-1])
 
 
 def chances(entropies: np.ndarray, letters: np.ndarray, sharpness: float) -> np.ndarray:
@@ -242,13 +243,12 @@ def chances(entropies: np.ndarray, letters: np.ndarray, sharpness: float) -> np.
 
 def calibrate(model: Model, labelled: pd.DataFrame) -> Model:
     """Sharpness with the least log loss, and the cross-entropy that ``ACCEPTED_SHARE`` of right texts stay below."""
-    scorer = Scorer(model)
     known = {v: k for k, v in enumerate(model.languages)}
-    rows = [(scorer.score(t or ""), known[v]) for t, v in zip(labelled["text"], labelled["lang"], strict=True) if v in known]
-    rows = [(s, k) for s, k in rows if s[-1] > 0]
-    if not rows:
+    labelled = labelled[labelled["lang"].isin(known)]
+    scores, right = model.text_scores(list(labelled["text"])), labelled["lang"].map(known).to_numpy(np.int64)
+    scores, right = scores[scores[:, -1] > 0], right[scores[:, -1] > 0]
+    if not len(right):
         return model
-    scores, right = np.array([s for s, _ in rows]), np.array([k for _, k in rows])
     letters = scores[:, -1]
     entropies = -scores[:, :-1] / letters[:, None]
     own = entropies[np.arange(len(right)), right]
@@ -283,35 +283,22 @@ def train(docs: DataFrame, letters: int = LETTERS_PER_LANGUAGE, calibration_lett
     return calibrate(fit(counted), chosen)
 
 
-SCORERS: dict[int, Scorer] = {}
-
-
-def scorer(shared: Broadcast) -> Scorer:
-    if shared.value[0] not in SCORERS:
-        SCORERS.clear()
-        SCORERS[shared.value[0]] = Scorer(shared.value[1])
-    return SCORERS[shared.value[0]]
-
-
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``(doc_id, lang_pred, score, cross_entropy, accepted)`` from the texts alone."""
-    tag = "" if model is None else f"{hash(model.letter_probs.tobytes())}:{model.sharpness}:{model.most_entropy}"
-    shared = docs.sparkSession.sparkContext.broadcast((tag, model))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Batches) -> Batches:
         for batch in batches:
-            out = []
-            own = scorer(shared) if model is not None else None
-            several = texts(batch)
-            for scores in own.score_all(several) if own else [np.zeros(1)] * len(several):
+            model, several, out = shared.value, texts(batch), []
+            for scores in model.text_scores(several) if model is not None else np.zeros((len(several), 1)):
                 if scores[-1] == 0:
                     out.append((UNDETERMINED, 0.0, None, False))
                     continue
                 entropies = -scores[None, :-1] / scores[-1]
                 best = int(entropies[0].argmin())
-                chance = chances(entropies, scores[-1:], own.model.sharpness)[0, best]
+                chance = chances(entropies, scores[-1:], model.sharpness)[0, best]
                 entropy = float(entropies[0, best])
-                out.append((own.model.languages[best], float(chance), entropy, entropy <= own.model.most_entropy))
+                out.append((model.languages[best], float(chance), entropy, entropy <= model.most_entropy))
             yield record(PREDICTED, batch.column("doc_id"), *([r[k] for r in out] for k in range(4)))
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(work, PREDICTED_DDL)

@@ -158,10 +158,27 @@ def test_letter_probabilities_add_up():
             for k in range(len(padded) - 3):
                 counts[lang, padded[k : k + 4]] += 1
     model = language.fit(pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["lang", "gram", "n"]))
-    letters = range(len(model.alphabet) + 2)
-    for context in ([1, 1, 1], [1, 1, model.alphabet["t"]], [0, 0, 0], [model.alphabet["z"]] * 3):
+    letters = range(len(model.letter_probs))
+    for context in ([1, 1, 1], [1, 1, model.numbers[ord("t")]], [0, 0, 0], [model.numbers[ord("z")]] * 3):
         probs = model.probabilities(np.array([[*context, c] for c in letters]))
         assert np.allclose(probs.sum(axis=0), 1)
+    # whole texts in numpy against one letter after the other, also when a text is read in several parts
+    texts = ["", "12 - 3", "The then", "zaz, ZZZ!the\u00e9\u65e5 q", "this that " * 50]
+    plain = []
+    for text in texts:
+        total = np.zeros(len(model.languages) + 1)
+        for word in language.LETTERS.findall(text.lower()):
+            numbers = [1, 1, 1, *(model.numbers[ord(c)] for c in word), 1]
+            for k in range(len(numbers) - 3):
+                total += [*np.log2(model.probabilities(np.array([numbers[k : k + 4]])))[0], 1]
+        plain.append(total)
+    assert np.allclose(model.text_scores(texts), plain)
+    read, language.READ_CHARS = language.READ_CHARS, 7
+    try:
+        assert all("".join(language.cut_between_words(t)) == t for t in texts)
+        assert np.allclose(model.text_scores(texts), plain)
+    finally:
+        language.READ_CHARS = read
 
 
 def test_lm_scores_equal_plain_counts(corpus, empty):
