@@ -18,6 +18,9 @@ from epispan.functions.hashing import hash_cell
 from epispan.session import cut
 
 TIE_CELLS = 256
+#: Most cells taken from one sketch; its accuracy is fixed, so it stays small at any number of rows.
+SKETCH_CELLS = 500
+SKETCH_ACCURACY = 20 * SKETCH_CELLS
 
 
 def _columns(names: Sequence[str | Column]) -> list[Column]:
@@ -62,19 +65,12 @@ def hash_rank(
     return rank_in_cells(keyed, list(by), ["_cell"], ["_hash", id_col], out).drop("_hash")
 
 
-def value_splits(frame: DataFrame, value: str, n_cells: int, shift: float = 0.0) -> list[float]:
-    """Cell edges for a double column from a mergeable quantile sketch.
+def _sketch(value: str, probs: Sequence[float], accuracy: int) -> Column:
+    return F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), accuracy).alias("edges")
 
-    A value that spans several edges is frequent; it gets a cell of its own.  ``shift`` moves the
-    edges by a share of a cell.
-    """
-    probs = [(k + shift) / n_cells for k in range(1, n_cells) if k + shift < n_cells]
-    if not probs:
-        return [-math.inf, math.inf]
-    sketch = frame.agg(
-        F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), 20 * n_cells).alias("edges")
-    ).first()
-    edges: list[float] = sketch["edges"] or []
+
+def _splits(edges: Sequence[float]) -> list[float]:
+    """Sorted cell borders; an edge that is met several times is a frequent value with a cell of its own."""
     splits: set[float] = set()
     for edge, repeats in Counter(edges).items():
         splits.add(edge)
@@ -83,6 +79,29 @@ def value_splits(frame: DataFrame, value: str, n_cells: int, shift: float = 0.0)
     return [-math.inf, *sorted(splits), math.inf]
 
 
+def value_splits(frame: DataFrame, value: str, n_cells: int, shift: float = 0.0) -> list[float]:
+    """Cell edges for a double column from mergeable quantile sketches.
+
+    A value that spans several edges is frequent; it gets a cell of its own.  ``shift`` moves the
+    edges by a share of a cell.  Above ``SKETCH_CELLS`` cells, one sketch cuts the values coarsely
+    and one sketch per coarse cell cuts them finely, so no sketch grows with the rows.
+    """
+    coarse = min(n_cells, SKETCH_CELLS)
+    move = shift if n_cells == coarse else 0.0
+    probs = [(k + move) / coarse for k in range(1, coarse) if k + move < coarse]
+    if not probs:
+        return [-math.inf, math.inf]
+    splits = _splits(frame.agg(_sketch(value, probs, 20 * coarse)).first()["edges"] or [])
+    if n_cells == coarse:
+        return splits
+    fine = math.ceil(n_cells / coarse)
+    inner = [(k + shift) / fine for k in range(fine)]
+    celled = assign_cells(frame, value, splits, "_coarse")
+    # one short array of edges per coarse cell
+    cells = celled.groupBy("_coarse").agg(_sketch(value, inner, SKETCH_ACCURACY)).collect()
+    return _splits([edge for cell in cells for edge in cell["edges"]])
+
+
 def assign_cells(frame: DataFrame, value: str, splits: Sequence[float], out: str) -> DataFrame:
     """Cell number of each value by binary search on the edges."""
     if len(splits) == 2:

@@ -32,6 +32,33 @@ def test_exact_quantiles_equal_numpy(spark, accuracy):
             assert got[g, p] == pytest.approx(np.quantile(mine, p), abs=1e-12)
 
 
+@pytest.mark.parametrize("shift", [0.0, 0.5])
+def test_cells_from_two_levels_of_sketches_stay_even(spark, monkeypatch, shift):
+    monkeypatch.setattr(R, "SKETCH_CELLS", 5)
+    monkeypatch.setattr(R, "SKETCH_ACCURACY", 1000)
+    values = np.array([v for _, _, v in skewed()])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    splits = R.value_splits(df, "v", 60, shift)
+    assert splits == sorted(set(splits)) and len(splits) < 2 * 60
+    rows = np.histogram(values[values != 0.25], splits)[0]
+    assert rows.max() <= 3 * len(values) / 60
+    at = splits.index(0.25)  # the frequent value has a cell of its own
+    assert splits[at + 1] == np.nextafter(0.25, np.inf)
+
+
+def test_positions_do_not_depend_on_the_number_of_cells(spark, monkeypatch):
+    df = spark.createDataFrame(skewed(), "id long, g string, v double")
+
+    def positions(n_cells):
+        ranked = R.value_rank(df, "v", stable_hash(7, "id"), "id", n_cells)
+        return {r["id"]: r["position"] for r in ranked.collect()}
+
+    plain = positions(1)
+    monkeypatch.setattr(R, "SKETCH_CELLS", 5)
+    assert positions(60) == positions(5)
+    assert sorted(positions(60).values()) == sorted(plain.values())
+
+
 def test_quantiles_without_groups_ignore_nulls(spark):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,), (10.0,)], "v double")
     got = {r["prob"]: r["quantile"] for r in R.exact_quantiles(df, "v", [0.25, 0.5]).collect()}
