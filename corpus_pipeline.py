@@ -21,6 +21,9 @@ ORACLE_SQL = None
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Percent of shingles that two documents of the near-duplicate stage share at least; op9 asks for more.
+NEAR_SIMILARITY = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text passes the quality rules."""
@@ -40,7 +43,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
     prepared(spark)
-    dropped = neardup.near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
+    found = neardup.near_duplicates(docs.select("doc_id", "text"), similarity=NEAR_SIMILARITY)
+    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
