@@ -2,7 +2,9 @@
 
 Base kinds (email, ip, card, phone) always count when their rule holds. Further kinds (IBAN, national number) count when
 their score reaches ``threshold``: a checksum gives most of it, a word such as "iban" close by gives the rest, and a word
-that speaks against it ("order", "version") takes some away. Spans are code points, end exclusive.
+that speaks against it ("order", "version") takes some away from kinds without a checksum. An IBAN ends where the length of
+its country ends, whatever follows; a code of no known country ends at the last word end at which its checksum holds. Spans
+are code points, end exclusive.
 
 Defined results: a null text is empty and has no spans; rows are never joined, so repeated and null ids stay as they are.
 """
@@ -32,10 +34,22 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])))")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 NOT_DIGITS = re.compile(r"[^0-9]+")
 
+#: Signs of an IBAN by country.
+IBAN_LENGTHS = {
+    code: int(length)
+    for length, codes in (row.split(":") for row in (
+        "15:NO", "16:BE", "18:DK FI FK FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV",
+        "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST",
+        "26:IS TR", "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HN HU LB NI PL SV", "29:BR EG PS QA UA",
+        "30:JO KW MU YE", "31:MT SC", "32:LC", "33:RU",
+    ))
+    for code in codes.split()
+}
+
 #: Words that raise or lower the score of an added kind, as whole words within ``REACH`` code points.
 FOR_WORDS = {
     "iban": frozenset(("iban", "bank", "account", "konto", "cuenta", "compte", "bic", "swift")),
@@ -43,6 +57,8 @@ FOR_WORDS = {
 }
 AGAINST_WORDS = frozenset(("order", "version", "isbn", "serial", "model", "part", "sku", "invoice"))
 REACH = 40
+#: Kinds whose spans have passed a checksum that no word nearby overrules.
+CONFIRMED_KINDS = ("iban",)
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3}
 CONTEXT_STEP = 0.3
 THRESHOLD = 0.6
@@ -107,10 +123,29 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
+    free = 0
     for m in IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield m.span()
+        start, run = m.start(), m[1]
+        if start < free:
+            continue
+        for end in iban_ends(run):
+            if mod97(run[:end].replace(" ", "")):
+                free = start + end
+                yield start, free
+                break
+
+
+def iban_ends(run: str) -> Iterator[int]:
+    """Where the IBAN at the start of a run may end: after its country's length, else with the run; without one, at any word."""
+    places = [k for k, c in enumerate(run, 1) if c != " "]
+    ends = [end for n, end in enumerate(places, 1) if n >= 15 and not run[end : end + 1].strip()]
+    length = IBAN_LENGTHS.get(run[:2])
+    if length is None:
+        yield from reversed(ends)
+        return
+    if length <= len(places) and places[length - 1] in ends:
+        yield places[length - 1]
+    yield len(run)
 
 
 def ssns(text: str) -> Iterator[tuple[int, int]]:
@@ -128,7 +163,7 @@ def score(text: str, kind: str, start: int, end: int) -> float:
     value = PRIOR[kind]
     if near & FOR_WORDS.get(kind, frozenset()):
         value += CONTEXT_STEP
-    if near & AGAINST_WORDS:
+    if near & AGAINST_WORDS and kind not in CONFIRMED_KINDS:
         value -= CONTEXT_STEP
     return min(1.0, max(0.0, value))
 
