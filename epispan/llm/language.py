@@ -2,13 +2,16 @@
 
 Letters of a text, lower-cased, are read word by word; a word is scored from its start to the blank after it, each
 letter given the three before it. Whole texts are read in numpy, and each distinct 4-gram of about a million letters is
-looked up once. Training counts 4-grams on documents with a known language (a sample by hash, at most about
-``letters_per_language`` letters of each); lower orders use continuation counts. A gram is four letter numbers of 16
-bits in one 64-bit key; a model is a sorted array of keys beside its values for all languages, read by binary search.
+looked up once. Training counts 4-grams on documents with a known language (in the order of a hash, until about
+``letters_per_language`` letters of each language are reached, one document at least); lower orders use continuation counts.
+A gram is four letter numbers of 16 bits in one 64-bit key; a model is a sorted array of keys beside its values for all
+languages, read by binary search.
 
-The language with the lowest cross-entropy per letter wins. Two things are calibrated on other labelled documents (bounded in
-the same way): the sharpness that turns differences of cross-entropy into a probability, and the cross-entropy above
-which a text is marked as not accepted. ``lang`` may hold any values; models grow with the number of languages.
+The language with the lowest cross-entropy per letter wins. Two things are calibrated on other labelled documents: the
+sharpness that turns differences of cross-entropy into a probability, and the cross-entropy above which a text is marked as
+not accepted. One document in ``ASIDE`` may be set aside for that, up to about ``calibration_letters`` letters of a language,
+and none of a language that would have no other document; all others may be learned from. ``lang`` may hold any values;
+models grow with the number of languages.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; with nothing to learn from, all texts
 are. Rows are never joined, so ids may repeat; a row without doc_id is predicted but not learned from.
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epispan.llm.common import Batches, crc_of_id, record, texts
+from epispan.session import cut
 
 ORDER = 4
 LETTERS_PER_LANGUAGE = 1_000_000
@@ -36,8 +40,10 @@ ACCEPTED_SHARE = 0.995
 SHARPNESS = tuple(2.0**k for k in range(-2, 7))
 MOST_EVIDENCE = 30.0
 UNDETERMINED = "und"
-FOLDS, HELD_OUT_FOLD, CALIBRATION_FOLD = 3, 1, 2
-SAMPLE_STEPS = 1_000_000
+FOLDS, HELD_OUT_FOLD = 3, 1
+ASIDE = 8
+#: Letters wanted of a language are counted in so many steps along the hash, and sought in so many times their expected share.
+STEPS, SPREAD = 32, 8
 READ_CHARS = 1_000_000  # letters scored in one numpy step
 CODE_POINTS = 0x110000
 LETTERS = regex.compile(r"\p{L}+")
@@ -258,28 +264,50 @@ def calibrate(model: Model, labelled: pd.DataFrame) -> Model:
     return model
 
 
-def sampled(rows: DataFrame, totals: dict[str, int], letters: int) -> DataFrame:
-    """A sample of rows by hash of the id, about ``letters`` letters per language."""
-    share = F.lit(0.0)
-    for lang, total in totals.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, letters / max(total, 1)))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_STEPS)) < share * SAMPLE_STEPS)
+def reach(rows: DataFrame, letters: int) -> DataFrame:
+    """``(lang, upto)``: the place in hash order at which ``letters`` letters are reached, one document at least.
+
+    ``rows`` hold ``(lang, place, n)``. Letters are summed per language and step, so no language's documents meet in one task.
+    """
+    totals = rows.groupBy("lang").agg(F.sum("n").alias("total"), F.min("place").alias("first"))
+    stepped = rows.join(F.broadcast(totals), "lang").withColumn("step", F.floor(F.col("place") * F.col("total") / letters * STEPS))
+    near = stepped.where(f"step < {STEPS * SPREAD} or place = first")
+    steps = near.groupBy("lang", "step").agg(F.sum("n").alias("n"), F.max("place").alias("upto")).collect()
+    got: Counter[str] = Counter()
+    upto: dict[str, float] = {}
+    for r in sorted(steps, key=lambda r: r.step):
+        if got[r.lang] < letters:
+            got[r.lang] += r.n
+            upto[r.lang] = r.upto
+    return rows.sparkSession.createDataFrame(list(upto.items()), "lang string, upto double")
 
 
 def train(docs: DataFrame, letters: int = LETTERS_PER_LANGUAGE, calibration_letters: int = CALIBRATION_LETTERS) -> Model | None:
     """A calibrated model from documents outside the held-out fold; None without any labelled text."""
-    fold = F.pmod(crc_of_id(), F.lit(FOLDS))
-    rows = docs.select("doc_id", "text", F.col("lang").cast("string"), fold.alias("fold"))
-    rows = rows.where(f"fold <> {HELD_OUT_FOLD} and lang is not null and text is not null")
-    sums = rows.groupBy("lang", "fold").agg(F.sum(F.length("text").cast("bigint")).alias("n")).collect()
-    totals = {lang: sum(r.n for r in sums if r.lang == lang and r.fold != CALIBRATION_FOLD) for lang in {r.lang for r in sums}}
-    aside = {r.lang: r.n for r in sums if r.fold == CALIBRATION_FOLD}
-    counted = gram_counts(sampled(rows.where(f"fold <> {CALIBRATION_FOLD}"), totals, letters).select("lang", "text")).toPandas()
-    if not len(counted):
-        counted = gram_counts(rows.select("lang", "text")).toPandas()
+    crc = crc_of_id()
+    rows = docs.select(
+        F.col("lang").cast("string"),
+        "text",
+        (F.pmod(F.xxhash64("doc_id"), F.lit(2**53)) / F.lit(2.0**53)).alias("place"),
+        (F.pmod(F.floor(crc / FOLDS), F.lit(ASIDE)) == 0).alias("aside"),
+        F.pmod(crc, F.lit(FOLDS)).alias("fold"),
+    )
+    rows = rows.where((F.col("fold") != HELD_OUT_FOLD) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).drop("fold")
+    lengths = cut(rows.select("lang", "place", "aside", F.length("text").cast("bigint").alias("n")), "labelled")
+    others = F.broadcast(lengths.where("not aside").select("lang").distinct())
+    to_calibrate = F.broadcast(reach(lengths.where("aside").join(others, "lang", "left_semi"), calibration_letters))
+
+    def split(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
+        marked = frame.join(to_calibrate, "lang", "left").withColumn("taken", F.expr("aside and coalesce(place <= upto, false)"))
+        return marked.where("not taken").drop("taken", "upto"), marked.where("taken").drop("taken", "upto")
+
+    to_learn = F.broadcast(reach(split(lengths)[0], letters))
+    rest, aside = split(rows)
+    counted = gram_counts(rest.join(to_learn, "lang").where("place <= upto").select("lang", "text")).toPandas()
     if not len(counted):
         return None
-    chosen = sampled(rows.where(f"fold = {CALIBRATION_FOLD}"), aside, calibration_letters).select("lang", "text").toPandas()
+    # a single text can be longer than all letters asked for
+    chosen = aside.select("lang", F.substring("text", 1, calibration_letters).alias("text")).toPandas()
     return calibrate(fit(counted), chosen)
 
 
