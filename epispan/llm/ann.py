@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree, best-bin-first, calibrated.
 
 1. Vectors get one more coordinate that makes all of them equally long (from the greatest norm of all rows), so that the largest
-   inner product is the nearest point. The tree is fitted on a bounded sample; every row is put into a leaf.
+   inner product is the nearest point. The tree is fitted on a sample that grows with the rows up to a bound, and its leaves
+   with the sample; every row is put into a leaf.
 2. A query walks the tree with a priority queue: the nearest unexplored centre first, whatever branch it is on. That gives the
    order in which it visits leaves.
 3. Calibration: some queries are answered exactly over all rows, and the number of leaf visits is widened until the wanted share of
    true neighbours is in visited leaves. All queries then visit that many leaves.
-4. Rows are dealt by (leaf, block); a leaf with a third of all rows is many blocks. Queries meet the blocks of their leaves, are
-   scored in double precision on the original vectors, and the best of each block are merged per query.
+4. Rows and queries of a leaf are dealt into blocks, and every pair of blocks is a group: a leaf with a third of all rows, or one
+   that all queries visit, is many groups of fixed size. Scores are in double precision on the original vectors, and the best
+   of each block are merged per query.
 
 Defined results: vectors that are null, empty or zero, hold null or non-finite numbers, or differ in length from most others
 take no part; rows that share a vec_id are separate candidates; a query with fewer candidates than k returns all of them; an
@@ -30,6 +32,8 @@ from epispan.session import cut
 
 NEIGHBOURS = 20
 SAMPLE_ROWS = 20_000
+#: One row in so many is sampled where that is more than ``SAMPLE_ROWS``, up to so many numbers in all (the driver holds them).
+SAMPLED_ONE_IN, MOST_SAMPLE_NUMBERS = 20, 8_000_000
 BRANCHES = 8
 LEAF_ROWS = 128
 MOST_LEAVES = 2_048
@@ -43,8 +47,8 @@ SAMPLE_STEPS = 1_000_000
 
 LEAF_DDL = "vec_id bigint, vector array<double>, leaf int"
 LEAF = pa.schema([("vec_id", pa.int64()), ("vector", pa.list_(pa.float64())), ("leaf", pa.int32())])
-VISIT_DDL = "query_id bigint, query array<double>, leaf int"
-VISIT = pa.schema([("query_id", pa.int64()), ("query", pa.list_(pa.float64())), ("leaf", pa.int32())])
+VISIT_DDL = "query_id bigint, query array<double>, leaves array<int>"
+VISIT = pa.schema([("query_id", pa.int64()), ("query", pa.list_(pa.float64())), ("leaves", pa.list_(pa.int32()))])
 BEST_DDL = "query_id bigint, vec_id bigint, score double, leaf int"
 BEST = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("leaf", pa.int32())])
 
@@ -167,14 +171,13 @@ def in_leaves(rows: DataFrame, tree: Tree) -> DataFrame:
 
 
 def visits_of(queries: DataFrame, tree: Tree, visits: int) -> DataFrame:
-    """A row for every leaf that a query visits."""
+    """The leaves that each query visits."""
     shared = queries.sparkSession.sparkContext.broadcast(tree)
 
     def work(batches: Batches) -> Batches:
         for batch in batches:
-            for query_id, vector in zip(batch.column("vec_id").to_pylist(), batch.column("vector").to_pylist(), strict=True):
-                found = leaf_order(shared.value, np.r_[vector, 0.0], visits)
-                yield record(VISIT, [query_id] * len(found), [vector] * len(found), found)
+            found = [leaf_order(shared.value, np.r_[v, 0.0], visits) for v in batch.column("vector").to_pylist()]
+            yield record(VISIT, batch.column("vec_id"), batch.column("vector"), found)
 
     return queries.mapInArrow(work, VISIT_DDL)
 
@@ -235,6 +238,11 @@ def of_about(rows: DataFrame, total: int, wanted: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(SAMPLE_STEPS)) < share * SAMPLE_STEPS)
 
 
+def sample_size(total: int, length: int, least: int = SAMPLE_ROWS) -> int:
+    """Rows to fit the tree on: ``least``, or a share of the rows if that is more and the driver can hold it."""
+    return max(least, min(total // SAMPLED_ONE_IN, MOST_SAMPLE_NUMBERS // max(length, 1)))
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -247,11 +255,12 @@ def search(
     rows = cut(usable(vectors), "vectors")
     spark = vectors.sparkSession
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    total, longest = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
+    total, longest, length = rows.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("vector"))).first()
     if not total:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sample = of_about(rows, total, sample_rows).select("vec_id", "vector").orderBy("vec_id").collect() or rows.limit(1).collect()
-    tree = grow(lengthened(np.array([r.vector for r in sample], np.float64), longest), longest)
+    chosen = of_about(rows, total, sample_size(total, length, sample_rows)).select("vec_id", "vector").orderBy("vec_id").toArrow()
+    sample = (chosen if chosen.num_rows else rows.limit(1).toArrow()).column("vector").combine_chunks()
+    tree = grow(lengthened(matrix(sample), longest), longest)
     placed = cut(in_leaves(rows, tree), "leaves")
     queries = rows.where(is_query)
     n_queries = queries.count()
@@ -267,17 +276,23 @@ def search(
     return ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
+def dealt(queries: DataFrame, placed: DataFrame, tree: Tree, visits: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and rows of every (leaf, query block, row block); each side of a group has about a fixed number at most."""
+    visited = cut(visits_of(queries, tree, visits), "visits")
+    by_leaf = visited.select("query_id", "query", F.explode("leaves").alias("leaf"))
+    blocks = lambda frame, rows, name: frame.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    sizes = blocks(placed, BLOCK_ROWS, "blocks").join(blocks(by_leaf.select("leaf"), QUERY_ROWS, "query_blocks"), "leaf")
+    sizes = F.broadcast(cut(sizes, "sizes"))  # a row per leaf of the tree, whose sample is bounded
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    one = lambda key, count: F.pmod(F.xxhash64(key), count).cast("int")
+    asking = by_leaf.join(sizes, "leaf").withColumn("query_block", one("query_id", "query_blocks")).withColumn("block", every("blocks"))
+    rows = placed.join(sizes, "leaf").withColumn("block", one("vec_id", "blocks")).withColumn("query_block", every("query_blocks"))
+    return asking.drop("blocks", "query_blocks"), rows.drop("blocks", "query_blocks")
+
+
 def answered(queries: DataFrame, placed: DataFrame, tree: Tree, visits: int, k: int) -> DataFrame:
-    """The best of every visited block of a leaf; a large leaf is several blocks, which all its queries meet."""
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    sizes = F.broadcast(sizes)  # a row per leaf of the tree, whose sample is bounded
-    dealt = placed.join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")
-    asking = (
-        visits_of(queries, tree, visits)
-        .join(sizes, "leaf")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .drop("blocks")
-    )
+    """The best of every visited block of a leaf."""
+    asking, rows = dealt(queries, placed, tree, visits)
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -289,5 +304,6 @@ def answered(queries: DataFrame, placed: DataFrame, tree: Tree, visits: int, k:
         frame = pd.DataFrame([f[:3] for f in found], columns=["query_id", "vec_id", "score"])
         return frame.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    pairs = asking.groupBy("leaf", "block").cogroup(dealt.groupBy("leaf", "block"))
+    group = ["leaf", "query_block", "block"]
+    pairs = asking.groupBy(*group).cogroup(rows.groupBy(*group))
     return pairs.applyInPandas(answer, "query_id bigint, vec_id bigint, score double")
