@@ -23,6 +23,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows can hold whole texts, so batches for Python workers are bounded by bytes, not only by rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
@@ -72,7 +74,7 @@ def cut(frame: DataFrame, label: str = "cut", by: tuple[str, ...] = ()) -> DataF
     spark = frame.sparkSession
     path = scratch_path(spark, label)
     writer = frame.write.partitionBy(*by) if by else frame.write
-    writer.parquet(path)
+    writer.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
