@@ -16,18 +16,12 @@ WHITE = " \t\n\x0b\x0c\r"
 WHITE_BYTES = WHITE.encode()
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
-#: Rows of text in one Arrow batch: bounds what a Python worker holds at once.
-BATCH_ROWS = 512
-
 Batches = Iterator[pa.RecordBatch]
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Session settings of the library, with small Arrow batches because texts can be long, and tight files."""
-    configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
-    return spark
+    """The session with the library's settings; the corpus operators leave no others behind."""
+    return configure(spark)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

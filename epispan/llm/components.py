@@ -7,7 +7,7 @@ every node of a component hangs on its smallest id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epispan.session import cut
@@ -28,10 +28,9 @@ def small_star(links: DataFrame) -> DataFrame:
 
 def written(links: DataFrame) -> tuple[DataFrame, tuple]:
     """The links, cut, and what changes as long as they move: their number and an order-free hash of them."""
-    seen = Observation()
+    done = cut(links, "links")
     hashed = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    done = cut(links.observe(seen, F.count(F.lit(1)).alias("n"), hashed.alias("hash")), "links")
-    return done, (seen.get["n"], seen.get["hash"])
+    return done, tuple(done.agg(F.count(F.lit(1)), hashed).first())
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epispan.llm.common import BATCH_ROWS, Batches, byte_texts, crc_of_id, mix64, record
+from epispan.llm.common import Batches, byte_texts, crc_of_id, mix64, record
 from epispan.session import cut
 
 FOLDS, HELD_OUT, DELETED, LEARNED, NO_ID = 10, 0, 1, 2, 3
@@ -332,6 +332,7 @@ def score_documents(docs: DataFrame, batch_bytes: int = BATCH_BYTES, segment_tok
         return spark.createDataFrame([], SCORE_DDL)
     segment_bits = max(0, int(np.ceil(np.log2(max(1, total / 4 / segment_tokens)))))
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
     spark.conf.set(size, "1")  # a row is a whole batch of documents
     try:
         words, pairs = (counted(batches, kind, segment_bits) for kind in ("words", "pairs"))
@@ -341,4 +342,4 @@ def score_documents(docs: DataFrame, batch_bytes: int = BATCH_BYTES, segment_tok
         cells = histogram(batches, answers, sums.n_learned, sums.v_learned)
         return cut(scored(batches, answers, sums.n_total, sums.v_total, learn_weights(cells)), "lm-scores")
     finally:
-        spark.conf.set(size, str(BATCH_ROWS))
+        spark.conf.set(size, before)
