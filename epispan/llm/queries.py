@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispan.llm import ann, bpe, language, lines, lm, mixing, neardup, pii, quality, tokenfile
+from epispan.llm import ann, bpe, language, lines, lm, mixing, neardup, pii, quality, tokenfile, whitening
 from epispan.llm.common import documents, prepared
 from epispan.session import cut
 
@@ -79,3 +79,8 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return ann.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
