@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epispan.llm import ann, bpe, language, lattice, lines, lm, mixing, neardup, pii, quality, tokenfile, whitening
+from epispan.llm import ann, bpe, language, lattice, lines, lm, mixing, neardup, pii, quality, repair, tokenfile, whitening
 from epispan.llm.common import documents, prepared
 from epispan.session import cut
 
@@ -90,3 +90,8 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lattice.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+@query("op13_repair")
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
