@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import hashlib
 import struct
 
 import numpy as np
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 
 from epispan.llm.pretokens import PieceEncoder, simple_tokens
 
-KEPT_PIECES = 600_000
-
 #: The private alphabet: byte b is the letter U+0100 + b. None of them is white space to sentencepiece.
 ALPHABET = "".join(chr(0x100 + b) for b in range(256))
 
@@ -89,9 +88,9 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialized_model(ranks))
         ordered = sorted(ranks.values())
-        self.ids = np.array(ordered, np.uint32)
         self.tokens = {rank: self.back(self.model.id_to_piece(k)) for k, rank in enumerate(ordered)}
-        self.pieces = PieceEncoder(self.split, self.encode_token, KEPT_PIECES)
+        self.id_bytes = [struct.pack("<I", rank) for rank in ordered]
+        self.pieces = PieceEncoder(self.split, self.encode_tokens)
 
     @staticmethod
     def back(text: str) -> bytes:
@@ -100,32 +99,38 @@ class Codec:
     def split(self, piece: str) -> list[str]:
         return simple_tokens(piece) or self.pattern.findall(piece)
 
-    def encode_token(self, token: str) -> bytes:
-        """Ids of a pre-token, little-endian 32-bit."""
-        data = token.encode()
-        whole = self.ranks.get(data)
-        ids = self.ids[self.model.encode(letters(data))] if whole is None else np.array([whole])
-        return ids.astype("<u4").tobytes()
+    def encode_tokens(self, tokens: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, little-endian 32-bit: those outside the vocabulary go to the model together."""
+        whole = [self.ranks.get(token.encode()) for token in tokens]
+        parts = iter(self.model.encode([letters(t.encode()) for t, rank in zip(tokens, whole, strict=True) if rank is None], num_threads=1))
+        own = self.id_bytes
+        return [b"".join([own[k] for k in next(parts)]) if rank is None else struct.pack("<I", rank) for rank in whole]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.pieces.encode(t) for t in texts]
+        return self.pieces.encode(texts)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-CODECS: dict[int, Codec] = {}
+CODECS: dict[str, Codec] = {}
 
 
 def codec(shared: Broadcast) -> Codec:
     """The codec of a worker process, built once per vocabulary."""
-    key = hash((len(shared.value[0]), shared.value[1], frozenset(shared.value[0].items())))
+    key, ranks, pattern = shared.value
     if key not in CODECS:
         CODECS.clear()
-        CODECS[key] = Codec(*shared.value)
+        CODECS[key] = Codec(ranks, pattern)
     return CODECS[key]
 
 
+def shipped(frame: DataFrame, ranks: dict[bytes, int], pattern: str) -> Broadcast:
+    """The vocabulary for all workers, with a digest to know it by."""
+    digest = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    return frame.sparkSession.sparkContext.broadcast((digest, ranks, pattern))
+
+
 def default_vocabulary() -> tuple[dict[bytes, int], str]:
     import public_tokenizers
 
@@ -136,7 +141,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
     """Per row of ``docs``: ``source_row`` (all its columns) and ``ids``, little-endian 32-bit, of the whole text."""
     if ranks is None:
         ranks, pattern = default_vocabulary()
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    shared = shipped(docs, ranks, pattern)
 
     @F.pandas_udf("binary")
     def ids_of(text: pd.Series) -> pd.Series:
@@ -150,7 +155,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None, pattern: s
     """Adds ``decoded``, the bytes that the ids stand for."""
     if ranks is None:
         ranks, pattern = default_vocabulary()
-    shared = encoded.sparkSession.sparkContext.broadcast((ranks, pattern))
+    shared = shipped(encoded, ranks, pattern)
 
     @F.pandas_udf("binary")
     def bytes_of(ids: pd.Series) -> pd.Series:

@@ -41,7 +41,8 @@ MARGIN_ERRORS = 5.0
 BLOCK_MEMBERS = 512
 COLUMNS = 4096
 HASH_CHUNK = 4096
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
+LONG_WORD = 64
 
 SIGNED_DDL = "doc_id bigint, n_shingles bigint, digest binary, minima binary"
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("minima", pa.binary())])
@@ -50,10 +51,12 @@ SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
 class WordHashes(dict):
-    """64-bit hash per word, kept by a worker and emptied when it has grown."""
+    """64-bit hash per word, kept by a worker and emptied when it has grown; long words are not kept."""
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -16,8 +16,12 @@ ODD_CODES = (0x00, 0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0
 ODD_CODES += (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 ODD = ("  ", " \n", "\n ", "\n\n", *map(chr, ODD_CODES))
 
-#: Pieces above this length are encoded but not kept.
-LONG_PIECE = 200
+#: Bytes of memory that one kept string takes besides its characters and ids: objects and table entries, roughly.
+ENTRY_BYTES = 200
+#: Bytes that the younger of the two generations of a table may take before it becomes the older one.
+KEPT_BYTES = 96 << 20
+#: Texts whose unknown pieces are encoded together.
+TEXTS_AT_ONCE = 256
 
 
 def pieces(text: str) -> list[str]:
@@ -27,35 +31,48 @@ def pieces(text: str) -> list[str]:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split(MARK)
 
 
-class Kept(dict):
-    """Encoded bytes per string, found when first asked for, and emptied when there are too many."""
+class Kept:
+    """Encoded bytes per string, in two generations of bounded size: what is used again moves on to the younger one."""
 
-    def __init__(self, find: Callable[[str], bytes], most: int):
-        super().__init__()
+    def __init__(self, find: Callable[[list[str]], list[bytes]], most: int = KEPT_BYTES):
         self.find, self.most = find, most
-
-    def __missing__(self, text: str) -> bytes:
-        found = self.find(text)
-        if len(text) <= LONG_PIECE:
-            if len(self) >= self.most:
-                self.clear()
-            self[text] = found
-        return found
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def table(self, wanted: set[str]) -> dict[str, bytes]:
+        """A table that holds all wanted strings, the unknown ones found together. It is good until the next call."""
+        if self.size > self.most:
+            self.young, self.old, self.size = {}, self.young, 0
+        missing = wanted.difference(self.young)
+        fresh = {s: self.old[s] for s in missing if s in self.old}
+        new = list(missing.difference(fresh))
+        fresh.update(zip(new, self.find(new), strict=True))
+        self.size += ENTRY_BYTES * len(fresh) + 2 * sum(map(len, fresh)) + sum(map(len, fresh.values()))
+        self.young.update(fresh)
+        return self.young
 
 
 class PieceEncoder:
-    """Encodes texts by their pieces, and pieces by their pre-tokens; both are kept."""
-
-    def __init__(self, split: Callable[[str], list[str]], encode_token: Callable[[str], bytes], most: int):
-        self.tokens = Kept(encode_token, most)
-        self.split = split
-        self.known = Kept(self.encode_piece, most)
-
-    def encode_piece(self, piece: str) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, self.split(piece)))
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, pieces(text)))
+    """Encodes texts by their distinct pieces, which are kept, and new pieces by their distinct pre-tokens."""
+
+    def __init__(self, split: Callable[[str], list[str]], encode_tokens: Callable[[list[str]], list[bytes]], most: int = KEPT_BYTES):
+        self.split, self.encode_tokens = split, encode_tokens
+        self.known = Kept(self.encode_pieces, most)
+
+    def encode_pieces(self, batch: list[str]) -> list[bytes]:
+        split = [self.split(piece) for piece in batch]
+        tokens = list(set().union(*split))
+        find = dict(zip(tokens, self.encode_tokens(tokens), strict=True)).__getitem__
+        return [find(own[0]) if len(own) == 1 else b"".join(map(find, own)) for own in split]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for start in range(0, len(texts), TEXTS_AT_ONCE):
+            cut = [pieces(text) for text in texts[start : start + TEXTS_AT_ONCE]]
+            find = self.known.table(set().union(*cut)).__getitem__
+            out += [b"".join(map(find, own)) for own in cut]
+        return out
 
 
 #: Marks that are a pre-token of their own after a word.

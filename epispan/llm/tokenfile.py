@@ -25,7 +25,6 @@ from epispan.llm.pretokens import PieceEncoder, simple_tokens
 from epispan.session import cut, scratch_path
 
 END_ID = 2
-KEPT_PIECES = 600_000
 BLOCK_IDS = 2**18
 IDS_PER_SHARD = 2**24
 
@@ -83,6 +82,7 @@ def byte_letters() -> str:
 
 
 BYTE_LETTERS = byte_letters()
+SPACE_LETTER = BYTE_LETTERS[ord(" ")]
 
 
 class Encoder:
@@ -102,26 +102,30 @@ class Encoder:
             and read["truncation"] is None
             and cut.items() <= (read["pre_tokenizer"] or {}).items()
         )
-        self.pieces = PieceEncoder(self.split, self.encode_token, KEPT_PIECES)
+        self.pieces = PieceEncoder(self.split, self.encode_tokens)
+        self.id_bytes = [np.array(k, self.dtype).tobytes() for k in range(self.tokenizer.get_vocab_size())]
 
     def split(self, piece: str) -> list[str]:
         """Pre-tokens in the letters of the vocabulary."""
         simple = simple_tokens(piece)
         if simple:
+            if piece.isascii():  # letters and marks stand for themselves
+                return [t.replace(" ", SPACE_LETTER) for t in simple]
             return [codecs.charmap_decode(t.encode(), "strict", BYTE_LETTERS)[0] for t in simple]
         return [token for token, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
 
-    def encode_token(self, token: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(token)], self.dtype).tobytes()
-
-    def encode_text(self, text: str) -> bytes:
-        if self.by_piece and not any(a in text for a in self.added):
-            return self.pieces.encode(text)
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def encode_tokens(self, tokens: list[str]) -> list[bytes]:
+        tokenize, own = self.tokenizer.model.tokenize, self.id_bytes
+        return [b"".join([own[t.id] for t in tokenize(token)]) for token in tokens]
 
     def encode(self, batch: list[str], end_id: int) -> list[bytes]:
         end = np.array([end_id], self.dtype).tobytes()
-        return [self.encode_text(t) + end for t in batch]
+        by_piece = [self.by_piece and not any(a in t for a in self.added) for t in batch]
+        pieced = iter(self.pieces.encode([t for t, cut in zip(batch, by_piece, strict=True) if cut]))
+        return [(next(pieced) if cut else self.encode_text(t)) + end for t, cut in zip(batch, by_piece, strict=True)]
+
+    def encode_text(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
 
 ENCODERS: dict[int, Encoder] = {}
