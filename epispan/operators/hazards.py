@@ -1,6 +1,6 @@
 """Discrete-time hazards of competing events and of censoring, cross-fitted, for both arms.
 
-Fits run on person-period rows with Spark ML.  Predictions stay one row per person with one array
+The logistic and the boosted model are fitted on one row per person, ``gbt`` on person-period rows with Spark ML.  Predictions stay one row per person with one array
 per arm, so later steps need no shuffle over time.
 """
 
@@ -14,14 +14,15 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from epispan.operators import metrics as E
+from epispan.operators import boosting, multinomial
+from epispan.operators.blocks import Blocks
 from epispan.operators.curves import censoring_curve
 from epispan.operators.propensity import MAX_TREE_DEPTH, feature_stages, numeric_features
 from epispan.operators.sampling import stratified_folds
@@ -31,9 +32,9 @@ from epispan.session import FITS_AT_ONCE, at_least_parallel, cut, fit_together,
 
 ARMS = (0, 1)
 MAX_TOTAL_HAZARD = 0.999
-NEVER = -30.0
 PERIOD_ROWS_PER_TASK = 5_000_000
 PERSONS_PER_TASK = 50_000
+CURVE_ROWS = 2048
 ENDPOINTS = ("0", "1", "2", "all")
 METRIC_FAMILIES = ("c_harrel", "c_uno", "c_antolini", "auc_mean", "ibs")
 
@@ -106,6 +107,12 @@ class LogisticHazards:
     by_feature: np.ndarray  # classes x features
     by_time: np.ndarray  # classes x times
 
+    def shares(self, arm: float) -> np.ndarray:
+        """Chances ``(classes, times)`` of a person of the arm whose other features are all zero."""
+        eta = self.by_time + arm * self.by_feature[:, self.treated_at][:, None]
+        share = np.exp(eta - eta.max(axis=0))
+        return share / share.sum(axis=0)
+
     def predict(self, frame: DataFrame, keep: Sequence[str]) -> DataFrame:
         rows = self.features.transform(frame).select(*keep, vector_to_array("features").alias("_x"))
         names = curve_columns(self.causes)
@@ -176,6 +183,42 @@ class TreeHazards:
         return frame.select(*keep).join(packed.drop(*[f"_leave_{a}" for a in ARMS]), id_col)
 
 
+@dataclass(frozen=True)
+class BoostedHazards:
+    """Boosted incidences, turned into hazards of the grid periods."""
+
+    columns: tuple[str, ...]
+    treated_at: int
+    causes: tuple[int, ...]
+    model: boosting.Boosted
+
+    def predict(self, frame: DataFrame, keep: Sequence[str]) -> DataFrame:
+        rows = frame.select(*keep, F.array(*[F.col(f"`{c}`") for c in self.columns]).alias("_x"))
+        names = curve_columns(self.causes)
+        fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields if f.name != "_x"}
+        schema = ", ".join([f"{c} {t}" for c, t in fields.items()] + [f"{c} array<double>" for c in names])
+        model, treated_at, causes, kept = self.model, self.treated_at, self.causes, list(keep)
+
+        def work(batches):
+            for pdf in batches:
+                for start in range(0, len(pdf), CURVE_ROWS):
+                    part = pdf.iloc[start : start + CURVE_ROWS]
+                    x = np.array([[np.nan if v is None else v for v in row] for row in part["_x"]], float)
+                    out = part[kept].copy()
+                    for arm in ARMS:
+                        x[:, treated_at] = arm
+                        cif, staying = model.curves(x)
+                        earlier = before(1.0 - cif.sum(axis=1))
+                        step = np.diff(cif, axis=2, prepend=0.0)
+                        haz = bounded(step / np.maximum(earlier, 1e-12)[:, None, :])
+                        for k, cause in enumerate(causes):
+                            out[haz_name(cause, arm)] = list(haz[:, k, :])
+                        out[cens_name(arm)] = list(staying)
+                    yield out[[*kept, *names]]
+
+        return rows.mapInPandas(work, schema)
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def keep_product(leave: pd.Series) -> pd.Series:
     """Survival curve of a hazard curve."""
@@ -192,41 +235,41 @@ def fit_hazards(
     causes: Sequence[int] = (1, 2),
     params: HazardParams = HazardParams(),
     seed: int = 0,
-) -> LogisticHazards | TreeHazards:
-    """Fit hazards of the causes and of censoring on all rows of the frame."""
+    id_col: str | None = None,
+) -> LogisticHazards | TreeHazards | BoostedHazards:
+    """Fit hazards of the causes and of censoring on all rows of the frame.
+
+    The boosted learner draws a time per person and round by ``id_col``, so that a repeated fit is the same.
+    """
     if params.learner == "gbt" and params.max_depth > MAX_TREE_DEPTH:
         raise ValueError(f"max_depth {params.max_depth} is above the learner's limit of {MAX_TREE_DEPTH}")
     names = [*columns, treated]
+    if params.learner == "boosted":  # missing values have a bin of their own
+        codes = F.create_map(*[F.lit(v) for k, c in enumerate(causes) for v in (c, k + 1)])
+        cast = frame.withColumns({c: F.col(f"`{c}`").cast("double") for c in names})
+        cast = cast.withColumn("_state", F.coalesce(codes[F.col(event)], F.lit(0)))
+        rows = spread(cast, frame.count(), PERSONS_PER_TASK)
+        return BoostedHazards(
+            tuple(names), len(names) - 1, tuple(causes),
+            boosting.fit(rows, id_col or F.monotonically_increasing_id(), names, time, "_state", grid, len(causes), params, seed),
+        )
     cast, flagged = numeric_features(frame, names)
-    # a person unfolds into up to one row per grid time, so tasks take few persons each
+    # a person stands for up to one period per grid time, so tasks take few persons each
     spread_rows = spread(cast, frame.count(), max(1, PERIOD_ROWS_PER_TASK // len(grid)))
-    periods = person_periods(spread_rows, time, event, grid)
     if params.learner == "logistic":
         features = Pipeline(stages=feature_stages(names, flagged)).fit(cast)
-        rows = features.transform(periods).select(
-            F.col("features").alias("x"), "t_idx", "event_label", "cens_label"
-        )
-        # the encoder must know every grid time, also those nobody reaches in this fold
-        known = frame.sparkSession.range(len(grid)).select(F.col("id").cast("int").alias("t_idx"))
-        encoder = OneHotEncoder(inputCol="t_idx", outputCol="t_hot", dropLast=False).fit(known)
-        rows = encoder.transform(rows)
-        rows = VectorAssembler(inputCols=["x", "t_hot"], outputCol="features").transform(rows)
-        label = F.when(F.col("cens_label") == 1, F.lit(len(causes) + 1.0)).otherwise(0.0)
+        leaving = F.when(F.col(event) == 0, F.lit(len(causes) + 1))
         for k, cause in enumerate(causes):
-            label = F.when(F.col("event_label") == cause, F.lit(k + 1.0)).otherwise(label)
-        model = LogisticRegression(
-            labelCol="_y", featuresCol="features", family="multinomial",
-            regParam=params.reg_param, maxIter=params.logistic_iter, tol=params.logistic_tol,
-        ).fit(rows.select("features", label.alias("_y")))
+            leaving = leaving.when(F.col(event) == cause, F.lit(k + 1))
+        row = F.concat(F.array(grid_index(time, grid).cast("double"), leaving.cast("double")), vector_to_array("features"))
+        rows = Blocks.written(features.transform(spread_rows).select(row.alias("row")), "row")
         p, classes = len(names) + len(flagged), len(causes) + 2
-        # a class nobody has in the highest place is unknown to the fit and stays very unlikely
-        matrix, offset = np.zeros((classes, p + len(grid))), np.full(classes, NEVER)
-        seen = model.coefficientMatrix.toArray()
-        matrix[: len(seen)], offset[: len(seen)] = seen, model.interceptVector.toArray()
-        return LogisticHazards(
-            features, len(names) - 1, tuple(causes), matrix[:, :p], matrix[:, p:] + offset[:, None]
+        fitted = multinomial.fit(
+            rows, p, len(grid), classes, params.reg_param, params.logistic_iter, params.logistic_tol
         )
+        return LogisticHazards(features, len(names) - 1, tuple(causes), fitted.by_feature, fitted.by_time)
     if params.learner == "gbt":
+        periods = person_periods(spread_rows, time, event, grid)
         timed = periods.withColumn("grid_t", F.get(F.array(*[F.lit(float(t)) for t in grid]), F.col("t_idx")))
         features = Pipeline(stages=feature_stages([*names, "grid_t"], flagged)).fit(timed)
         rows = features.transform(timed).select("features", "event_label", "cens_label", "cens_risk").persist()
@@ -251,7 +294,7 @@ def fit_hazards(
 
 
 def predict_hazards(
-    model: LogisticHazards | TreeHazards,
+    model: LogisticHazards | TreeHazards | BoostedHazards,
     frame: DataFrame,
     columns: Sequence[str],
     treated: str,
@@ -260,7 +303,7 @@ def predict_hazards(
     """Hazard and censoring curves of both arms for new rows, one row per person."""
     flags = [
         c.removesuffix("_missing")
-        for stage in model.features.stages
+        for stage in (() if isinstance(model, BoostedHazards) else model.features.stages)
         for c in (stage.getInputCols() if stage.hasParam("inputCols") else [])
         if c.endswith("_missing")
     ]
@@ -297,7 +340,7 @@ def cross_fit(
     def fit(k: int) -> DataFrame:
         train = dealt.where(F.col("fold") != k)
         settings = choose(train, k) if choose else params
-        model = fit_hazards(train, columns, treated, time, event, grid, causes, settings, seed)
+        model = fit_hazards(train, columns, treated, time, event, grid, causes, settings, seed, id_col)
         held = at_least_parallel(dealt.where(F.col("fold") == k), persons // folds, PERSONS_PER_TASK)
         return predict_hazards(model, held, columns, treated, keep)
 

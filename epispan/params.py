@@ -145,9 +145,9 @@ BIOBANK_PATTERNS = {
 
 @dataclass(frozen=True)
 class HazardParams:
-    """Learner of the discrete-time hazards; the boosting values apply to ``learner='gbt'``.
+    """Learner of the discrete-time hazards: ``logistic``, ``boosted`` (competing risks by histograms) or ``gbt`` (Spark ML).
 
-    A depth above the learner's limit raises.
+    The boosting values apply to the last two. A depth above the limit of ``gbt`` raises.
     """
 
     learner: str = "logistic"
@@ -156,8 +156,8 @@ class HazardParams:
     max_depth: int = 3
     min_samples_leaf: int = 49
     reg_param: float = 1e-3
-    logistic_iter: int = 30
-    logistic_tol: float = 1e-4
+    logistic_iter: int = 50
+    logistic_tol: float = 1e-9
 
 
 @dataclass(frozen=True)

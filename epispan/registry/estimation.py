@@ -471,12 +471,104 @@ def _hazards(spark, sf):
     return H.predict_hazards(model, rows, COVARIATES, "hospitalized", keep)
 
 
+@query(
+    "hazard_baseline",
+    "M6",
+    f"""WITH {FOLLOWUP}, own AS (
+      SELECT hospitalized, event_indicator, CAST(least(floor(event_time / 200), 12) AS INTEGER) AS last FROM followup),
+    cells AS (
+      SELECT hospitalized, t_idx, count(*) AS n, count(*) FILTER (WHERE last = t_idx AND event_indicator = 1) AS n1,
+        count(*) FILTER (WHERE last = t_idx AND event_indicator = 2) AS n2,
+        count(*) FILTER (WHERE last = t_idx AND event_indicator = 0) AS n0
+      FROM own, (SELECT unnest(range(0, 4)) AS t_idx) WHERE last >= t_idx GROUP BY ALL)
+    SELECT hospitalized, CAST(t_idx AS INTEGER) AS t_idx, round(n1 / n, 5) AS haz_1, round(n2 / n, 5) AS haz_2,
+      round(n0 / (n - n1 - n2), 5) AS leaving FROM cells""",
+)
+def _hazard_baseline(spark, sf):
+    """Without covariates the fitted hazards are the shares of those at risk; later periods have few persons."""
+    rows, tables = fit_rows(spark, sf), []
+    for arm in (False, True):
+        model = H.fit_hazards(
+            rows.where(F.col("hospitalized") == arm), (), "hospitalized", "event_time", "event_indicator", FIT_GRID,
+            params=HazardParams(reg_param=0.0),
+        )
+        share = model.shares(0.0)
+        for k in range(4):
+            stay, one, two, out = (float(v) for v in share[:, k])
+            tables.append((arm, k, round(one, 5), round(two, 5), round(out / (stay + out), 5)))
+    return spark.createDataFrame(tables, "hospitalized boolean, t_idx int, haz_1 double, haz_2 double, leaving double")
+
+
+ROUND = HazardParams(learner="boosted", n_iter=1, max_depth=1, min_samples_leaf=5)
+
+
+@query(
+    "boosting_round",
+    "M6",
+    f"""WITH {FOLLOWUP},
+    daily AS (SELECT event_time AS t, count(*) FILTER (WHERE event_indicator > 0) AS d,
+      count(*) FILTER (WHERE event_indicator = 0) AS c FROM followup GROUP BY ALL),
+    risk AS (SELECT *, sum(d + c) OVER (ORDER BY t DESC) AS n FROM daily),
+    chances AS (SELECT t, product(1 - c / greatest(n - d, 1)) OVER (ORDER BY t) AS u, product(1 - d / n) OVER (ORDER BY t) AS s FROM risk),
+    looked AS (SELECT person_id, event_time, event_indicator AS e, c_nationkey, hospitalized,
+      CAST(({hashed("'time'", "person_id")} >> 12) % 13 AS INTEGER) AS place FROM followup),
+    chance AS (
+      SELECT f.person_id,
+        coalesce(arg_max(b.u, b.t) FILTER (WHERE b.t < f.event_time), 1.0) AS u_own,
+        coalesce(arg_max(b.s, b.t) FILTER (WHERE b.t <= f.event_time), 1.0) AS s_own,
+        coalesce(arg_max(b.u, b.t) FILTER (WHERE b.t <= 200 * f.place), 1.0) AS u_at,
+        coalesce(arg_max(b.s, b.t) FILTER (WHERE b.t <= 200 * f.place), 1.0) AS s_at
+      FROM looked f, chances b GROUP BY f.person_id),
+    weighed AS (
+      SELECT l.*, event_time <= 200 * place AS due,
+        CASE WHEN event_time > 200 * place THEN 1 / greatest(u_at, 0.001) WHEN e > 0 THEN 1 / greatest(u_own, 0.001) ELSE 0 END AS we,
+        CASE WHEN event_time > 200 * place THEN 1 / greatest(s_at, 0.001) WHEN e = 0 THEN 1 / greatest(s_own, 0.001) ELSE 0 END AS wc
+      FROM looked l JOIN chance USING (person_id)),
+    states AS (
+      SELECT person_id, c_nationkey, hospitalized, place, k AS tree, CASE WHEN k < 3 THEN we ELSE wc END AS w,
+        CASE WHEN k < 3 THEN CASE WHEN due THEN e ELSE 0 END = k ELSE due AND e = 0 END AS y
+      FROM weighed, (SELECT unnest([0, 1, 2, 3]) AS k)),
+    starts AS (SELECT tree, sum(w) FILTER (WHERE y) / sum(w) AS p FROM states GROUP BY tree),
+    slopes AS (SELECT s.*, w * (p - CASE WHEN y THEN 1 ELSE 0 END) AS g, w * p * (1 - p) AS h FROM states s JOIN starts USING (tree) WHERE w > 0),
+    named AS (
+      SELECT tree, 'c_nationkey' AS feature, CAST(c_nationkey AS DOUBLE) AS v, g, h FROM slopes
+      UNION ALL SELECT tree, 'hospitalized', CASE WHEN hospitalized THEN 1.0 ELSE 0.0 END, g, h FROM slopes
+      UNION ALL SELECT tree, 'time', CAST(200 * place AS DOUBLE), g, h FROM slopes),
+    cells AS (SELECT tree, feature, v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM named GROUP BY ALL),
+    sides AS (
+      SELECT tree, feature, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl,
+        sum(g) OVER a AS ga, sum(h) OVER a AS ha, sum(n) OVER a AS na
+      FROM cells WINDOW w AS (PARTITION BY tree, feature ORDER BY v), a AS (PARTITION BY tree, feature)),
+    gains AS (
+      SELECT *, gl * gl / hl + (ga - gl) * (ga - gl) / (ha - hl) - ga * ga / ha AS gain FROM sides
+      WHERE nl >= 5 AND na - nl >= 5 AND hl >= 0.001 AND ha - hl >= 0.001),
+    best AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY gain DESC) AS place FROM gains)
+    SELECT CAST(tree AS INTEGER) AS tree, feature, v AS cut, round(gain, 4) AS gain,
+      round(-0.013 * gl / hl, 6) AS value_left, round(-0.013 * (ga - gl) / (ha - hl), 6) AS value_right
+    FROM best WHERE place = 1""",
+)
+def _boosting_round(spark, sf):
+    """The first trees of the states and of censoring: one round of depth one."""
+    rows = fit_rows(spark, sf)
+    model = H.fit_hazards(
+        rows, ("c_nationkey",), "hospitalized", "event_time", "event_indicator", FIT_GRID, params=ROUND, seed=SEED, id_col="person_id"
+    ).model
+    names, found = ("c_nationkey", "hospitalized", "time"), []
+    for number, tree in enumerate(model.rounds[0]):
+        if tree.feature[0] >= 0:
+            f, cut_at = tree.feature[0], tree.cut[0] - 1
+            value = FIT_GRID[cut_at] if f == 2 else model.edges[f][cut_at]
+            sizes = round(tree.gain[0], 4), *(round(float(v), 6) for v in tree.value[1:])
+            found.append((number, names[f], float(value), *sizes))
+    return spark.createDataFrame(found, "tree int, feature string, cut double, gain double, value_left double, value_right double")
+
+
 @query("hazard_curves_boosted", "M6")
 def _hazards_boosted(spark, sf):
     rows = fit_rows(spark, sf)
-    settings = HazardParams(learner="gbt", n_iter=3, learning_rate=0.1, max_depth=3, min_samples_leaf=49)
     model = H.fit_hazards(
-        rows, COVARIATES, "hospitalized", "event_time", "event_indicator", FIT_GRID, params=settings, seed=SEED
+        rows, COVARIATES, "hospitalized", "event_time", "event_indicator", FIT_GRID,
+        params=HazardParams(learner="boosted"), seed=SEED, id_col="person_id",
     )
     keep = ["person_id", "hospitalized"]
     return H.predict_hazards(model, rows, COVARIATES, "hospitalized", keep)
