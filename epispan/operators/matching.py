@@ -22,6 +22,9 @@ from epispan.operators.ranking import TIE_CELLS, assign_cells, value_rank, value
 from epispan.session import cut
 
 CELL_VALUES = 200_000
+#: Share of a cell by which the edges move per round: no two rounds have the same edges.
+EDGE_MOVE = 0.6180339887
+IDLE_ROUNDS = 20
 HEAVY_SCORE = 100_000
 PAIR_CHUNK = 10_000
 ROUND_SCHEMA = (
@@ -259,7 +262,9 @@ def match_blocks(scores: DataFrame, caliper: float, cell_values: int = CELL_VALU
 
     ``scores`` has one row per distinct score with ``n_t`` and ``n_c``.  Equal scores pair up
     first; the surplus goes through rounds of independent score cells until nobody is left who
-    could find a partner.
+    could find a partner. Cell edges move from round to round. A pair waits while a closer partner of either side is
+    undecided beyond an edge, so a chain of ever closer partners over many cells takes about a round per cell; cells
+    stay as small as ``cell_values`` for all that.
     """
     equal = F.least("n_t", "n_c")
     zero = F.lit(0).cast("bigint")
@@ -277,10 +282,10 @@ def match_blocks(scores: DataFrame, caliper: float, cell_values: int = CELL_VALU
         F.abs(F.col("n_t") - F.col("n_c")).alias("n"),
     )
     blocks = same
-    size, stuck, turn = nodes.count(), 1, 0
+    size, idle, turn = nodes.count(), 0, 0
     while size > 0:
-        n_cells = max(1, math.ceil(size / cell_values) // stuck)
-        result = _round(nodes, n_cells, (turn % 2) / 2, caliper)
+        n_cells = max(1, math.ceil(size / cell_values))
+        result = _round(nodes, n_cells, turn * EDGE_MOVE % 1, caliper)
         if n_cells > 1:
             result = cut(result, "match-round")
         blocks = blocks.unionByName(result.where("matched").drop("matched"))
@@ -288,7 +293,10 @@ def match_blocks(scores: DataFrame, caliper: float, cell_values: int = CELL_VALU
             break
         nodes = _left_over(result)
         left = nodes.count()
-        stuck = stuck * 2 if left == size else 1
+        # the closest pair of all is taken as soon as no cell edge parts it, so rounds without a pair are rare
+        idle = idle + 1 if left == size else 0
+        if idle > IDLE_ROUNDS:
+            raise RuntimeError(f"no pair was found in {idle} rounds over {left} scores")
         size, turn = left, turn + 1
     return blocks
 

@@ -137,3 +137,15 @@ def test_rolling_rate_blocks(spark):
             assert rate is None
         else:
             assert rate == pytest.approx(np.mean([y for _, _, y in order[place - 4 : place + 1]]))
+
+
+def test_chain_of_closer_partners_across_cells_keeps_cells_small(spark, monkeypatch):
+    """Every pair waits for the next one, so the chain is decided from its end, cell by cell."""
+    gaps = [1 - k / 100 for k in range(47)]
+    rows = [(i, i % 2 == 0, float(sum(gaps[:i]))) for i in range(48)]
+    rounds = []
+    one_round = X._round
+    monkeypatch.setattr(X, "_round", lambda nodes, n_cells, *a: rounds.append((nodes.count(), n_cells)) or one_round(nodes, n_cells, *a))
+    pairs = X.nearest_neighbor_match(as_frame(spark, rows), "id", "treated", "score", 2.0, cell_values=8).collect()
+    assert {(p["treated_id"], p["control_id"]) for p in pairs} == brute_force(rows, 2.0)
+    assert len(rounds) > 3 and all(n_cells >= size / 8 for size, n_cells in rounds)
