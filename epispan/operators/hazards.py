@@ -7,9 +7,9 @@ per arm, so later steps need no shuffle over time.
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,7 @@ from epispan.operators.blocks import Blocks
 from epispan.operators.curves import censoring_curve
 from epispan.operators.propensity import MAX_TREE_DEPTH, feature_stages, numeric_features
 from epispan.operators.sampling import stratified_folds
+from epispan.operators.search import search
 from epispan.functions.stats import risk_score
 from epispan.params import HazardParams
 from epispan.session import FITS_AT_ONCE, at_least_parallel, cut, fit_together, spread
@@ -352,23 +353,23 @@ def cross_fit(
     return cut(crossed, "crossfit")
 
 
-def random_trials(n: int, seed: int, base: HazardParams) -> list[HazardParams]:
-    """Reproducible settings: uniform iterations, depth and leaf size, log-uniform rates."""
-    draw = random.Random(seed)
-    trials = []
-    for _ in range(n):
-        rate = math.exp(draw.uniform(math.log(0.01), math.log(0.1)))
-        trials.append(
-            replace(
-                base,
-                n_iter=draw.randint(50, 250),
-                learning_rate=rate,
-                max_depth=draw.randint(2, MAX_TREE_DEPTH),
-                min_samples_leaf=draw.randint(1, 60),
-                reg_param=10 ** draw.uniform(-5, -1),
-            )
-        )
-    return trials
+def fold_values(
+    frame: DataFrame,
+    id_col: str,
+    columns: Sequence[str],
+    treated: str,
+    time: str,
+    event: str,
+    grid: Sequence[float],
+    metric: str,
+    folds: int,
+    params: HazardParams,
+    seed: int,
+) -> list[float | None]:
+    """The metric of every inner fold for one choice of settings."""
+    crossed = cross_fit(frame, id_col, columns, treated, time, event, grid, folds, params=params, seed=seed)
+    panel = metric_panel(crossed, treated, time, event, grid, only=metric)
+    return [r["value"] for r in panel.orderBy("fold").collect()]
 
 
 def tune(
@@ -379,24 +380,22 @@ def tune(
     time: str,
     event: str,
     grid: Sequence[float],
-    trials: Sequence[HazardParams],
+    base: HazardParams,
     metric: str,
+    n_trials: int = 100,
     folds: int = 3,
     seed: int = 0,
-) -> tuple[HazardParams, list[dict]]:
-    """Mean inner-fold metric of every trial; the best by the direction of the metric."""
-    results = []
-    for number, params in enumerate(trials):
-        crossed = cross_fit(
-            frame, id_col, columns, treated, time, event, grid, folds, params=params, seed=seed
-        )
-        panel = metric_panel(crossed, treated, time, event, grid, only=metric)
-        mean = panel.agg(F.avg("value")).first()[0]
-        results.append({"trial": number, "params": params, "value": mean})
-    sign = -1 if metric.startswith("ibs") else 1
-    known = [r for r in results if r["value"] is not None]
-    best = max(known, key=lambda r: sign * r["value"])
-    return best["params"], results
+    study: str = "study",
+    path: str | None = None,
+) -> tuple[HazardParams, DataFrame]:
+    """The settings with the best mean metric over inner folds, and the table of all trials.
+
+    Proposals learn from finished trials. With a ``path`` the table is kept there, and a study found in it goes on where it ended.
+    """
+    evaluate = partial(fold_values, frame, id_col, columns, treated, time, event, grid, metric, folds)
+    return search(
+        frame.sparkSession, lambda params: evaluate(params, seed), base, n_trials, study, seed, not metric.startswith("ibs"), path
+    )
 
 
 def factual_curves(crossed: DataFrame, treated: str, keep: Sequence[str], causes: Sequence[int] = (1, 2)) -> DataFrame:

@@ -177,6 +177,8 @@ class FitParams:
     n_folds_inner: int = 3
     n_trials: int = 100
     tune: bool = True
+    #: Folder of the trial table; a run that finds trials of its folds there goes on with them.
+    trial_path: str | None = None
     eval_metric: str = "c_antolini_all"
     target_times: tuple[float, ...] = (100, 200, 300, 400, 500, 600, 700)
     max_updates: int = 500

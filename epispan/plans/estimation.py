@@ -122,9 +122,9 @@ def run_estimation(
     names = (id_col, columns, treated, *OUTCOMES, grid)
 
     def choose(train: DataFrame, fold: int):
-        trials = H.random_trials(params.n_trials, params.seed + fold, params.hazard)
         best, _ = H.tune(
-            train, *names, trials, params.eval_metric, params.n_folds_inner, params.seed
+            train, *names, params.hazard, params.eval_metric, params.n_trials, params.n_folds_inner, params.seed,
+            study=f"fold_{fold + 1}", path=params.trial_path,
         )
         return best
 

@@ -103,13 +103,6 @@ def test_boosted_hazards_have_the_same_shape(design):
             assert len(r[H.cens_name(arm)]) == len(GRID)
 
 
-def test_trials_stay_in_their_ranges():
-    trials = H.random_trials(50, 1, HazardParams())
-    assert trials == H.random_trials(50, 1, HazardParams())
-    assert all(50 <= t.n_iter <= 250 and 0.01 <= t.learning_rate <= 0.1 for t in trials)
-    assert all(2 <= t.max_depth <= 30 and 1 <= t.min_samples_leaf <= 60 for t in trials)
-
-
 def test_propensity_variants(design):
     for calibrate in (False, True):
         rows = Q.propensity_scores(
