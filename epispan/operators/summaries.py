@@ -231,7 +231,7 @@ def compare_binary(
             "chi2": stats.chi2_2x2(yes[0], yes[1], no[0], no[1]),
         }
     )
-    out = out.withColumn("p", stats.chi2_p_value("chi2"))
+    out = out.withColumn("p", stats.chi2_p_value(F.col("chi2")))
     return out.withColumn("stars", stats.significance_stars(F.col("p")))
 
 

@@ -537,6 +537,41 @@ def _chi2(spark, sf):
     return out.select("t", "covariate", "rate_bottom", "rate_top", "chi2").withColumns(rounded)
 
 
+@query(
+    "t_p_values",
+    "A22 A24",
+    """WITH s AS (SELECT o_orderkey, (o_totalprice - 250000) / 50000 AS t, 1 + o_orderkey % 4 AS df FROM orders),
+    p AS (SELECT *, CASE df WHEN 1 THEN 1 - 2 / pi() * atan(abs(t)) WHEN 2 THEN 1 - abs(t) / sqrt(2 + t * t)
+      WHEN 3 THEN 1 - 2 / pi() * (atan(abs(t) / sqrt(3)) + abs(t) / sqrt(3) / (1 + t * t / 3))
+      ELSE 1 - abs(t) / sqrt(4 + t * t) * (1 + 2 / (4 + t * t)) END AS p FROM s)
+    SELECT o_orderkey, round(p, 9) AS p, CASE WHEN p >= 0.05 THEN 'n. s.' WHEN p >= 0.005 THEN '*' WHEN p >= 0.0005 THEN '**'
+      ELSE '***' END AS stars FROM p""",
+)
+def _t_p(spark, sf):
+    """p values at one to four degrees of freedom, where they have closed forms."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    t, df = (F.col("o_totalprice") - 250000) / 50000, 1 + F.col("o_orderkey") % 4
+    rows = orders.select("o_orderkey", stats.t_p_value(t, df).alias("p"))
+    return rows.select("o_orderkey", F.round("p", 9).alias("p"), stats.significance_stars(F.col("p")).alias("stars"))
+
+
+@query(
+    "chi2_stars",
+    "A23 A24",
+    f"""WITH {EFFECTS}, long_rows AS ({_long_sql(BINARY)}),
+    c AS (SELECT t, covariate, sum(value) FILTER (WHERE quantile_group = 'bottom') AS a, sum(value) FILTER (WHERE quantile_group = 'top') AS b,
+      count(value) FILTER (WHERE quantile_group = 'bottom') AS n1, count(value) FILTER (WHERE quantile_group = 'top') AS n2
+      FROM long_rows GROUP BY ALL),
+    x AS (SELECT t, covariate, CASE WHEN (a + b) * (n1 + n2 - a - b) > 0 THEN
+      (n1 + n2) * greatest(abs(a * (n2 - b) - b * (n1 - a)) - (n1 + n2) / 2, 0) ** 2 / ((a + b) * (n1 + n2 - a - b) * n1 * n2) END AS chi2 FROM c)
+    SELECT t, covariate, CASE WHEN chi2 > 12.115665146 THEN '***' WHEN chi2 > 7.879438577 THEN '**' WHEN chi2 > 3.841458821 THEN '*'
+      ELSE 'n. s.' END AS stars FROM x""",
+)
+def _chi2_stars(spark, sf):
+    """Stars of the p values; the SQL holds the statistic against the table values of 0.05, 0.005 and 0.0005."""
+    return M.compare_binary(grouped_effects(spark, sf), ["t"], BINARY).select("t", "covariate", "stars")
+
+
 @query(
     "significance_stars",
     "A24",
