@@ -150,8 +150,9 @@ class Score:
         """Length of the mean influence values in units of their spread."""
         return float(np.sqrt(((self.mean / np.maximum(self.sd, 1e-300)) ** 2).sum()))
 
-    def solved(self) -> bool:
-        limit = self.sd / (math.sqrt(self.n) * max(math.log(self.n), 1.0))
+    def solved(self, tolerance: float | None = None) -> bool:
+        """Whether the mean influence values are small against their standard errors, or at most ``tolerance`` spreads."""
+        limit = self.sd / (math.sqrt(self.n) * max(math.log(self.n), 1.0)) if tolerance is None else tolerance * self.sd
         return bool((np.abs(self.mean) <= limit).all())
 
     def direction(self) -> np.ndarray:
@@ -239,8 +240,8 @@ class Targeted:
     solved: bool
 
 
-def tmle_update(frame: DataFrame, target: Target, max_updates: int = 500) -> Targeted:
-    """Move the hazards until every mean influence value is small against its standard error.
+def tmle_update(frame: DataFrame, target: Target, max_updates: int = 500, tolerance: float | None = None) -> Targeted:
+    """Move the hazards until every mean influence value is small against its standard error, or as ``tolerance`` asks.
 
     Each pass tries a ladder of step lengths along the first-order solution and keeps the one that
     shrinks the scores most, so few passes are needed; every few steps the moved curves are
@@ -249,7 +250,7 @@ def tmle_update(frame: DataFrame, target: Target, max_updates: int = 500) -> Tar
     current, steps = frame, []
     score = initial = scores(frame, target, [])[0]
     used = 0
-    while used < max_updates and not score.solved():
+    while used < max_updates and not score.solved(tolerance):
         direction = score.direction()
         tried = scores(current, target, steps, direction, LADDER)
         best = min(range(len(LADDER)), key=lambda k: tried[k].size)
@@ -262,7 +263,7 @@ def tmle_update(frame: DataFrame, target: Target, max_updates: int = 500) -> Tar
             current, steps = cut(moved_frame(current, target, steps), "tmle"), []
     if steps:
         current = moved_frame(current, target, steps)
-    return Targeted(current, score, initial, used, score.solved())
+    return Targeted(current, score, initial, used, score.solved(tolerance))
 
 
 def influence_rows(frame: DataFrame, target: Target) -> DataFrame:

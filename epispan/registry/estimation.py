@@ -594,6 +594,59 @@ def _tune(spark, sf):
     return trials.select("trial", "state", "reg_param", "folds", "value", (F.col("reg_param") == best.reg_param).alias("best"))
 
 
+UNADJUSTED_TIMES = (400.0, 800.0, 1200.0, 1600.0)
+
+
+@query(
+    "targeted_unadjusted",
+    "M17",
+    f"""WITH {FOLLOWUP},
+    daily AS (
+      SELECT hospitalized, least(floor(event_time / 200), 12) * 200 AS t, count(*) AS leaving,
+        count(*) FILTER (WHERE event_indicator > 0) AS d, count(*) FILTER (WHERE event_indicator = 1) AS d1,
+        count(*) FILTER (WHERE event_indicator = 2) AS d2
+      FROM followup GROUP BY ALL),
+    risk AS (SELECT *, sum(leaving) OVER (PARTITION BY hospitalized ORDER BY t DESC) AS n FROM daily),
+    km AS (SELECT *, product(1 - d / n) OVER (PARTITION BY hospitalized ORDER BY t) AS surv FROM risk),
+    lagged AS (SELECT *, coalesce(lag(surv) OVER (PARTITION BY hospitalized ORDER BY t), 1.0) AS s0 FROM km),
+    aj AS (SELECT hospitalized, t, sum(s0 * d1 / n) OVER w AS cif1, sum(s0 * d2 / n) OVER w AS cif2
+      FROM lagged WINDOW w AS (PARTITION BY hospitalized ORDER BY t)),
+    wide AS (SELECT hospitalized, u.t AS target_time, max(cif1) AS cif1, max(cif2) AS cif2 FROM aj,
+      (SELECT unnest([400.0, 800.0, 1200.0, 1600.0]) AS t) u WHERE aj.t <= u.t GROUP BY ALL)
+    SELECT hospitalized, CAST(target_time AS DOUBLE) AS target_time, 1 AS event, round(cif1, 4) AS risk FROM wide
+    UNION ALL SELECT hospitalized, CAST(target_time AS DOUBLE), 2, round(cif2, 4) FROM wide""",
+)
+def _targeted_unadjusted(spark, sf):
+    """Hazards half as high again as those observed, without covariates: targeting must lead back to Aalen-Johansen."""
+    rows = fit_rows(spark, sf)
+    period = H.grid_index("event_time", FIT_GRID)
+    daily = rows.groupBy("hospitalized", period.alias("k"), "event_indicator").count().collect()
+    curves = {}
+    for arm in (False, True):
+        own = [[sum(r["count"] for r in daily if (r.hospitalized, r.k, r.event_indicator) == (arm, k, e)) for e in (0, 1, 2)] for k in range(len(FIT_GRID))]
+        at_risk = [sum(map(sum, own[k:])) for k in range(len(own))]
+        for e in (1, 2):
+            curves[H.haz_name(e, int(arm))] = [min(1.5 * c[e] / max(n, 1), 0.45) for c, n in zip(own, at_risk)]
+        stay, cens = 1.0, []
+        for (c0, c1, c2), n in zip(own, at_risk):
+            stay *= 1 - c0 / (n - c1 - c2) if n > c1 + c2 else 1.0
+            cens.append(stay)
+        curves[H.cens_name(int(arm))] = cens
+    arrays = [F.array(*[F.lit(float(v)) for v in curves[c]]).alias(c) for c in H.curve_columns((1, 2))]
+    time = F.element_at(F.array(*[F.lit(t) for t in FIT_GRID]), period + 1).alias("event_time")
+    crossed_rows = rows.select("person_id", "hospitalized", time, "event_indicator", *arrays)
+    share = rows.agg(F.avg(F.col("hospitalized").cast("double"))).first()[0]
+    data = rows.select("person_id", F.lit(share).alias("p"))
+    target = T.Target("person_id", "hospitalized", "event_indicator", "p", FIT_GRID, UNADJUSTED_TIMES, bound=1e-6)
+    frame = cut(T.targeting_frame(crossed_rows, data, target, "event_time"), "unadjusted")
+    done = T.tmle_update(frame, target, tolerance=1e-7)
+    table = [
+        (bool(arm), t, cause, round(float(done.score.risk[arm, k, j]), 4))
+        for arm in (0, 1) for k, cause in enumerate((1, 2)) for j, t in enumerate(UNADJUSTED_TIMES)
+    ]
+    return spark.createDataFrame(table, "hospitalized boolean, target_time double, event int, risk double")
+
+
 @query("tmle_estimates", "M17 M18 M16 M15")
 def _tmle(spark, sf):
     curves = crossed(spark, sf)

@@ -24,7 +24,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # rows can hold whole texts, so batches for Python workers are bounded by bytes, not only by rows
-    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "1m",
 }
 
 
