@@ -13,6 +13,7 @@ import base64
 import codecs
 import hashlib
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epispan.llm.common import emptied
 from epispan.llm.pretokens import PieceEncoder, simple_tokens
 
 #: The private alphabet: byte b is the letter U+0100 + b. None of them is white space to sentencepiece.
@@ -144,8 +146,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
     shared = shipped(docs, ranks, pattern)
 
     @F.pandas_udf("binary")
-    def ids_of(text: pd.Series) -> pd.Series:
-        return pd.Series(codec(shared).encode([t or "" for t in text]), dtype=object)
+    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = codec(shared)
+        found = (pd.Series(own.encode([t or "" for t in text]), dtype=object) for text in batches)
+        yield from emptied(found, own.pieces.known)
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("source_row"))
     return rows.withColumn("ids", ids_of("source_row.text"))

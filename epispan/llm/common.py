@@ -32,6 +32,16 @@ def map_batches(frame: DataFrame, work: Callable[[Batches], Batches], schema: st
     return frame.mapInArrow(work, schema)
 
 
+def emptied(out: Iterator, *caches) -> Iterator:
+    """What a task yields; at its end its caches are emptied, since Spark keeps the worker for the stages to come."""
+    try:
+        yield from out
+    finally:
+        for cache in caches:
+            cache.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Whole texts of a batch, null as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

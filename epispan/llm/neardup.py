@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epispan.llm.common import Batches, byte_texts, mix64, record
+from epispan.llm.common import Batches, byte_texts, emptied, mix64, record
 from epispan.llm.components import components
 from epispan.operators.joins import broadcast_if_small
 from epispan.session import cut
@@ -110,7 +110,7 @@ def signed(docs: DataFrame, words: int, minima: int) -> DataFrame:
                 rows.append((len(own), hashlib.md5(blob).digest() if len(own) else None, minima_of(own, a, b).tobytes() if len(own) else None))
             yield record(SIGNED, batch.column("doc_id"), *([r[k] for r in rows] for k in range(3)))
 
-    return docs.mapInArrow(work, SIGNED_DDL)
+    return docs.mapInArrow(lambda batches: emptied(work(batches), WORD_HASHES), SIGNED_DDL)
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -121,7 +121,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield record(SETS, batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
 
-    return docs.mapInArrow(work, SET_DDL)
+    return docs.mapInArrow(lambda batches: emptied(work(batches), WORD_HASHES), SET_DDL)
 
 
 def band_keys(classes: DataFrame, rows: int, minima: int) -> DataFrame:

@@ -19,7 +19,7 @@ ODD = ("  ", " \n", "\n ", "\n\n", *map(chr, ODD_CODES))
 #: Bytes of memory that one kept string takes besides its characters and ids: objects and table entries, roughly.
 ENTRY_BYTES = 200
 #: Bytes that the younger of the two generations of a table may take before it becomes the older one.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 64 << 20
 #: Texts whose unknown pieces are encoded together.
 TEXTS_AT_ONCE = 256
 
@@ -40,6 +40,9 @@ class Kept:
         self.old: dict[str, bytes] = {}
         self.size = 0
 
+    def clear(self) -> None:
+        self.young, self.old, self.size = {}, {}, 0
+
     def table(self, wanted: set[str]) -> dict[str, bytes]:
         """A table that holds all wanted strings, the unknown ones found together. It is good until the next call."""
         if self.size > self.most:

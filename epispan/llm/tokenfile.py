@@ -20,7 +20,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epispan.llm.common import Batches, record, texts
+from epispan.llm.common import Batches, emptied, record, texts
 from epispan.llm.pretokens import PieceEncoder, simple_tokens
 from epispan.session import cut, scratch_path
 
@@ -154,7 +154,10 @@ def token_ids(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFra
         for batch in batches:
             yield record(IDS, batch.column("doc_id"), encoder(shared).encode(texts(batch), end_id))
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(work, IDS_DDL)
+    def whole_task(batches: Batches) -> Batches:
+        return emptied(work(batches), encoder(shared).pieces.known)
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(whole_task, IDS_DDL)
 
 
 def ranked_ids(encoded: DataFrame, dtype: str) -> DataFrame:
