@@ -15,12 +15,12 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epispan.functions.hashing import stable_hash
 from epispan.functions.stats import clipped, logit
+from epispan.operators import isotonic
 from epispan.operators.matching import balanced_weights
 from epispan.operators.sampling import in_training
 from epispan.session import FITS_AT_ONCE, cut, fit_together
@@ -158,9 +158,7 @@ def calibrated_scores(
         raw, edge = f"_raw_{k}", f"_logit_{k}"
         held = with_score(model, numbered.where(F.col("_fold") == k), raw)
         held = held.withColumn(edge, logit(clipped(F.col(raw)))).select(raw, edge, data.label)
-        iso = IsotonicRegression(
-            featuresCol=raw, labelCol=data.label, predictionCol=f"_iso_{k}"
-        ).fit(held)
+        steps = isotonic.fit(held, raw, data.label)
         platt = Pipeline(
             stages=[
                 VectorAssembler(inputCols=[edge], outputCol="_edge"),
@@ -169,13 +167,13 @@ def calibrated_scores(
                 ),
             ]
         ).fit(held)
-        return model, iso, platt
+        return model, steps, platt
 
     out = target
-    for k, (model, iso, platt) in enumerate(fit_together(training.sparkSession, fit, range(folds))):
+    for k, (model, steps, platt) in enumerate(fit_together(training.sparkSession, fit, range(folds))):
         raw, edge = f"_raw_{k}", f"_logit_{k}"
         out = with_score(model, out, raw).withColumn(edge, logit(clipped(F.col(raw))))
-        out = iso.transform(out)
+        out = out.withColumn(f"_iso_{k}", steps.value(F.col(raw)))
         out = platt.transform(out).withColumn(f"_sig_{k}", vector_to_array("_p")[1])
         out = out.drop("_edge", "_p", "_rp", "_pr")
         sums["isotonic"] = sums["isotonic"] + F.col(f"_iso_{k}")
@@ -288,10 +286,8 @@ def stacked_propensity(
     ).fit(crossed)
     scored = with_score(stack, crossed, "propensity")
     if calibration == "isotonic":
-        fitted = IsotonicRegression(
-            featuresCol="propensity", labelCol=data.label, predictionCol="_calibrated"
-        ).fit(scored)
-        scored = fitted.transform(scored).withColumn("propensity", F.col("_calibrated"))
+        steps = isotonic.fit(scored, "propensity", data.label)
+        scored = scored.withColumn("propensity", steps.value(F.col("propensity")))
     elif calibration == "sigmoid":
         edge = scored.withColumn("_edge", logit(clipped(F.col("propensity"))))
         fitted = Pipeline(

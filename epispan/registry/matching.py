@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epispan.functions import stats
+from epispan.operators import isotonic as I
 from epispan.operators import matching as X
 from epispan.operators import propensity as Q
 from epispan.operators import summaries as M
@@ -248,6 +249,23 @@ def _calibrated(spark, sf):
     )
 
 
+@query(
+    "isotonic_steps",
+    "M3",
+    f"""WITH {FOLLOWUP},
+    s AS (SELECT CAST(round(c_acctbal / 250) AS DOUBLE) AS score, count(*) AS n, count(*) FILTER (WHERE hospitalized) AS y FROM followup GROUP BY ALL),
+    c AS (SELECT *, row_number() OVER (ORDER BY score) AS i, sum(n) OVER (ORDER BY score) AS cn, sum(y) OVER (ORDER BY score) AS cy FROM s),
+    runs AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.i <= b.i),
+    lows AS (SELECT a, c.i, c.score, min(mean) AS low FROM runs JOIN c ON c.i BETWEEN a AND b GROUP BY ALL)
+    SELECT score, round(max(low), 8) AS calibrated FROM lows GROUP BY score""",
+)
+def _isotonic(spark, sf):
+    """Calibrated value of every score; the SQL takes the greatest, over starts, of the least mean of runs through the score."""
+    frame = followup(spark, sf).select(F.round(F.col("c_acctbal") / 250).alias("score"), "hospitalized")
+    steps = I.fit(frame, "score", "hospitalized", cell_scores=8)
+    return frame.select("score").distinct().select("score", F.round(steps.value(F.col("score")), 8).alias("calibrated"))
+
+
 @query("stacked_propensity", "M15")
 def _stacked(spark, sf):
     small = {"forest": {"numTrees": 10}, "gbt": {"maxIter": 5, "maxDepth": 3, "stepSize": 0.1}}
