@@ -143,35 +143,47 @@ def concordance(
 
     parts = cells.groupBy(*by, "cell").applyInPandas(inside, schema)
     if n_cells > 1:
-        parts = parts.unionByName(_across_cells(cells, by))
+        parts = parts.unionByName(_across_cells(cells, by, n_cells))
     total = parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("concordant", "tied", "comparable")])
     index = (F.col("concordant") + 0.5 * F.col("tied")) / F.col("comparable")
     return total.withColumn("c_index", F.when(F.col("comparable") > 0, index))
 
 
-def _across_cells(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Pairs whose scores lie in different cells, from counts per cell and day."""
+def cell_tree(daily: DataFrame, by: Sequence[str], n_cells: int) -> DataFrame:
+    """Counts per node of a binary tree over the cells and day, the lower and the upper half of the node side by side.
+
+    Every row goes once to each level, and rows of one node and day are added up, so at most as many rows are written as there
+    are levels times rows of ``daily``; a day that a cell does not have costs nothing.
+    """
+    levels = max(1, (n_cells - 1).bit_length())
+    rows = daily.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in range(levels)])))
+    rows = rows.withColumn("_node", F.expr("shiftright(cell, _level + 1)")).withColumn("_half", F.expr("shiftright(cell, _level) & 1"))
+    sums = [
+        F.sum(F.when(F.col("_half") == half, F.col(c)).otherwise(0)).alias(f"{c}_{half}")
+        for c in ("any_n", "cens_n", "case_w")
+        for half in (0, 1)
+    ]
+    return rows.groupBy(*by, "_level", "_node", "t").agg(*sums)
+
+
+def _across_cells(cells: DataFrame, by: Sequence[str], n_cells: int) -> DataFrame:
+    """Pairs whose scores lie in different cells: each pair meets in the one node that parts its cells."""
     daily = cells.groupBy(*by, "cell", "t").agg(
         F.sum("n").alias("any_n"),
         F.sum(F.when(~F.col("event"), F.col("n")).otherwise(0)).alias("cens_n"),
         F.sum(F.col("weight") * F.col("n")).alias("case_w"),
     )
-    days = daily.groupBy(*by, "t").agg(F.sum("case_w").alias("_w")).drop("_w")
-    numbers = daily.select(*by, "cell").distinct()
-    grid = days.join(numbers, list(by)).join(daily, [*by, "cell", "t"], "left")
-    grid = grid.na.fill(0, ["any_n", "cens_n"]).na.fill(0.0, ["case_w"])
-    later = Window.partitionBy(*by, "cell").orderBy("t").rowsBetween(1, Window.unboundedFollowing)
-    longer = F.coalesce(F.sum("any_n").over(later), F.lit(0)) + F.col("cens_n")
-    grid = grid.withColumn("_longer", longer)
-    below = Window.partitionBy(*by, "t").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by, "t")
-    grid = grid.withColumn("_lower", F.coalesce(F.sum("_longer").over(below), F.lit(0))).withColumn(
-        "_others", F.sum("_longer").over(whole) - F.col("_longer")
-    )
-    return grid.groupBy(*by).agg(
-        F.sum(F.col("case_w") * F.col("_lower")).alias("concordant"),
+    later = Window.partitionBy(*by, "_level", "_node").orderBy("t").rowsBetween(1, Window.unboundedFollowing)
+    nodes = cell_tree(daily, by, n_cells)
+    for half in (0, 1):  # persons of a half who live longer than a case of this day
+        after = F.coalesce(F.sum(f"any_n_{half}").over(later), F.lit(0))
+        nodes = nodes.withColumn(f"_longer_{half}", after + F.col(f"cens_n_{half}"))
+    lower = F.col("case_w_1") * F.col("_longer_0")
+    higher = F.col("case_w_0") * F.col("_longer_1")
+    return nodes.groupBy(*by).agg(
+        F.sum(lower).cast("double").alias("concordant"),
         F.lit(0.0).alias("tied"),
-        F.sum(F.col("case_w") * F.col("_others")).alias("comparable"),
+        F.sum(lower + higher).cast("double").alias("comparable"),
     )
 
 

@@ -125,3 +125,15 @@ def test_time_grid_equals_lower_quantiles(spark):
 def test_snap_keeps_early_values_at_the_first_time(spark):
     df = spark.createDataFrame([(1,), (3,), (4,), (99,)], "d int")
     assert [r[0] for r in df.select(K.snap_to_grid("d", [3, 5, 8])).collect()] == [3, 3, 3, 8]
+
+
+def test_rows_of_the_cell_tree_grow_with_levels_not_with_days(spark):
+    """With ten times the cells, rows written grow by the added levels alone."""
+    n = 4000
+    persons = spark.range(n).selectExpr("0 AS g", "id AS t", "1L AS any_n", "0L AS cens_n", "1.0D AS case_w", "pmod(id * 7919, 4000) AS rank")
+
+    def written(n_cells):
+        daily = persons.withColumn("cell", F.floor(F.col("rank") * n_cells / n).cast("int")).drop("rank")
+        return E.cell_tree(daily, ["g"], n_cells).count()
+
+    assert written(16) == 4 * n and written(160) == 8 * n
