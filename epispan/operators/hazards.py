@@ -434,28 +434,11 @@ def _training_counts(frame: DataFrame, folds: Sequence[int]) -> DataFrame:
     return spread.groupBy("fold", "endpoint", "t", "hit").agg(F.sum("n").alias("n"))
 
 
-def metric_panel(
-    crossed: DataFrame,
-    treated: str,
-    time: str,
-    event: str,
-    grid: Sequence[float],
-    only: str | None = None,
-    causes: Sequence[int] = (1, 2),
-    families: Sequence[str] = METRIC_FAMILIES,
-) -> DataFrame:
-    """Fold metrics ``(fold, metric, endpoint, value)`` for censoring, both events and overall survival.
-
-    Persons followed beyond the training part of their fold are left out; AUC and the inverse
-    weights use grid times strictly inside the fold's follow-up.  ``only`` names one metric with
-    its endpoint suffix, e.g. ``c_antolini_all``; ``families`` limits the metrics of a full panel.
-    """
-    wanted = None if only is None else only.rsplit("_", 1)
-    if wanted and (wanted[0] not in METRIC_FAMILIES or wanted[1] not in ENDPOINTS):
-        raise ValueError(f"Unknown metric: {only}")
+def _panel_rows(crossed, treated, time, event, grid, causes, only) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Persons per endpoint that the metrics are about, training censoring at their times and as a curve, and evaluation times."""
     keep = ["fold", treated, time, event]
     curves = factual_curves(crossed, treated, keep, causes)
-    endpoints = [e for e in ENDPOINTS if wanted is None or e == wanted[1]]
+    endpoints = [e for e in ENDPOINTS if only is None or e == only]
     flags = {"0": F.col(event) == 0, "all": F.col(event) > 0}
     flags |= {str(c): F.col(event) == c for c in causes}
     specs = F.array(
@@ -479,6 +462,38 @@ def metric_panel(
     times = F.array(*[F.lit(float(t)) for t in grid])
     inside = F.filter(times, lambda t: (t > F.col("_first")) & (t < F.col("_last")))
     span = span.withColumn("_times", inside)
+    return rows, own, curve, span
+
+
+def auc_curves(
+    crossed: DataFrame, treated: str, time: str, event: str, grid: Sequence[float], causes: Sequence[int] = (1, 2)
+) -> DataFrame:
+    """``(fold, endpoint, t, auc)``: the AUC of every fold and endpoint at each grid time inside the fold's follow-up."""
+    rows, own, _, span = _panel_rows(crossed, treated, time, event, grid, causes, None)
+    return _panel_auc(rows, ["fold", "endpoint"], grid, own, span)[0]
+
+
+def metric_panel(
+    crossed: DataFrame,
+    treated: str,
+    time: str,
+    event: str,
+    grid: Sequence[float],
+    only: str | None = None,
+    causes: Sequence[int] = (1, 2),
+    families: Sequence[str] = METRIC_FAMILIES,
+) -> DataFrame:
+    """Fold metrics ``(fold, metric, endpoint, value)`` for censoring, both events and overall survival.
+
+    Persons followed beyond the training part of their fold are left out; AUC and the inverse
+    weights use grid times strictly inside the fold's follow-up.  ``only`` names one metric with
+    its endpoint suffix, e.g. ``c_antolini_all``; ``families`` limits the metrics of a full panel.
+    """
+    wanted = None if only is None else only.rsplit("_", 1)
+    if wanted and (wanted[0] not in METRIC_FAMILIES or wanted[1] not in ENDPOINTS):
+        raise ValueError(f"Unknown metric: {only}")
+    rows, own, curve, span = _panel_rows(crossed, treated, time, event, grid, causes, wanted and wanted[1])
+    by = ["fold", "endpoint"]
     tau = span.select(*by, F.array_max("_times").alias("_tau"))
 
     out = []

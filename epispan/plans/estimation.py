@@ -31,6 +31,7 @@ class Estimated:
 
     estimates: DataFrame
     metrics: DataFrame
+    auc_curves: DataFrame
     aalen_johansen: DataFrame
     e_values: DataFrame
     nuisance_weights: DataFrame
@@ -151,6 +152,7 @@ def run_estimation(
     return Estimated(
         estimates=estimates,
         metrics=metrics,
+        auc_curves=H.auc_curves(crossed, treated, *OUTCOMES, grid),
         aalen_johansen=curve,
         e_values=T.e_values(estimates.where((F.col("type") == "rr") & ~F.col("g_comp"))),
         nuisance_weights=exact_quantiles(
@@ -202,6 +204,7 @@ def write_results(result: Estimated, out: str) -> None:
     """Write all result tables below one folder."""
     write_estimates(result.estimates, f"{out}/estimates")
     write_metrics(result.metrics, f"{out}/metrics")
+    write_metrics(result.auc_curves, f"{out}/auc_curves")
     tables = {
         "aalen_johansen": result.aalen_johansen,
         "e_values": result.e_values,

@@ -423,6 +423,33 @@ def _panel_concordance(spark, sf):
     return out.na.drop(subset=["value"]).withColumn("value", F.round("value", 8))
 
 
+@query(
+    "metric_panel_auc",
+    "M12 M14 S11",
+    f"""WITH {PANEL},
+    tr AS (SELECT k.fold, e.endpoint, e.t, count(*) AS leaving, count(*) FILTER (WHERE e.hit) AS d
+      FROM ends e JOIN (SELECT DISTINCT fold FROM folds) k ON e.fold <> k.fold GROUP BY ALL),
+    tr_risk AS (SELECT *, sum(leaving) OVER (PARTITION BY fold, endpoint ORDER BY t DESC) AS n FROM tr),
+    tr_g AS (SELECT *, product(1 - CASE WHEN n > d THEN (leaving - d) / (n - d) ELSE 0 END) OVER (PARTITION BY fold, endpoint ORDER BY t) AS g FROM tr_risk),
+    days AS (SELECT DISTINCT fold, endpoint, t FROM kept),
+    at_day AS (SELECT d.fold, d.endpoint, d.t, coalesce(arg_max(c.g, c.t), 1.0) AS g FROM days d
+      LEFT JOIN tr_g c ON c.fold = d.fold AND c.endpoint = d.endpoint AND c.t <= d.t GROUP BY ALL),
+    span AS (SELECT fold, endpoint, min(t) AS a, max(t) AS b FROM kept GROUP BY ALL),
+    times AS (SELECT CAST(unnest([{", ".join(map(str, GRID_F))}]) AS DOUBLE) AS at),
+    cases AS (SELECT k.fold, k.endpoint, k.t, k.score, 1 / g AS w FROM kept k JOIN at_day USING (fold, endpoint, t) WHERE hit AND g > 0)
+    SELECT i.fold, i.endpoint, q.at AS t,
+      round(sum(i.w * CASE WHEN j.score < i.score THEN 1.0 WHEN j.score = i.score THEN 0.5 ELSE 0.0 END) / sum(i.w), 8) AS auc
+    FROM times q JOIN span s ON q.at > s.a AND q.at < s.b
+    JOIN cases i ON i.fold = s.fold AND i.endpoint = s.endpoint AND i.t <= q.at
+    JOIN kept j ON j.fold = s.fold AND j.endpoint = s.endpoint AND j.t > q.at
+    GROUP BY ALL""",
+)
+def _panel_auc(spark, sf):
+    rows = P.stratified_folds(curve_frame(spark, sf), "person_id", "event_indicator", 5, SEED)
+    out = H.auc_curves(rows, "hospitalized", "event_time", "event_indicator", GRID_F)
+    return out.na.drop(subset=["auc"]).withColumn("auc", F.round("auc", 8))
+
+
 COVARIATES = ("age", "c_acctbal", "c_nationkey")
 FIT_GRID = tuple(float(t) for t in range(0, 2401, 200))
 
