@@ -237,6 +237,20 @@ def build_cohort(
     return build_cohorts(persons, [experiment], cols, params).drop("experiment")
 
 
+def arm_sizes(cohorts: DataFrame, experiments: Sequence[Experiment], id_col: str) -> DataFrame:
+    """``(experiment, exposed, n, person_days, id_sum)`` for both arms of every experiment asked for, zeros where an arm is empty.
+
+    Experiments that found no donors, and so no controls, thus stay visible when ``build_cohorts`` drops them.
+    """
+    arms = [(e.name, arm) for e in experiments for arm in (True, False)]
+    asked = cohorts.sparkSession.createDataFrame(arms, "experiment string, exposed boolean")
+    found = cohorts.groupBy("experiment", "exposed").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_time").alias("person_days"), F.sum(id_col).alias("id_sum")
+    )
+    sums = ("n", "person_days", "id_sum")
+    return asked.join(found, ["experiment", "exposed"], "left").na.fill(0, sums)
+
+
 def event_counts(cohort: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows per exposure arm and event indicator, missing combinations as zero."""
     counts = [

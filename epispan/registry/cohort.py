@@ -224,17 +224,16 @@ def _c3(spark, sf):
     "experiment_grid",
     "J16 D13",
     f"""WITH {cohorts(ALL_EXPERIMENTS)}
-    SELECT experiment, exposed, count(*) AS n, CAST(sum(event_time) AS BIGINT) AS person_days,
-      CAST(sum(person_id) AS BIGINT) AS id_sum FROM cohort GROUP BY ALL""",
+    SELECT a.experiment, a.exposed, count(person_id) AS n, CAST(coalesce(sum(event_time), 0) AS BIGINT) AS person_days,
+      CAST(coalesce(sum(person_id), 0) AS BIGINT) AS id_sum
+    FROM (SELECT x.experiment, y.exposed FROM (SELECT unnest([{", ".join(f"'{e.name}'" for e in ALL_EXPERIMENTS)}]) AS experiment) x,
+      (SELECT unnest([true, false]) AS exposed) y) a
+    LEFT JOIN cohort c ON c.experiment = a.experiment AND c.exposed = a.exposed GROUP BY ALL""",
 )
 def _grid(spark, sf):
     persons = person_dates(spark, sf)
     rows = designs.build_cohorts(persons, ALL_EXPERIMENTS, COLUMNS, PARAMS, on_empty="drop")
-    return rows.groupBy("experiment", "exposed").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("event_time").alias("person_days"),
-        F.sum("person_id").alias("id_sum"),
-    )
+    return designs.arm_sizes(rows, ALL_EXPERIMENTS, "person_id")
 
 
 @query(
