@@ -21,8 +21,8 @@ def kept_texts(texts: dict[int, str], least: int) -> dict[int, str | None]:
     return out
 
 
-def components_of(texts: dict[int, str]) -> dict[int, int]:
-    """Smallest id linked with each id, by all pairs that share a 5-word shingle."""
+def components_of(texts: dict[int, str], similarity: int = 85) -> dict[int, int]:
+    """Smallest id linked with each id, by all pairs that share a 5-word shingle; ``similarity`` in percent."""
     sets, holders = {}, defaultdict(list)
     for i, text in texts.items():
         words = [w.translate(LOWER) for w in WORDS.findall(text)]
@@ -37,7 +37,7 @@ def components_of(texts: dict[int, str]) -> dict[int, int]:
         return i
 
     for a, b in {(a, b) for own in holders.values() for a in own for b in own if a < b}:
-        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+        if 100 * len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
             x, y = top(a), top(b)
             root[max(x, y)] = min(x, y)
     return {i: top(i) for i in texts}

@@ -46,7 +46,7 @@ def test_pipeline_equals_plain_version(spark):
     docs = [d for d in docs if quality.measure(d[1] or "").kept]
     texts = kept_texts({i: t for i, t, _ in docs}, lines.MIN_KEY_CHARS)
     docs = [(i, texts[i], s) for i, _, s in docs if texts[i] is not None]
-    component = components_of({i: t for i, t, _ in docs})
+    component = components_of({i: t for i, t, _ in docs}, corpus_pipeline.NEAR_SIMILARITY)
     docs = [d for d in docs if component[d[0]] == d[0]]
     duck = duckdb.connect()
     duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
