@@ -105,24 +105,50 @@ def code_features(
 ) -> DataFrame:
     """Count in the look-back window, ever-before flags per pattern, and days since the last code.
 
-    Codes are first reduced to one row per person and day, so the range join stays small however
-    many codes one person has.
+    Codes are reduced to one row per person and day, and the two edges of every distinct (person,
+    index date) are put among them. Running sums along a person's days, read at both edges, give the
+    features: no code meets an experiment, and a person's rows are bounded by days, however many
+    codes and experiments there are. Keys of persons without any code have no row; codes without a
+    date only give their person a row.
     """
     flags = {name: matches_pattern(code, pattern) for name, pattern in patterns.items()}
-    daily = codes.groupBy(id_col, F.col(date).alias("_day")).agg(
+    day = F.col(date).alias("_day")
+    daily = codes.groupBy(id_col, day).agg(
         F.count(code).alias("_n"),
         *[F.coalesce(F.bool_or(flag), F.lit(False)).alias(name) for name, flag in flags.items()],
     )
-    before = F.col("_day") <= F.col(index)
-    out = [
-        F.sum(F.when(in_lookback("_day", index, years), F.col("_n")).otherwise(0)).alias(count_name),
-        *[F.bool_or(F.col(name) & before).alias(name) for name in flags],
-    ]
+    daily = daily.withColumns({name: F.col(name) & F.col("_day").isNotNull() for name in flags})
+    daily = daily.withColumns({"_edge": F.lit(0)})
+    wanted = F.collect_list(F.struct(*keys)).alias("_keys")
+    dates = cohort.where(F.col(id_col).isNotNull()).repartition(F.col(id_col))
+    dates = dates.groupBy(id_col, F.col(index).cast("date").alias("_index")).agg(wanted)
+    start = F.date_sub("_index", years * DAYS_PER_HISTORY_YEAR)
+    # on a shared day the codes come first: a window is open at its start and closed at its end
+    low = F.struct(F.lit(1).alias("_edge"), start.alias("_day"), F.lit(None).alias("_keys"))
+    high = F.struct(F.lit(2).alias("_edge"), F.col("_index").alias("_day"), F.col("_keys"))
+    edges = dates.select(id_col, "_index", F.inline(F.array(low, high)))
+    line = Window.partitionBy(id_col).orderBy("_day", "_edge")
+    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_code = F.col("_edge") == 0
+    running = {
+        "_upto": F.coalesce(F.sum("_n").over(so_far), F.lit(0)),
+        "_last": F.max(F.when(is_code, F.col("_day"))).over(so_far),
+        "_coded": F.max(is_code).over(Window.partitionBy(id_col)),
+        **{name: F.coalesce(F.max(name).over(so_far), F.lit(False)) for name in flags},
+    }
+    points = daily.unionByName(edges, allowMissingColumns=True).withColumns(running)
+    at_end = F.col("_edge") == 2
+    read = points.where(~is_code & F.col("_coded")).groupBy(id_col, "_index").agg(
+        F.sum(F.when(at_end, F.col("_upto")).otherwise(-F.col("_upto"))).alias(count_name),
+        F.first("_keys", ignorenulls=True).alias("_keys"),
+        F.max(F.when(at_end, F.col("_last"))).alias("_last"),
+        *[F.bool_or(at_end & F.col(name)).alias(name) for name in flags],
+    )
+    found = [count_name, *flags]
     if days_since_last:
-        last = F.max(F.when(before, F.col("_day")))
-        out.append(F.datediff(F.col(index), last).alias("days_since_last"))
-    joined = cohort.select(*keys, index).join(daily, id_col)
-    return joined.groupBy(*keys, index).agg(*out).drop(index)
+        read = read.withColumn("days_since_last", F.datediff("_index", "_last"))
+        found.append("days_since_last")
+    return read.select(F.explode("_keys").alias("_key"), *found).select("_key.*", *found)
 
 
 def complete_features(
