@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -258,15 +258,9 @@ def fit_hazards(
     # a person stands for up to one period per grid time, so tasks take few persons each
     spread_rows = spread(cast, frame.count(), max(1, PERIOD_ROWS_PER_TASK // len(grid)))
     if params.learner == "logistic":
-        features = Pipeline(stages=feature_stages(names, flagged)).fit(cast)
-        leaving = F.when(F.col(event) == 0, F.lit(len(causes) + 1))
-        for k, cause in enumerate(causes):
-            leaving = leaving.when(F.col(event) == cause, F.lit(k + 1))
-        row = F.concat(F.array(grid_index(time, grid).cast("double"), leaving.cast("double")), vector_to_array("features"))
-        rows = Blocks.written(features.transform(spread_rows).select(row.alias("row")), "row")
-        p, classes = len(names) + len(flagged), len(causes) + 2
+        features, rows = logistic_rows(cast, spread_rows, names, flagged, time, event, grid, causes)
         fitted = multinomial.fit(
-            rows, p, len(grid), classes, params.reg_param, params.logistic_iter, params.logistic_tol
+            rows, len(names) + len(flagged), len(grid), len(causes) + 2, params.reg_param, params.logistic_iter, params.logistic_tol
         )
         return LogisticHazards(features, len(names) - 1, tuple(causes), fitted.by_feature, fitted.by_time)
     if params.learner == "gbt":
@@ -294,6 +288,48 @@ def fit_hazards(
     raise ValueError(f"Unknown learner: {params.learner}")
 
 
+def logistic_rows(
+    cast: DataFrame, spread_rows: DataFrame, names: Sequence[str], flagged: Sequence[str],
+    time: str, event: str, grid: Sequence[float], causes: Sequence[int],
+) -> tuple[PipelineModel, Blocks]:
+    """The feature pipeline and one row of numbers per person: last period, class then, features."""
+    features = Pipeline(stages=feature_stages(names, flagged)).fit(cast)
+    leaving = F.when(F.col(event) == 0, F.lit(len(causes) + 1))
+    for k, cause in enumerate(causes):
+        leaving = leaving.when(F.col(event) == cause, F.lit(k + 1))
+    row = F.concat(F.array(grid_index(time, grid).cast("double"), leaving.cast("double")), vector_to_array("features"))
+    return features, Blocks.written(features.transform(spread_rows).select(row.alias("row")), "row")
+
+
+def fit_hazards_without(
+    frame: DataFrame,
+    columns: Sequence[str],
+    treated: str,
+    time: str,
+    event: str,
+    grid: Sequence[float],
+    left_out: Sequence[Sequence[str]],
+    causes: Sequence[int] = (1, 2),
+    params: HazardParams = HazardParams(),
+) -> list[LogisticHazards]:
+    """The logistic hazards on all columns, then one model for each group of columns left out.
+
+    All models share the rows, which are written once, and the passes over them.
+    """
+    if params.learner != "logistic":
+        raise ValueError("columns are left out of the logistic hazards only")
+    names = [*columns, treated]
+    cast, flagged = numeric_features(frame, names)
+    spread_rows = spread(cast, frame.count(), max(1, PERIOD_ROWS_PER_TASK // len(grid)))
+    features, rows = logistic_rows(cast, spread_rows, names, flagged, time, event, grid, causes)
+    vector = [*names, *flagged]  # a column's missing flag goes with it
+    places = [[k for k, c in enumerate(vector) if c in group] for group in left_out]
+    fits = multinomial.fit_without(
+        rows, len(vector), len(grid), len(causes) + 2, params.reg_param, places, params.logistic_iter, params.logistic_tol
+    )
+    return [LogisticHazards(features, len(names) - 1, tuple(causes), f.by_feature, f.by_time) for f in fits]
+
+
 def predict_hazards(
     model: LogisticHazards | TreeHazards | BoostedHazards,
     frame: DataFrame,
@@ -353,6 +389,41 @@ def cross_fit(
     return cut(crossed, "crossfit")
 
 
+def cross_fit_without(
+    frame: DataFrame,
+    id_col: str,
+    columns: Sequence[str],
+    treated: str,
+    time: str,
+    event: str,
+    grid: Sequence[float],
+    left_out: Sequence[Sequence[str]],
+    folds: int = 5,
+    causes: Sequence[int] = (1, 2),
+    params: HazardParams = HazardParams(),
+    seed: int = 0,
+) -> list[DataFrame]:
+    """Cross-fitted curves on all columns, then for each group of columns left out; folds and passes are shared."""
+    dealt = cut(stratified_folds(frame, id_col, event, folds, seed), "folds", by=("fold",))
+    persons = dealt.count()
+    keep = [id_col, "fold", treated, time, event]
+
+    def fit(k: int) -> list[LogisticHazards]:
+        train = dealt.where(F.col("fold") != k)
+        return fit_hazards_without(train, columns, treated, time, event, grid, left_out, causes, params)
+
+    models = fit_together(frame.sparkSession, fit, range(folds))
+
+    def predicted(run: int) -> DataFrame:
+        parts = []
+        for k in range(folds):
+            held = at_least_parallel(dealt.where(F.col("fold") == k), persons // folds, PERSONS_PER_TASK)
+            parts.append(predict_hazards(models[k][run], held, columns, treated, keep))
+        return cut(reduce(DataFrame.unionByName, parts), "crossfit")
+
+    return fit_together(frame.sparkSession, predicted, range(1 + len(left_out)))
+
+
 def fold_values(
     frame: DataFrame,
     id_col: str,

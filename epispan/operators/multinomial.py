@@ -8,6 +8,7 @@ row per person and returns sums whose length depends on features, times and clas
 from __future__ import annotations
 
 import logging
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,8 @@ from epispan.operators.blocks import Blocks
 #: Numbers that the chances of a slice of rows may take.
 SLICE_NUMBERS = 1 << 21
 HALVINGS = 30
+#: Fits that step side by side.
+AT_ONCE = 16
 #: Effect of a class that nobody has: it stays very unlikely.
 NEVER = -30.0
 
@@ -59,45 +62,19 @@ class Periods:
         of_features = np.sqrt(np.maximum(second / n - (first / n) ** 2, 0) * unbiased)
         return n, of_features, np.sqrt(reached / n * (1 - reached / n) * unbiased), held
 
-    def derivatives(self, by_feature: np.ndarray, by_time: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Loss, gradient and curvature over features and times, class by class, by one pass."""
+    def derivatives(self, points: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Loss, gradient and curvature over features and times, class by class, at every point; one pass for all points."""
         p, t, c = self.p, self.t, self.c
 
         def measure(rows: np.ndarray) -> np.ndarray:
-            loss, gx, gt = 0.0, np.zeros((p, c)), np.zeros((t, c))
-            xx, xt, tt = np.zeros((p, p, c, c)), np.zeros((p, t, c, c)), np.zeros((t, c, c))
-            for part in slices(rows, t * c * c):
-                last, label, x = part[:, 0].astype(int), part[:, 1].astype(int), part[:, 2:]
-                eta = (x @ by_feature.T)[:, None, :] + by_time.T[None]
-                top = eta.max(axis=2, keepdims=True)
-                share = np.exp(eta - top)
-                total = share.sum(axis=2, keepdims=True)
-                share /= total
-                at_risk = np.arange(t) <= last[:, None]
-                places = np.arange(len(part))
-                log_total = (np.log(total) + top)[:, :, 0]
-                staying = np.where(at_risk, log_total - eta[:, :, 0], 0.0).sum()
-                loss += staying + (eta[places, last, 0] - eta[places, last, label]).sum()
-                share *= at_risk[:, :, None]
-                off = share.copy()
-                off[:, :, 0] -= at_risk
-                off[places, last, 0] += 1
-                off[places, last, label] -= 1
-                gx += x.T @ off.sum(axis=1)
-                gt += off.sum(axis=0)
-                curve = -share[:, :, :, None] * share[:, :, None, :]
-                diagonal = np.arange(c)
-                curve[:, :, diagonal, diagonal] += share
-                tt += curve.sum(axis=0)
-                xt += np.tensordot(x, curve, axes=(0, 0))
-                of_person = curve.sum(axis=1)
-                for a in range(c):
-                    for b in range(c):
-                        xx[:, :, a, b] += (x * of_person[:, a, b][:, None]).T @ x
-            return np.concatenate([[loss], gx.ravel(), gt.ravel(), xx.ravel(), xt.ravel(), tt.ravel()])
-
-        sizes = np.cumsum([1, p * c, t * c, p * p * c * c, p * t * c * c, t * c * c])
-        sums = np.split(self.blocks.summed(measure, sizes[-1]), sizes[:-1])
+            return np.concatenate([period_sums(rows, p, t, c, *point) for point in points])
+
+        lengths = (1, p * c, t * c, p * p * c * c, p * t * c * c, t * c * c)
+        summed = self.blocks.summed(measure, len(points) * sum(lengths)).reshape(len(points), -1)
+        return [self.assembled(np.split(sums, np.cumsum(lengths)[:-1])) for sums in summed]
+
+    def assembled(self, sums: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+        p, t, c = self.p, self.t, self.c
         gx, gt = sums[1].reshape(p, c), sums[2].reshape(t, c)
         gradient = np.concatenate([gx, gt]).T.ravel()
         curvature = np.zeros((c, p + t, c, p + t))
@@ -110,6 +87,41 @@ class Periods:
         return sums[0][0], gradient, curvature.reshape(c * (p + t), c * (p + t))
 
 
+def period_sums(rows: np.ndarray, p: int, t: int, c: int, by_feature: np.ndarray, by_time: np.ndarray) -> np.ndarray:
+    """Loss, gradient and curvature of the periods of some rows, as one array."""
+    loss, gx, gt = 0.0, np.zeros((p, c)), np.zeros((t, c))
+    xx, xt, tt = np.zeros((p, p, c, c)), np.zeros((p, t, c, c)), np.zeros((t, c, c))
+    for part in slices(rows, t * c * c):
+        last, label, x = part[:, 0].astype(int), part[:, 1].astype(int), part[:, 2:]
+        eta = (x @ by_feature.T)[:, None, :] + by_time.T[None]
+        top = eta.max(axis=2, keepdims=True)
+        share = np.exp(eta - top)
+        total = share.sum(axis=2, keepdims=True)
+        share /= total
+        at_risk = np.arange(t) <= last[:, None]
+        places = np.arange(len(part))
+        log_total = (np.log(total) + top)[:, :, 0]
+        staying = np.where(at_risk, log_total - eta[:, :, 0], 0.0).sum()
+        loss += staying + (eta[places, last, 0] - eta[places, last, label]).sum()
+        share *= at_risk[:, :, None]
+        off = share.copy()
+        off[:, :, 0] -= at_risk
+        off[places, last, 0] += 1
+        off[places, last, label] -= 1
+        gx += x.T @ off.sum(axis=1)
+        gt += off.sum(axis=0)
+        curve = -share[:, :, :, None] * share[:, :, None, :]
+        diagonal = np.arange(c)
+        curve[:, :, diagonal, diagonal] += share
+        tt += curve.sum(axis=0)
+        xt += np.tensordot(x, curve, axes=(0, 0))
+        of_person = curve.sum(axis=1)
+        for a in range(c):
+            for b in range(c):
+                xx[:, :, a, b] += (x * of_person[:, a, b][:, None]).T @ x
+    return np.concatenate([[loss], gx.ravel(), gt.ravel(), xx.ravel(), xt.ravel(), tt.ravel()])
+
+
 def with_intercepts(gradient: np.ndarray, curvature: np.ndarray, p: int, t: int, c: int) -> tuple[np.ndarray, np.ndarray]:
     """Derivatives with one intercept per class behind its features and times: it acts at all times alike."""
     lift = np.zeros((p + t + 1, p + t))
@@ -119,46 +131,89 @@ def with_intercepts(gradient: np.ndarray, curvature: np.ndarray, p: int, t: int,
     return lift @ gradient, lift @ curvature @ lift.T
 
 
+def newton(theta: np.ndarray, free: np.ndarray, most: int, tolerance: float):
+    """Damped Newton steps as a generator: yields a point, is sent (value, gradient, curvature), returns (point, steps, converged)."""
+    value, gradient, curvature = yield theta
+    converged, steps = False, 0
+    while steps < most and not converged:
+        step = np.zeros(len(theta))
+        step[free] = np.linalg.lstsq(curvature[np.ix_(free, free)], gradient[free], rcond=1e-13)[0]
+        steps += 1
+        for halving in range(HALVINGS):
+            moved = theta - step / 2**halving
+            after = yield moved
+            if after[0] <= value + 1e-14 * abs(value):
+                break
+        else:
+            break
+        converged = bool((np.abs(moved - theta) <= tolerance * np.maximum(1.0, np.abs(moved))).all())
+        theta, (value, gradient, curvature) = moved, after
+    return theta, steps, converged
+
+
+def together(searches: Sequence, evaluate) -> list:
+    """Run generators like ``newton`` side by side; ``evaluate`` answers the points of all that still run in one call."""
+    asked, results = {k: next(search) for k, search in enumerate(searches)}, {}
+    while asked:
+        for k, answer in zip(list(asked), evaluate(list(asked.values())), strict=True):
+            try:
+                asked[k] = searches[k].send(answer)
+            except StopIteration as end:
+                results[k] = end.value
+                del asked[k]
+    return [results[k] for k in range(len(searches))]
+
+
 def fit(blocks: Blocks, features: int, times: int, classes: int, reg_param: float, most: int = 50, tolerance: float = 1e-9) -> Fitted:
     """Minimum of the mean loss per period plus ``reg_param / 2`` times the squared effects per standard deviation.
 
     Intercepts are free; what does not vary has no effect, and a class that nobody has stays very unlikely. ``converged`` tells whether the last step changed no effect by more than
     ``tolerance`` (relative to 1 and the effect).
     """
+    return fit_without(blocks, features, times, classes, reg_param, [], most, tolerance)[0]
+
+
+def fit_without(
+    blocks: Blocks, features: int, times: int, classes: int, reg_param: float, left_out: Sequence[Sequence[int]],
+    most: int = 50, tolerance: float = 1e-9,
+) -> list[Fitted]:
+    """The fit on all features, then one for each set of features left out.
+
+    The smaller fits start from the full one and step side by side: a pass over the rows returns the sums of up to ``AT_ONCE`` of
+    them, and what is left out only loses its rows and columns in the equations.
+    """
     sums = Periods(blocks, features, times, classes)
     n, sd_x, sd_t, held = sums.spread()
     width = features + times + 1
     sd = np.r_[sd_x, sd_t, 0.0]
-    free = (np.r_[sd[:-1] > 1e-12, True] & (held > 0)[:, None]).ravel()
+    free = np.r_[sd[:-1] > 1e-12, True] & (held > 0)[:, None]
     penalty = np.tile(reg_param * sd**2, classes)
 
     def split(theta):
         table = theta.reshape(classes, width)
         return table[:, :features], table[:, features:-1] + table[:, -1:]
 
-    def evaluate(theta):
-        loss, gradient, curvature = sums.derivatives(*split(theta))
-        gradient, curvature = with_intercepts(gradient, curvature, features, times, classes)
-        return loss / n + (penalty * theta**2).sum() / 2, gradient / n + penalty * theta, curvature / n + np.diag(penalty)
+    def evaluate(points):
+        answers = []
+        for theta, (loss, gradient, curvature) in zip(points, sums.derivatives([split(theta) for theta in points]), strict=True):
+            gradient, curvature = with_intercepts(gradient, curvature, features, times, classes)
+            answers.append((loss / n + (penalty * theta**2).sum() / 2, gradient / n + penalty * theta, curvature / n + np.diag(penalty)))
+        return answers
+
+    def fitted(theta, steps, converged):
+        if not converged:
+            logging.getLogger(__name__).warning("hazard fit: %d steps did not reach the tolerance %g", steps, tolerance)
+        return Fitted(*split(theta), steps, converged)
 
     theta = np.zeros((classes, width))
     theta[held == 0, -1] = NEVER
-    theta = theta.ravel()
-    value, gradient, curvature = evaluate(theta)
-    converged, steps = False, 0
-    while steps < most and not converged:
-        step = np.zeros(len(theta))
-        step[free] = np.linalg.lstsq(curvature[np.ix_(free, free)], gradient[free], rcond=1e-13)[0]
-        steps += 1
-        for halving in range(HALVINGS):
-            moved = theta - step / 2**halving
-            after = evaluate(moved)
-            if after[0] <= value + 1e-14 * abs(value):
-                break
-        else:
-            break
-        converged = bool((np.abs(moved - theta) <= tolerance * np.maximum(1.0, np.abs(moved))).all())
-        theta, (value, gradient, curvature) = moved, after
-    if not converged:
-        logging.getLogger(__name__).warning("hazard fit: %d steps did not reach the tolerance %g", steps, tolerance)
-    return Fitted(*split(theta), steps, converged)
+    (full,) = together([newton(theta.ravel(), free.ravel(), most, tolerance)], evaluate)
+    searches = []
+    for places in left_out:
+        start, open_to = full[0].reshape(classes, width).copy(), free.copy()
+        start[:, list(places)], open_to[:, list(places)] = 0.0, False
+        searches.append(newton(start.ravel(), open_to.ravel(), most, tolerance))
+    results = [full]
+    for k in range(0, len(searches), AT_ONCE):
+        results += together(searches[k : k + AT_ONCE], evaluate)
+    return [fitted(*result) for result in results]

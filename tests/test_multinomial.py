@@ -73,3 +73,30 @@ def test_sums_over_many_tasks(spark):
     blocks = Blocks.written(values, "row")
     blocks.tasks = 50  # as many as are summed on executors first
     assert blocks.summed(lambda m: m.sum(axis=0), 2).tolist() == [499500.0, 1000.0]
+
+
+def test_features_left_out_equal_separate_fits(spark):
+    rows = [(*r[:4], None if r[0] % 7 == 0 else r[4], r[5]) for r in cohort()]
+    frame = spark.createDataFrame(rows, DDL).repartition(4)
+    shared = H.fit_hazards_without(frame, ["x", "z"], "arm", "time", "event", GRID, [["x"], ["z"], ["x", "z"], []])
+    for model, columns in zip(shared, (["x", "z"], ["z"], ["x"], [], ["x", "z"]), strict=True):
+        alone = H.fit_hazards(frame, columns, "arm", "time", "event", GRID)
+        curves = [
+            H.predict_hazards(m, frame, c, "arm", ["id", "arm"]).orderBy("id").limit(50).collect()
+            for m, c in ((model, ["x", "z"]), (alone, columns))
+        ]
+        for one, other in zip(*curves, strict=True):
+            assert all(np.allclose(one[c], other[c], atol=1e-8) for c in H.curve_columns((1, 2)))
+
+
+def test_searches_together_end_on_their_own():
+    searches = [multinomial.newton(np.array([start]), np.array([True]), 50, 1e-12) for start in (0.0, 5.0)]
+    calls = []
+
+    def evaluate(points):
+        calls.append(len(points))
+        return [(np.cosh(x[0] - 3), np.sinh(x - 3), np.cosh(x - 3)[None]) for x in points]
+
+    results = multinomial.together(searches, evaluate)
+    assert all(converged and abs(point[0] - 3) < 1e-9 for point, _, converged in results)
+    assert calls[0] == 2 and calls == sorted(calls, reverse=True)
