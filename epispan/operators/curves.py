@@ -53,6 +53,14 @@ def snap_to_grid(value: str | Column, grid: Sequence[float]) -> Column:
     return F.coalesce(F.array_max(F.filter(times, lambda t: t <= value)), F.lit(grid[0]))
 
 
+def snap_below(value: str | Column, edges: Sequence[float]) -> Column:
+    """Lower edge of the half-open bin ``(edge, next]`` that holds the value; the first edge itself stays in the first bin."""
+    value = F.col(value) if isinstance(value, str) else value
+    array = F.array(*[F.lit(e) for e in edges])
+    lower = F.coalesce(F.array_max(F.filter(array, lambda e: e < value)), F.lit(edges[0]))
+    return F.when(value.isNotNull(), lower)
+
+
 def reachable_times(frame: DataFrame, duration: str, targets: Sequence[float]) -> list[float]:
     """Target times not beyond the largest duration."""
     longest = frame.agg(F.max(duration)).first()[0]

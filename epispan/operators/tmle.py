@@ -383,6 +383,74 @@ def e_value_contours(
     return grid.withColumn("bias_factor", factor).withColumn("adjusted", adjusted)
 
 
+def difference_moments(estimates: DataFrame) -> DataFrame:
+    """Risks of both arms with the variances and the covariance of their errors, from the table of estimates."""
+
+    def of(kind: str, column: str, arm: int | None = None) -> Column:
+        wanted = F.col("type") == kind
+        return F.max(F.when(wanted if arm is None else wanted & (F.col("arm") == arm), F.col(column)))
+
+    rows = estimates.groupBy("event", "target_time").agg(
+        of("risks", "estimate", 1).alias("p1"),
+        of("risks", "estimate", 0).alias("p0"),
+        F.pow(of("risks", "se", 1), 2).alias("var1"),
+        F.pow(of("risks", "se", 0), 2).alias("var0"),
+        F.pow(of("rd", "se"), 2).alias("_var"),
+        *[of("rd", c).alias(c) for c in ("estimate", "lo", "hi")],
+    )
+    return rows.withColumn("cov", (F.col("var1") + F.col("var0") - F.col("_var")) / 2).drop("_var")
+
+
+def difference_e_values(estimates: DataFrame) -> DataFrame:
+    """E-values on the difference scale, of the difference and of its confidence limit nearest to 0.
+
+    Confounding of bias factor ``B`` may divide the higher risk by ``B``, so a difference vanishes at the ratio of the risks. The
+    limit reaches 0 where ``high - B low`` equals its own error times the normal quantile: the smaller root above 1 of a quadratic.
+    An interval that holds 0 gives 1; without a risk in the lower arm there is no value.
+    """
+    up = F.col("p1") >= F.col("p0")
+    high, low = F.greatest("p1", "p0"), F.least("p1", "p0")
+    z2, cov = Z_95**2, F.col("cov")
+    first = high * high - z2 * F.when(up, F.col("var1")).otherwise(F.col("var0"))
+    last = low * low - z2 * F.when(up, F.col("var0")).otherwise(F.col("var1"))
+    middle = high * low - z2 * cov
+    root = first / (middle + F.sqrt(F.greatest(middle * middle - first * last, F.lit(0.0))))
+    crossed = (F.col("lo") <= 0) & (F.col("hi") >= 0)
+    limit = F.when(low > 0, F.when(crossed, F.lit(1.0)).otherwise(stats.e_value(root)))
+    return difference_moments(estimates).select(
+        "event", "target_time", "estimate", "lo", "hi",
+        F.when(low > 0, stats.e_value(high / low)).alias("e_value"),
+        limit.alias("e_value_limit"),
+    )
+
+
+def difference_contours(estimates: DataFrame, strengths: Sequence[float]) -> DataFrame:
+    """Difference left after confounding of every pair of strengths: the higher risk over the bias factor."""
+    levels = F.array(*[F.lit(float(s)) for s in strengths])
+    moments = difference_moments(estimates)
+    grid = moments.withColumn("rr_exposure", F.explode(levels)).withColumn("rr_outcome", F.explode(levels))
+    factor = stats.bias_factor(F.col("rr_exposure"), F.col("rr_outcome"))
+    p1, p0 = F.col("p1"), F.col("p0")
+    adjusted = F.when(p1 >= p0, p1 / factor - p0).otherwise(p1 - p0 / factor)
+    return grid.select(
+        "event", "target_time", "estimate", "rr_exposure", "rr_outcome", factor.alias("bias_factor"), adjusted.alias("adjusted")
+    )
+
+
+def both_contours(estimates: DataFrame, strengths: Sequence[float]) -> DataFrame:
+    """Contours of ratios and differences in one table, by ``type``."""
+    shown = ("event", "target_time", "estimate", "rr_exposure", "rr_outcome", "bias_factor", "adjusted")
+    ratios = e_value_contours(estimates.where(F.col("type") == "rr"), strengths).select(F.lit("rr").alias("type"), *shown)
+    return ratios.unionByName(difference_contours(estimates, strengths).withColumn("type", F.lit("rd")))
+
+
+def both_e_values(estimates: DataFrame) -> DataFrame:
+    """E-values of ratios and differences in one table, by ``type``."""
+    shown = ("event", "target_time", "estimate", "lo", "hi", "e_value", "e_value_limit")
+    ratios = e_values(estimates.where(F.col("type") == "rr")).select(F.lit("rr").alias("type"), *shown)
+    return ratios.unionByName(difference_e_values(estimates).withColumn("type", F.lit("rd")))
+
+
 def nuisance_weights(frame: DataFrame, target: Target) -> DataFrame:
     """Inverse of propensity times censoring survival under the own arm, per person and target time."""
     names = [target.id_col, target.treated]

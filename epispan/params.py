@@ -188,6 +188,9 @@ class FitParams:
     hazard: HazardParams = field(default_factory=HazardParams)
     hte_quantile: float = 0.05
     hte_ceiling: float = 0.5
+    #: Quantile bins of the event time in the benchmark of E-values.
+    benchmark_bins: int = 22
+    contour_strengths: tuple[float, ...] = (1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 7.5, 10.0)
 
 
 def experiment_table(

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epispan.functions.stats import e_value
 from epispan.operators import curves as K
 from epispan.operators import hazards as H
 from epispan.operators import matching as X
@@ -18,7 +20,7 @@ from epispan.operators import summaries as M
 from epispan.operators import tmle as T
 from epispan.operators.ranking import exact_quantiles
 from epispan.params import FitParams
-from epispan.session import cut
+from epispan.session import cut, fit_together
 from epispan.sources.sinks import write_estimates, write_metrics
 
 logger = logging.getLogger(__name__)
@@ -34,6 +36,8 @@ class Estimated:
     auc_curves: DataFrame
     aalen_johansen: DataFrame
     e_values: DataFrame
+    difference_e_values: DataFrame
+    contours: DataFrame
     nuisance_weights: DataFrame
     propensity_calibration: DataFrame
     effects_continuous: DataFrame | None
@@ -96,6 +100,21 @@ def estimation_grid(frame: DataFrame, params: FitParams) -> tuple[tuple[float, .
     return tuple(sorted(grid | set(targets))), targets
 
 
+def prepared(
+    design: DataFrame, params: FitParams, id_col: str, treated: str, learner: str
+) -> tuple[DataFrame, list[str], DataFrame | None]:
+    """Selected and matched rows, the covariates of the models, and the balance of the matching."""
+    # Spark ML reads a dot in a column name as a struct field
+    design = design.withColumnsRenamed({c: c.replace(".", "_") for c in design.columns if "." in c})
+    frame = select_rows(design, params, id_col, treated)
+    fixed = {id_col, treated, *OUTCOMES, *params.exclude_columns}
+    columns = [c for c in frame.columns if c not in fixed]
+    if not params.match:
+        return frame, columns, None
+    frame, balance = match_rows(frame, params, id_col, treated, columns, learner)
+    return frame, columns, balance
+
+
 def run_estimation(
     design: DataFrame,
     params: FitParams = FitParams(),
@@ -109,14 +128,7 @@ def run_estimation(
     Every stage that is read again is written to the shared folder first, so a lost executor
     repeats one stage at most.
     """
-    # Spark ML reads a dot in a column name as a struct field
-    design = design.withColumnsRenamed({c: c.replace(".", "_") for c in design.columns if "." in c})
-    frame = select_rows(design, params, id_col, treated)
-    fixed = {id_col, treated, *OUTCOMES, *params.exclude_columns}
-    columns = [c for c in frame.columns if c not in fixed]
-    balance = None
-    if params.match:
-        frame, balance = match_rows(frame, params, id_col, treated, columns, learner)
+    frame, columns, balance = prepared(design, params, id_col, treated, learner)
     curve = K.aalen_johansen(frame, "event_time", "event_indicator", [treated])
 
     grid, targets = estimation_grid(frame, params)
@@ -136,7 +148,7 @@ def run_estimation(
     metrics = H.metric_panel(crossed, treated, *OUTCOMES, grid)
 
     propensity = Q.stacked_propensity(
-        frame, id_col, treated, columns, params.seed, settings=propensity_settings,
+        frame, id_col, treated, columns, params.seed, folds=params.n_folds_outer, settings=propensity_settings,
         calibration=params.propensity_calibration,
     )
     propensity = cut(propensity, "propensity")
@@ -146,7 +158,8 @@ def run_estimation(
     start = cut(T.targeting_frame(crossed, propensity, target, "event_time"), "targeting")
     done = T.tmle_update(start, target, params.max_updates)
     final = cut(done.frame, "targeted")
-    estimates = T.all_estimates(final, start, target)
+    estimates = cut(T.all_estimates(final, start, target), "estimates")
+    targeted = estimates.where(~F.col("g_comp"))
     continuous, binary = effect_heterogeneity(final, frame, target, columns, params)
     weights = T.nuisance_weights(final, target)
     return Estimated(
@@ -154,7 +167,9 @@ def run_estimation(
         metrics=metrics,
         auc_curves=H.auc_curves(crossed, treated, *OUTCOMES, grid),
         aalen_johansen=curve,
-        e_values=T.e_values(estimates.where((F.col("type") == "rr") & ~F.col("g_comp"))),
+        e_values=T.e_values(targeted.where(F.col("type") == "rr")),
+        difference_e_values=T.difference_e_values(targeted),
+        contours=T.both_contours(targeted, params.contour_strengths),
         nuisance_weights=exact_quantiles(
             weights, "weight", (0.01, 0.25, 0.5, 0.75, 0.99, 1.0), [treated, "target_time"]
         ),
@@ -184,20 +199,72 @@ def effect_heterogeneity(
     return continuous, binary
 
 
+def benchmark_rows(frame: DataFrame, params: FitParams) -> tuple[DataFrame, tuple[float, ...], tuple[float, ...]]:
+    """Rows with event times in quantile bins, the time grid, and the target times that the binned times reach."""
+    edges = [float(t) for t in K.grid_values(frame, "event_time", params.benchmark_bins)]
+    if not edges:
+        raise ValueError("the benchmark needs rows")
+    binned = cut(frame.withColumn("event_time", K.snap_below("event_time", edges)), "binned")
+    targets = tuple(float(t) for t in K.reachable_times(binned, "event_time", params.target_times))
+    if not targets:
+        raise ValueError("no target time lies inside the follow-up")
+    return binned, tuple(sorted({*edges, *targets})), targets
+
+
 def e_value_benchmark(
     design: DataFrame,
     params: FitParams,
-    covariates: Sequence[str],
+    covariates: Mapping[str, Sequence[str]] | Sequence[str],
     id_col: str = "patient_id",
     treated: str = "exposed",
-    **settings,
-) -> dict[str, DataFrame]:
-    """E-values of the full run (key '') and of runs that leave one covariate out each."""
-    runs = {"": design, **{c: design.drop(c) for c in covariates}}
-    return {
-        left_out: run_estimation(rows, params, id_col, treated, **settings).e_values
-        for left_out, rows in runs.items()
-    }
+    learner: str = "gbt",
+    score: Callable[[DataFrame, list[str]], DataFrame] | None = None,
+) -> DataFrame:
+    """E-values of the full run (``left_out`` is '') beside those of runs that leave one covariate out each.
+
+    A covariate is a column or, in a mapping, a name for several (its one-hot columns). ``change`` is what leaving it out does to the
+    estimate; for ratios, ``observed_e_value`` is the strength of a confounder that would do the same, the yardstick for
+    ``e_value``. Rows, matching, bins of the event time, folds and passes of the hazard fits are shared by all runs; only the
+    propensity, the targeting and the estimates are each run's own. ``score`` gives columns ``id_col`` and ``propensity`` (by
+    default the stacked score). Hazards are logistic, without tuning.
+    """
+    groups = dict(covariates) if isinstance(covariates, Mapping) else {c: [c] for c in covariates}
+    groups = {name: [c.replace(".", "_") for c in group] for name, group in groups.items()}
+    frame, columns, _ = prepared(design, params, id_col, treated, learner)
+    unknown = {c for group in groups.values() for c in group} - set(columns)
+    if unknown or "" in groups:
+        raise ValueError(f"not among the covariates: {', '.join(sorted(unknown)) or 'a name is empty'}")
+    rows, grid, targets = benchmark_rows(frame, params)
+    names = ["", *groups]
+    curves = H.cross_fit_without(
+        rows, id_col, columns, treated, *OUTCOMES, grid, list(groups.values()),
+        folds=params.n_folds_outer, params=params.hazard, seed=params.seed,
+    )
+    if score is None:
+        def score(data: DataFrame, used: list[str]) -> DataFrame:
+            return Q.stacked_propensity(
+                data, id_col, treated, used, params.seed, folds=params.n_folds_outer, calibration=params.propensity_calibration
+            )
+    target = T.Target(id_col, treated, "event_indicator", "propensity", grid, targets, bound=params.nuisance_bound)
+
+    def run(number: int) -> DataFrame:
+        used = [c for c in columns if c not in groups.get(names[number], ())]
+        propensity = cut(score(rows, used), "propensity")
+        start = cut(T.targeting_frame(curves[number], propensity, target, "event_time"), "targeting")
+        done = T.tmle_update(start, target, params.max_updates)
+        estimates = cut(T.estimates(T.influence_rows(done.frame, target)), "estimates")
+        found = T.both_e_values(estimates)
+        return found.withColumns({"left_out": F.lit(names[number]), "solved": F.lit(done.solved)})
+
+    runs = fit_together(design.sparkSession, run, range(len(names)))
+    table = cut(reduce(DataFrame.unionByName, runs), "benchmark")
+    keys = ["event", "target_time", "type"]
+    full = table.where(F.col("left_out") == "").select(*keys, F.col("estimate").alias("_full"))
+    joined = table.join(full, keys)
+    ratio = F.when((F.col("type") == "rr") & (F.col("left_out") != ""), F.col("estimate") / F.col("_full"))
+    return joined.withColumns(
+        {"change": F.col("estimate") - F.col("_full"), "observed_e_value": e_value(ratio)}
+    ).drop("_full")
 
 
 def write_results(result: Estimated, out: str) -> None:
@@ -208,6 +275,8 @@ def write_results(result: Estimated, out: str) -> None:
     tables = {
         "aalen_johansen": result.aalen_johansen,
         "e_values": result.e_values,
+        "difference_e_values": result.difference_e_values,
+        "contours": result.contours,
         "nuisance_weights": result.nuisance_weights,
         "propensity_calibration": result.propensity_calibration,
         "effects_continuous": result.effects_continuous,

@@ -13,7 +13,7 @@ from epispan.operators import sampling as P
 from epispan.operators import summaries as M
 from epispan.operators import tmle as T
 from epispan.params import FitParams, HazardParams
-from epispan.plans.estimation import select_rows
+from epispan.plans.estimation import benchmark_rows, e_value_benchmark, select_rows
 from epispan.registry.base import query
 from epispan.registry.sql import SEED, hashed
 from epispan.registry.statistic import FOLD, FOLLOWUP, followup
@@ -340,6 +340,67 @@ def _contours(spark, sf):
     )
 
 
+HIGHER = f"""{MOMENTS},
+arms AS (SELECT event, target_time, p1 - p0 AS estimate, (p1 - p0) - {T.Z_95} * rd_se AS lo, (p1 - p0) + {T.Z_95} * rd_se AS hi,
+  greatest(p1, p0) AS h, least(p1, p0) AS l, CASE WHEN p1 >= p0 THEN v1 ELSE v0 END / n AS vh, CASE WHEN p1 >= p0 THEN v0 ELSE v1 END / n AS vl,
+  c / n AS cov, p1, p0 FROM se)
+"""
+
+
+@query(
+    "difference_e_values",
+    "M19",
+    f"""WITH {HIGHER},
+    q AS (SELECT *, l * l - {T.Z_95**2} * vl AS qa, h * l - {T.Z_95**2} * cov AS qb, h * h - {T.Z_95**2} * vh AS qc FROM arms),
+    roots AS (SELECT *, (qb - sqrt(qb * qb - qa * qc)) / qa AS b FROM q)
+    SELECT event, target_time, round(estimate, 7) AS estimate, round(h / l + sqrt(h / l * (h / l - 1)), 6) AS e_value,
+      CASE WHEN lo <= 0 AND hi >= 0 THEN 1.0::DOUBLE ELSE round(b + sqrt(b * (b - 1)), 6) END AS e_value_limit FROM roots""",
+)
+def _difference_e_values(spark, sf):
+    out = T.difference_e_values(step_estimates(spark, sf))
+    digits = {"estimate": 7, "e_value": 6, "e_value_limit": 6}
+    return out.select("event", "target_time", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
+@query(
+    "contours_of_both",
+    "M19",
+    f"""WITH {HIGHER}, lv AS (SELECT unnest({list(FitParams().contour_strengths)}::DOUBLE[]) AS x),
+    g AS (SELECT *, a.x AS rr_exposure, b.x AS rr_outcome, a.x * b.x / (a.x + b.x - 1) AS f FROM arms, lv a, lv b)
+    SELECT 'rd' AS type, event, target_time, rr_exposure, rr_outcome, round(CASE WHEN p1 >= p0 THEN p1 / f - p0 ELSE p1 - p0 / f END, 7) AS adjusted FROM g
+    UNION ALL SELECT 'rr', event, target_time, rr_exposure, rr_outcome, round(CASE WHEN p1 >= p0 THEN p1 / p0 / f ELSE p1 / p0 * f END, 7) FROM g""",
+)
+def _both_contours(spark, sf):
+    out = T.both_contours(step_estimates(spark, sf), FitParams().contour_strengths)
+    return out.select("type", "event", "target_time", "rr_exposure", "rr_outcome", F.round("adjusted", 7).alias("adjusted"))
+
+
+@query(
+    "quantile_bins",
+    "A11 A10",
+    f"""WITH {FOLLOWUP}, e AS (SELECT list_distinct([sorted[CAST(floor(j * (len(sorted) - 1) / 21.0) AS INTEGER) + 1] for j in range(22)]) AS edges
+      FROM (SELECT list(event_time ORDER BY event_time) AS sorted FROM followup))
+    SELECT hospitalized, CAST(coalesce(list_max([x for x in edges if x < event_time]), list_min(edges)) AS DOUBLE) AS bin, count(*) AS n
+    FROM followup, e GROUP BY ALL""",
+)
+def _quantile_bins(spark, sf):
+    rows = followup(spark, sf).select("person_id", "hospitalized", "event_time")
+    binned, _, _ = benchmark_rows(rows, FitParams(target_times=(100,)))
+    return binned.groupBy("hospitalized", F.col("event_time").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("e_value_benchmark", "M19 A11 M17")
+def _e_value_benchmark(spark, sf):
+    """Every covariate left out in turn; the score is the logistic one, all else as by default."""
+    params = FitParams(exclude_columns=(), subset_condition=None, match=False, target_times=STEP_TARGETS)
+
+    def score(rows, used):
+        scored = Q.propensity_scores(rows, "person_id", "hospitalized", used, SEED, learner="logistic")
+        return scored.select("person_id", F.col("propensity_score").alias("propensity"))
+
+    return e_value_benchmark(fit_rows(spark, sf), params, COVARIATES, "person_id", "hospitalized", score=score)
+
+
 @query(
     "nuisance_weight_summary",
     "M20",
