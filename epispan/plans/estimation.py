@@ -25,6 +25,7 @@ from epispan.sources.sinks import write_estimates, write_metrics
 
 logger = logging.getLogger(__name__)
 OUTCOMES = ("event_time", "event_indicator")
+Score = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -115,6 +116,19 @@ def prepared(
     return frame, columns, balance
 
 
+def stacked_score(params: FitParams, id_col: str, treated: str, settings: dict[str, dict] | None = None) -> Score:
+    """The stacked propensity over as many folds as the outer ones."""
+
+    def score(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+        stacked = Q.stacked_propensity(
+            frame, id_col, treated, columns, params.seed, folds=params.n_folds_outer, settings=settings,
+            calibration=params.propensity_calibration,
+        )
+        return stacked.select(id_col, "propensity")
+
+    return score
+
+
 def run_estimation(
     design: DataFrame,
     params: FitParams = FitParams(),
@@ -122,9 +136,11 @@ def run_estimation(
     treated: str = "exposed",
     learner: str = "gbt",
     propensity_settings: dict[str, dict] | None = None,
+    score: Score | None = None,
 ) -> Estimated:
     """Doubly robust risks, ratios and differences for one design matrix, with diagnostics.
 
+    ``score`` gives columns ``id_col`` and ``propensity`` for the weights (by default the stacked score).
     Every stage that is read again is written to the shared folder first, so a lost executor
     repeats one stage at most.
     """
@@ -147,11 +163,8 @@ def run_estimation(
     )
     metrics = H.metric_panel(crossed, treated, *OUTCOMES, grid)
 
-    propensity = Q.stacked_propensity(
-        frame, id_col, treated, columns, params.seed, folds=params.n_folds_outer, settings=propensity_settings,
-        calibration=params.propensity_calibration,
-    )
-    propensity = cut(propensity, "propensity")
+    score = score or stacked_score(params, id_col, treated, propensity_settings)
+    propensity = cut(score(frame, columns).join(frame.select(id_col, treated), id_col), "propensity")
     target = T.Target(
         id_col, treated, "event_indicator", "propensity", grid, targets, bound=params.nuisance_bound
     )
@@ -218,7 +231,7 @@ def e_value_benchmark(
     id_col: str = "patient_id",
     treated: str = "exposed",
     learner: str = "gbt",
-    score: Callable[[DataFrame, list[str]], DataFrame] | None = None,
+    score: Score | None = None,
 ) -> DataFrame:
     """E-values of the full run (``left_out`` is '') beside those of runs that leave one covariate out each.
 
@@ -240,11 +253,7 @@ def e_value_benchmark(
         rows, id_col, columns, treated, *OUTCOMES, grid, list(groups.values()),
         folds=params.n_folds_outer, params=params.hazard, seed=params.seed,
     )
-    if score is None:
-        def score(data: DataFrame, used: list[str]) -> DataFrame:
-            return Q.stacked_propensity(
-                data, id_col, treated, used, params.seed, folds=params.n_folds_outer, calibration=params.propensity_calibration
-            )
+    score = score or stacked_score(params, id_col, treated)
     target = T.Target(id_col, treated, "event_indicator", "propensity", grid, targets, bound=params.nuisance_bound)
 
     def run(number: int) -> DataFrame:

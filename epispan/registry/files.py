@@ -11,6 +11,7 @@ from epispan.params import FitParams
 from epispan.plans import cohort as stage_one
 from epispan.plans import covariates as stage_two
 from epispan.plans import estimation as stage_three
+from epispan.plans import experiments as stages
 from epispan.registry.base import query
 from epispan.registry.cohort import C1, C2, C3
 from epispan.registry.covariate import (
@@ -311,3 +312,33 @@ def _stage_three(spark, sf):
         design, params, "person_id", "exposed", learner="logistic", propensity_settings=small
     )
     return result.estimates
+
+
+ASOF_ALL = ASOF_TAIL.replace("index_date GROUP BY ALL", "index_date WHERE value <> -1 GROUP BY ALL")
+ASOF_ALL = ASOF_ALL.replace("SELECT person_id", "SELECT experiment, person_id")
+ASOF_ALL = ASOF_ALL.replace("USING (person_id) GROUP BY person_id", "USING (experiment, person_id) GROUP BY experiment, person_id")
+FEATURES_ALL = FEATURES_TAIL.replace("SELECT co.person_id", "SELECT co.experiment, co.person_id")
+FEATURES_ALL = FEATURES_ALL.replace("GROUP BY co.person_id", "GROUP BY co.experiment, co.person_id")
+
+
+def all_designs(spark, sf):
+    cohorts_of_all = cut(designs.build_cohorts(S.person_dates(spark, sf), [C1, C2, C3], S.COLUMNS, S.PARAMS), "cohorts")
+    return stages.experiment_designs(cohorts_of_all, biobank(spark, sf), "person_id", drop=("pressure.1",))
+
+
+@query(
+    "experiment_designs",
+    "J16 J1 J3 J5 A3 A4 A5 P24",
+    f"""WITH {cohorts([C1, C2, C3])}, co AS (SELECT experiment, person_id, index_date FROM cohort), {ASOF_ALL}, {FEATURES_ALL}
+    SELECT c.experiment, c.person_id, c.exposed, c.index_date, c.event_time, c.event_indicator, round(c.age_at_index, 6) AS age_at_index,
+      l.bmi, l.pressure, l.education, CAST(c_nationkey % 2 AS DOUBLE) AS sex,
+      f.num_diagnoses, f.num_drugs, f.econ_early, f.promo_45, f.small_1, f.any_large
+    FROM cohort c JOIN latest l USING (experiment, person_id) JOIN features f USING (experiment, person_id)
+    JOIN customer ON c_custkey = person_id""",
+)
+def _experiment_designs(spark, sf):
+    rows = all_designs(spark, sf)
+    hot = [c for c in rows.columns if c.startswith("education_")]
+    # every person has one indicator or none, so the indicators give the level back
+    level = F.coalesce(*[F.when(Wd.quoted(c) == 1, F.lit(float(c.split("_")[1]))) for c in hot])
+    return rows.withColumns({"education": level, "age_at_index": F.round("age_at_index", 6)}).drop(*hot)
