@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from epispan.functions.stats import e_value
 from epispan.operators import curves as K
@@ -108,7 +109,7 @@ def prepared(
     # Spark ML reads a dot in a column name as a struct field
     design = design.withColumnsRenamed({c: c.replace(".", "_") for c in design.columns if "." in c})
     frame = select_rows(design, params, id_col, treated)
-    fixed = {id_col, treated, *OUTCOMES, *params.exclude_columns}
+    fixed = {id_col, treated, *OUTCOMES, *[c.replace(".", "_") for c in params.exclude_columns]}
     columns = [c for c in frame.columns if c not in fixed]
     if not params.match:
         return frame, columns, None
@@ -173,7 +174,8 @@ def run_estimation(
     final = cut(done.frame, "targeted")
     estimates = cut(T.all_estimates(final, start, target), "estimates")
     targeted = estimates.where(~F.col("g_comp"))
-    continuous, binary = effect_heterogeneity(final, frame, target, columns, params)
+    compared = [*columns, *excluded_covariates(frame, params, id_col, treated)]
+    continuous, binary = effect_heterogeneity(final, frame, target, compared, params)
     weights = T.nuisance_weights(final, target)
     return Estimated(
         estimates=estimates,
@@ -195,6 +197,14 @@ def run_estimation(
     )
 
 
+def excluded_covariates(frame: DataFrame, params: FitParams, id_col: str, treated: str) -> list[str]:
+    """Numeric and boolean columns that the models do not see; the effect groups are compared on them too."""
+    fixed = {id_col, treated, *OUTCOMES}
+    names = {c.replace(".", "_") for c in params.exclude_columns} - fixed
+    kinds = (NumericType, BooleanType)
+    return [f.name for f in frame.schema.fields if f.name in names and isinstance(f.dataType, kinds)]
+
+
 def effect_heterogeneity(
     targeted: DataFrame, frame: DataFrame, target: T.Target, columns: Sequence[str], params: FitParams
 ) -> tuple[DataFrame | None, DataFrame | None]:

@@ -10,9 +10,9 @@ from epispan.plans import experiments as stages
 from epispan.plans.estimation import run_estimation
 
 PARAMS = FitParams(
-    exclude_columns=(), subset_condition=None, match=False, tune=False, n_folds_outer=2, grid_size=6, target_times=(20, 40), max_updates=20
+    exclude_columns=("w", "seen"), subset_condition=None, match=False, tune=False, n_folds_outer=2, grid_size=6, target_times=(20, 40), max_updates=20
 )
-DDL = "experiment string, patient_id long, exposed boolean, event_time int, event_indicator int, x double, z double"
+DDL = "experiment string, patient_id long, exposed boolean, event_time int, event_indicator int, x double, z double, w double, seen date"
 
 
 def people(name, seed, longest, n=300):
@@ -21,7 +21,7 @@ def people(name, seed, longest, n=300):
     t1, t2 = rng.exponential(60 / np.exp(0.5 * x)), rng.exponential(120, n)
     last = np.minimum(np.minimum(t1, t2), rng.uniform(longest / 2, longest, n))
     code = np.where(t1 == last, 1, np.where(t2 == last, 2, 0))
-    return [(name, int(i), bool(e), int(t) + 1, int(c), float(u), float(v)) for i, (e, t, c, u, v) in enumerate(zip(exposed, last, code, x, z))]
+    return [(name, int(i), bool(e), int(t) + 1, int(c), float(u), float(v), float(i % 50), None) for i, (e, t, c, u, v) in enumerate(zip(exposed, last, code, x, z))]
 
 
 def score(rows, used):
@@ -43,6 +43,8 @@ def test_experiments_run_fail_and_resume(spark, tmp_path):
     alone = run_estimation(designs.where("experiment = 'a'").drop("experiment"), PARAMS, score=score)
     assert {r.experiment for r in got.collect()} == {"a"}
     assert found(got) == pytest.approx(found(alone.estimates), abs=1e-7)
+    # effect groups are compared on excluded numbers too
+    assert {r.covariate for r in alone.effects_continuous.collect()} == {"x", "w"}
     tables = [spark.read.parquet(f"{out}/tables/a/{t}").count() for t in ("e_values", "difference_e_values", "contours")]
     assert tables == [4, 4, 2 * 4 * len(PARAMS.contour_strengths) ** 2]
 
