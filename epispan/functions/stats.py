@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 LOGIT_GUARD = 1e-15
 SCORE_GUARD = 1e-10
@@ -67,82 +71,136 @@ def bias_factor(rr_exposure: Column, rr_outcome: Column) -> Column:
     return rr_exposure * rr_outcome / (rr_exposure + rr_outcome - 1)
 
 
-#: Terms of the fixed-length series and fractions below; enough for double precision where each is used.
+#: Terms of the series and the fraction of the error function; enough for double precision where each is used.
 FRACTION_TERMS = 400
 SERIES_TERMS = 60
 SHIFTS = 20
+#: Steps of the beta fraction at most, two terms each: about the root of the degrees of freedom is needed.
+BETA_STEPS = 2_000
+#: Values that are worked on at once.
+SLICE_VALUES = 1 << 14
 #: Above this many degrees of freedom the t distribution is read off the normal one after a correction.
 MANY_DF = 100_000.0
 #: The expansion of log(gamma(a + 1/2) / gamma(a)) - log(a) / 2 in odd powers of 1 / a.
 GAMMA_RATIO = (-1 / 8, 1 / 192, -1 / 640, 17 / 14336, -31 / 18432)
 
 
-def _terms(count: int, start: Column, step) -> Column:
-    """``start`` after ``step(value, k)`` for k from ``count`` down to 1."""
-    return F.aggregate(F.sequence(F.lit(count), F.lit(1), F.lit(-1)), start, step)
-
-
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once: lambdas name it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def erfc(z: Column) -> Column:
-    """Complementary error function for z >= 0, as a column: a series below 2, a continued fraction above."""
-
-    def near(x: Column) -> Column:
-        total = _terms(SERIES_TERMS, F.lit(1.0), lambda s, k: 1 + s * 2 * x * x / (2 * k + 1))
-        return 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * x * total
-
-    def far(x: Column) -> Column:
-        fraction = _terms(FRACTION_TERMS, F.lit(1.0), lambda s, k: 1 + k / (2 * x * x) / s)
-        return F.exp(-x * x) / (x * math.sqrt(math.pi)) / fraction
-
-    return _bound(z.cast("double"), lambda x: F.when(x < 2, near(x)).when(x.isNotNull(), far(x)))
-
-
-def log_gamma_ratio(a: Column) -> Column:
+def _erfc(z: np.ndarray) -> np.ndarray:
+    """Complementary error function for z >= 0: a series below 2, a continued fraction above."""
+    out = np.empty(len(z))
+    near = z < 2
+    x = z[near]
+    total = np.ones(len(x))
+    for k in range(SERIES_TERMS, 0, -1):
+        total = 1 + total * 2 * x * x / (2 * k + 1)
+    out[near] = 1 - 2 / math.sqrt(math.pi) * np.exp(-x * x) * x * total
+    x = z[~near]
+    total = np.ones(len(x))
+    for k in range(FRACTION_TERMS, 0, -1):
+        total = 1 + k / (2 * x * x) / total
+    out[~near] = np.exp(-x * x) / (x * math.sqrt(math.pi)) / total
+    return out
+
+
+def _log_gamma_ratio(a: np.ndarray) -> np.ndarray:
     """log(gamma(a + 1/2) / gamma(a)) for a > 0: shifted upwards, then expanded."""
-    shifted = _terms(SHIFTS, F.lit(0.0), lambda s, k: s + F.log((a + k - 1) / (a + k - 0.5)))
+    shifted = np.zeros(len(a))
+    for k in range(SHIFTS, 0, -1):
+        shifted += np.log((a + k - 1) / (a + k - 0.5))
     top = a + SHIFTS
-    series = F.lit(0.0)
-    for power, factor in enumerate(GAMMA_RATIO):
-        series = series + F.lit(factor) / F.pow(top, F.lit(2 * power + 1))
-    return F.log(top) / 2 + series + shifted
-
-
-def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
-    """1 / (1 + d1 / (1 + d2 / ...)), the fraction of the incomplete beta function, from its end."""
+    series = sum(factor / top ** (2 * power + 1) for power, factor in enumerate(GAMMA_RATIO))
+    return np.log(top) / 2 + series + shifted
+
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """1 / (1 + d1 / (1 + d2 / ...)), the fraction of the incomplete beta function, until it stands still.
+
+    Each value takes the steps that it needs, whatever others are worked on with it.
+    """
+    out = np.empty(len(x))
+    place = np.arange(len(x))
+    tiny, least = 1e-300, 4 * np.finfo(float).eps
+    c, d = np.ones(len(x)), 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    total = d.copy()
+    for m in range(1, BETA_STEPS + 1):
+        for term in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d, c = 1 + term * d, 1 + term / c
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            change = c * d
+            total = total * change
+        going = np.abs(change - 1) > least
+        if not going.all():
+            out[place[~going]] = total[~going]
+            place, a, b, x, c, d, total = (v[going] for v in (place, a, b, x, c, d, total))
+            if not len(place):
+                return out
+    out[place] = total
+    return out
+
+
+def _t_by_fraction(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    a, half, x = df / 2, np.full(len(df), 0.5), df / (df + t * t)
+    front = np.exp(_log_gamma_ratio(a) + a * np.log(x) + half * np.log(1 - x)) / math.sqrt(math.pi)
+    upper = x < (a + 1) / (a + 2.5)
+    first, second, share = np.where(upper, a, half), np.where(upper, half, a), np.where(upper, x, t * t / (df + t * t))
+    tail = front * _beta_fraction(first, second, share) / first
+    return np.where(t == 0, 1.0, np.where(upper, tail, 1 - tail))
+
+
+def _t_by_normal(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    return _erfc(np.abs(t) * (1 - 1 / (4 * df)) / np.sqrt(1 + t * t / (2 * df)) / math.sqrt(2))
+
+
+def _sliced(values: Callable[..., np.ndarray], *arrays: pa.Array) -> pa.Array:
+    """``values`` of slices of the arrays; null where any of them is null."""
+    columns = [a.to_numpy(zero_copy_only=False).astype(float) for a in arrays]
+    null = np.zeros(len(columns[0]), bool)
+    for a in arrays:
+        null |= a.is_null().to_numpy(zero_copy_only=False)
+    out = np.empty(len(null))
+    with np.errstate(all="ignore"):
+        for start in range(0, len(out), SLICE_VALUES):
+            out[start : start + SLICE_VALUES] = values(*[c[start : start + SLICE_VALUES] for c in columns])
+    return pa.array(out, pa.float64(), mask=null)
+
+
+def _t_values(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    out = np.full(len(t), np.nan)
+    fraction = (df > 0) & (df <= MANY_DF)
+    out[fraction] = _t_by_fraction(t[fraction], df[fraction])
+    normal = df > MANY_DF
+    out[normal] = _t_by_normal(t[normal], df[normal])
+    return out
+
+
+@F.arrow_udf(DoubleType())
+def _erfc_of(z: pa.Array) -> pa.Array:
+    return _sliced(_erfc, z)
+
+
+@F.arrow_udf(DoubleType())
+def _t_p_of(t: pa.Array, df: pa.Array) -> pa.Array:
+    return _sliced(_t_values, t, df)
 
-    def step(s: Column, k: Column) -> Column:
-        m = F.floor(k / 2)
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        return 1 + F.when(k % 2 == 1, odd).otherwise(even) / s
 
-    return 1 / _terms(FRACTION_TERMS, F.lit(1.0), step)
+def erfc(z: Column) -> Column:
+    """Complementary error function for z >= 0, as a column."""
+    return _erfc_of(z.cast("double"))
 
 
 def t_p_value(t: Column, df: Column) -> Column:
     """Two-sided p value of a t statistic as a column; null without statistic or without degrees of freedom."""
-
-    def by_fraction(s: Column) -> Column:
-        t, df = s["t"], s["df"]
-        a, half = df / 2, F.lit(0.5)
-        x = df / (df + t * t)
-        front = F.exp(log_gamma_ratio(a) + a * F.log(x) + half * F.log(F.lit(1.0) - x)) / math.sqrt(math.pi)
-        upper = front * _beta_fraction(a, half, x) / a
-        lower = 1 - front * _beta_fraction(half, a, t * t / (df + t * t)) / half
-        return F.when(t == 0, 1.0).when(x < (a + 1) / (a + 2.5), upper).otherwise(lower)
-
-    def by_normal(s: Column) -> Column:
-        t, df = s["t"], s["df"]
-        return erfc(F.abs(t) * (1 - 1 / (4 * df)) / F.sqrt(1 + t * t / (2 * df)) / math.sqrt(2))
-
     known = t.isNotNull() & ~F.isnan(t) & (df > 0)
-    pair = F.struct(t.cast("double").alias("t"), df.cast("double").alias("df"))
-    value = _bound(pair, lambda s: F.when(s["df"] > MANY_DF, by_normal(s)).otherwise(by_fraction(s)))
-    return F.when(known, value)
+    t, df = t.cast("double"), df.cast("double")
+    # up to MANY_DF a square of the statistic that is nothing or all beside them has no logarithm
+    x = F.try_divide(df, df + t * t)
+    measured = (t == 0) | (df > MANY_DF) | ((x > 0) & (x < 1))
+    return F.when(known & measured, _t_p_of(t, df))
 
 
 def chi2_p_value(x: Column) -> Column:
