@@ -35,7 +35,7 @@ ARMS = (0, 1)
 MAX_TOTAL_HAZARD = 0.999
 PERIOD_ROWS_PER_TASK = 5_000_000
 PERSONS_PER_TASK = 50_000
-CURVE_ROWS = 2048
+CURVE_ROWS = 8192
 ENDPOINTS = ("0", "1", "2", "all")
 METRIC_FAMILIES = ("c_harrel", "c_uno", "c_antolini", "auc_mean", "ibs")
 

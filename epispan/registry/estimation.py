@@ -17,7 +17,7 @@ from epispan.plans.estimation import benchmark_rows, e_value_benchmark, select_r
 from epispan.registry.base import query
 from epispan.registry.sql import SEED, hashed
 from epispan.registry.statistic import FOLD, FOLLOWUP, followup
-from epispan.session import cut
+from epispan.session import cut, spread
 
 GRID = tuple(range(0, 2401, 200))
 EVAL_TIMES = (400.0, 800.0, 1200.0, 1600.0)
@@ -659,7 +659,8 @@ def _hazards_boosted(spark, sf):
         params=HazardParams(learner="boosted"), seed=SEED, id_col="person_id",
     )
     keep = ["person_id", "hospitalized"]
-    return H.predict_hazards(model, rows, COVARIATES, "hospitalized", keep)
+    shared_out = spread(rows, rows.count(), H.PERSONS_PER_TASK)  # narrow rows lie in few files
+    return H.predict_hazards(model, shared_out, COVARIATES, "hospitalized", keep)
 
 
 @query("cross_fit", "M7 W10 P30")

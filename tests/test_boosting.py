@@ -1,5 +1,7 @@
 """Boosted competing risks: trees against plain walks, fits against curves without a model."""
 
+import time
+
 import numpy as np
 
 from epispan.operators import boosting
@@ -87,3 +89,39 @@ def test_chances_and_bins(spark):
     edges = boosting.bin_edges(frame, ["v"])
     assert edges == [[1.0]]
     assert boosting.bin_matrix(np.array([[1.0], [1.5], [np.nan]]), edges).ravel().tolist() == [1, 2, 0]
+
+
+def grown(rng, splits=7, features=3):
+    tree = boosting.Tree()
+    for _ in range(splits):
+        leaf = int(rng.choice([k for k, f in enumerate(tree.feature) if f < 0]))
+        tree.split(leaf, int(rng.integers(features)), int(rng.integers(1, 255)), bool(rng.integers(2)), 1.0, rng.normal(size=2))
+    return tree
+
+
+def walked(tree, row):
+    node = 0
+    while tree.feature[node] >= 0:
+        value = row[tree.feature[node]]
+        goes_left = tree.missing_left[node] if value == 0 else value <= tree.cut[node]
+        node = tree.left[node] + (not goes_left)
+    return node
+
+
+def test_leaves_equal_a_walk_per_row_and_a_tree_takes_few_passes_over_its_rows():
+    rng = np.random.default_rng(7)
+    bins = np.asfortranarray(rng.choice([0, *range(256)], (300, 3)).astype(np.uint8))
+    for splits in (0, 1, 7, 30):
+        tree = grown(rng, splits)
+        assert tree.leaves(bins).tolist() == [walked(tree, [int(v) for v in row]) for row in bins]
+    rows = np.asfortranarray(rng.integers(0, 256, (boosting.SLICE_ROWS, 3)).astype(np.uint8))
+    trees = [grown(rng) for _ in range(300)]
+
+    def seconds():
+        start = time.process_time()
+        for tree in trees:
+            tree.leaves(rows)
+        return time.process_time() - start
+
+    # a row and tree took about 80 ns when nodes were looked up row by row
+    assert min(seconds() for _ in range(3)) < 25e-9 * len(rows) * len(trees)
