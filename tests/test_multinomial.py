@@ -100,3 +100,30 @@ def test_searches_together_end_on_their_own():
     results = multinomial.together(searches, evaluate)
     assert all(converged and abs(point[0] - 3) < 1e-9 for point, _, converged in results)
     assert calls[0] == 2 and calls == sorted(calls, reverse=True)
+
+
+class Whole:
+    """Rows in the driver, with the number of passes over them."""
+
+    def __init__(self, rows):
+        self.rows, self.passes = rows, 0
+
+    def summed(self, measure, length):
+        self.passes += 1
+        return measure(self.rows)
+
+
+def test_features_of_large_numbers_take_few_passes_and_lead_to_the_same_curves():
+    rng = np.random.default_rng(4)
+    x = np.c_[rng.normal(size=4000), rng.random(4000) < 0.5].astype(float)
+    last, label = rng.integers(0, 13, 4000), rng.choice(4, 4000, p=(0.1, 0.4, 0.3, 0.2))
+    label[last < 12] = np.maximum(label[last < 12], 1)
+    fits = []
+    for size in (1.0, 23_000.0):  # an age in days
+        blocks = Whole(np.c_[last, label, x[:, :1] * size + size, x[:, 1:]])
+        fitted = multinomial.fit(blocks, 2, 13, 4, 1e-4)
+        assert fitted.converged and blocks.passes < 25  # up to 290 before
+        eta = np.einsum("cp,np->nc", fitted.by_feature, np.c_[x[:, :1] * size + size, x[:, 1:]])[:, :, None] + fitted.by_time
+        share = np.exp(eta - eta.max(axis=1, keepdims=True))
+        fits.append(share / share.sum(axis=1, keepdims=True))
+    assert np.abs(fits[0] - fits[1]).max() < 1e-8
