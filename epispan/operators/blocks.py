@@ -22,6 +22,20 @@ BLOCK_NUMBERS = 1 << 18
 DIRECT_PARTS = 32
 
 
+def matrix(lists: pa.Array) -> np.ndarray:
+    """The rows of a column of lists of one length as a matrix; a null entry is not a number."""
+    if lists.null_count:
+        raise ValueError("a row has no list")
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
+
+
+def lists(rows: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as a column of lists."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows, np.float64).ravel()))
+
+
 class Blocks:
     """Rows of numbers of one length, as blocks in the shared folder."""
 

@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
@@ -22,7 +23,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from epispan.operators import metrics as E
 from epispan.operators import boosting, multinomial
-from epispan.operators.blocks import Blocks
+from epispan.operators.blocks import Blocks, lists, matrix
 from epispan.operators.curves import censoring_curve
 from epispan.operators.propensity import MAX_TREE_DEPTH, feature_stages, numeric_features
 from epispan.operators.sampling import stratified_folds
@@ -92,9 +93,19 @@ def incidence(hazards: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def bounded(hazards: np.ndarray) -> np.ndarray:
     """Scale hazards of all causes down where their sum exceeds the limit."""
     total = hazards.sum(axis=-2, keepdims=True)
+    if not (total > MAX_TOTAL_HAZARD).any():
+        return hazards
     return hazards * np.where(total > MAX_TOTAL_HAZARD, MAX_TOTAL_HAZARD / np.maximum(total, 1e-300), 1.0)
 
 
+def bounded_hazards(x: np.ndarray, by_feature: np.ndarray, by_time: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hazards ``(persons, causes, times)`` and the hazard of leaving, from classes staying, each cause, and censoring."""
+    eta = (x @ by_feature.T)[:, :, None] + by_time[None]
+    share = np.exp(eta - eta.max(axis=1, keepdims=True))
+    haz = bounded((share / share.sum(axis=1, keepdims=True))[:, 1:-1, :])
+    return haz, share[:, -1] / (share[:, 0] + share[:, -1])
+
+
 @dataclass(frozen=True)
 class LogisticHazards:
     """One multinomial model of staying, each cause, and censoring, with one effect per grid time.
@@ -123,23 +134,19 @@ class LogisticHazards:
         treated_at, causes, kept = self.treated_at, self.causes, list(keep)
 
         def work(batches):
-            for pdf in batches:
-                if pdf.empty:
+            for batch in batches:
+                if not batch.num_rows:
                     continue
-                x = np.stack(pdf["_x"].to_numpy())
-                out = pdf[kept].copy()
+                x = matrix(batch.column("_x")).copy()
+                curves = []
                 for arm in ARMS:
                     x[:, treated_at] = arm
-                    eta = (x @ by_feature.T)[:, :, None] + by_time[None]
-                    share = np.exp(eta - eta.max(axis=1, keepdims=True))
-                    haz = bounded((share / share.sum(axis=1, keepdims=True))[:, 1:-1, :])
-                    leave = share[:, -1] / (share[:, 0] + share[:, -1])
-                    for k, cause in enumerate(causes):
-                        out[haz_name(cause, arm)] = list(haz[:, k, :])
-                    out[cens_name(arm)] = list(survival_from_hazard(leave))
-                yield out[[*kept, *names]]
+                    haz, leave = bounded_hazards(x, by_feature, by_time)
+                    curves.append(([lists(haz[:, k]) for k in range(len(causes))], lists(survival_from_hazard(leave))))
+                columns = [c for haz, _ in curves for c in haz] + [staying for _, staying in curves]
+                yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *columns], names=[*kept, *names])
 
-        return rows.mapInPandas(work, schema)
+        return rows.mapInArrow(work, schema)
 
 
 @dataclass(frozen=True)
@@ -508,18 +515,15 @@ def factual_curves(crossed: DataFrame, treated: str, keep: Sequence[str], causes
     kept, codes = list(keep), list(causes)
 
     def work(batches):
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            haz = np.stack([np.stack(pdf[f"_h{c}"].to_numpy()) for c in codes], axis=1)
+            haz = np.stack([matrix(batch.column(f"_h{c}")) for c in codes], axis=1)
             surv, cif = incidence(haz)
-            out = pdf[kept].copy()
-            out["pred_all"], out["pred_0"] = list(surv), list(pdf["_g"])
-            for k, c in enumerate(codes):
-                out[f"pred_{c}"] = list(1.0 - cif[:, k, :])
-            yield out[[*kept, *names]]
+            curves = [lists(surv), batch.column("_g"), *[lists(1.0 - cif[:, k, :]) for k in range(len(codes))]]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *curves], names=[*kept, *names])
 
-    return rows.mapInPandas(work, schema)
+    return rows.mapInArrow(work, schema)
 
 
 def _training_counts(frame: DataFrame, folds: Sequence[int]) -> DataFrame:

@@ -13,10 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epispan.functions import stats
+from epispan.operators.blocks import lists, matrix
 from epispan.operators.hazards import (
     ARMS,
     PERSONS_PER_TASK,
@@ -73,32 +75,39 @@ def targeting_frame(crossed: DataFrame, propensity: DataFrame, target: Target, t
 class Block:
     """Arrays of one batch of persons: axes person, arm, cause, time."""
 
-    def __init__(self, pdf: pd.DataFrame, target: Target):
+    def __init__(self, batch: pa.RecordBatch | pd.DataFrame, target: Target):
+        if isinstance(batch, pd.DataFrame):
+            batch = pa.RecordBatch.from_pandas(batch, preserve_index=False)
+
+        def numbers(name: str) -> np.ndarray:
+            return batch.column(name).to_numpy(zero_copy_only=False)
+
         self.target = target
-        per_arm = [
-            np.stack([np.stack(pdf[haz_name(c, a)].to_numpy()) for c in target.causes], axis=1)
-            for a in ARMS
-        ]
-        self.haz = np.stack(per_arm, axis=1).astype("float64")
-        cens = np.stack([np.stack(pdf[cens_name(a)].to_numpy()) for a in ARMS], axis=1)
-        p = pdf[target.propensity].to_numpy(dtype="float64")
+        per_arm = [np.stack([matrix(batch.column(haz_name(c, a))) for c in target.causes], axis=1) for a in ARMS]
+        self.haz = np.stack(per_arm, axis=1)
+        cens = np.stack([matrix(batch.column(cens_name(a))) for a in ARMS], axis=1)
+        p = numbers(target.propensity).astype("float64")
         floor = target.bound
         propensity = np.stack([1 - p, p], axis=1)
         self.weight = 1.0 / (
             np.maximum(propensity, floor)[:, :, None] * np.maximum(before(cens), floor)
         )
-        exposed = pdf[target.treated].to_numpy(dtype=bool)
+        exposed = numbers(target.treated).astype(bool)
         self.factual = np.stack([~exposed, exposed], axis=1)
-        own = pdf["own"].to_numpy()
+        own = numbers("own")
         steps = np.arange(self.haz.shape[-1])
-        self.at_risk = steps[None, :] <= own[:, None]
-        code = pdf[target.event].to_numpy()
-        self.jump = np.stack(
+        at_risk = steps[None, :] <= own[:, None]
+        code = numbers(target.event)
+        jump = np.stack(
             [(steps[None, :] == own[:, None]) & (code == c)[:, None] for c in target.causes], axis=1
         )
+        weight = self.weight * self.factual[:, :, None]
+        self.jump = jump[:, None] * weight[:, :, None, :]
+        self.at_risk = (at_risk[:, None] * weight)[:, :, None, :]
+        self.until = (steps[:, None] <= np.array(target.at)).astype("float64")
 
-    def moved(self, direction: np.ndarray, size: float) -> np.ndarray:
-        """Hazards after a step of the given size along the influence direction."""
+    def slope(self, direction: np.ndarray) -> np.ndarray:
+        """Rate at which the logarithms of the hazards move along the influence direction."""
         surv, cif = incidence(self.haz)
         alive = np.maximum(surv, MIN_SURVIVAL)
         reach = np.zeros((*direction.shape[:2], self.haz.shape[-1]))
@@ -107,32 +116,38 @@ class Block:
         later = np.cumsum(reach[:, :, ::-1], axis=-1)[:, :, ::-1]
         later_cif = np.cumsum((reach[None] * cif)[..., ::-1], axis=-1)[..., ::-1]
         drain = ((later_cif - cif * later[None]) / alive[:, :, None, :]).sum(axis=2, keepdims=True)
-        slope = self.weight[:, :, None, :] * (later[None] - drain)
+        return self.weight[:, :, None, :] * (later[None] - drain)
+
+    def moved(self, direction: np.ndarray, size: float) -> np.ndarray:
+        """Hazards after a step of the given size along the influence direction."""
+        return self.along(self.slope(direction), size)
+
+    def along(self, slope: np.ndarray, size: float) -> np.ndarray:
         return bounded(self.haz * np.exp(np.clip(size * slope, -20, 20)))
 
     def influence(self, haz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Martingale part and incidence at the target times: axes person, arm, cause, target."""
         surv, cif = incidence(haz)
         alive = np.maximum(surv, MIN_SURVIVAL)
-        gap = self.jump[:, None] - self.at_risk[:, None, None, :] * haz
-        gap = gap * (self.weight * self.factual[:, :, None])[:, :, None, :]
-        total = gap.sum(axis=2) / alive
-        at = self.target.at
-        own = np.cumsum(gap, axis=-1)[..., at]
-        drift = np.cumsum(total, axis=-1)[:, :, None, at]
-        offset = np.cumsum(cif * total[:, :, None, :], axis=-1)[..., at]
-        now = cif[..., at]
-        return own - now * drift + offset, now
+        gap = self.jump - self.at_risk * haz
+        total = (gap.sum(axis=2) / alive)[:, :, None, :]
+        now = cif[..., self.target.at]
+        return self.summed(gap) - now * self.summed(total) + self.summed(cif * total), now
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        """Sums up to every target time."""
+        sums = values.reshape(-1, values.shape[-1]) @ self.until
+        return sums.reshape(*values.shape[:-1], -1)
 
 
 def _blocks(batches, target: Target, steps: Sequence[tuple[np.ndarray, float]]):
-    for pdf in batches:
-        if pdf.empty:
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        block = Block(pdf, target)
+        block = Block(batch, target)
         for direction, size in steps:
             block.haz = block.moved(direction, size)
-        yield pdf, block
+        yield batch, block
 
 
 @dataclass(frozen=True)
@@ -185,22 +200,24 @@ def scores(
     def sums(batches):
         total = np.zeros((len(sizes), width))
         n = 0
-        for pdf, block in _blocks(batches, target, steps):
-            n += len(pdf)
+        for batch, block in _blocks(batches, target, steps):
+            persons = batch.num_rows
+            n += persons
+            slope = None if direction is None else block.slope(direction)
             for k, size in enumerate(sizes):
-                haz = block.haz if direction is None else block.moved(direction, size)
+                haz = block.haz if slope is None else block.along(slope, size)
                 m, f = block.influence(haz)
                 u = m + f
-                parts = [x.reshape(len(pdf), flat).sum(axis=0) for x in (m, f, u, u * u)]
-                by_arm = m.reshape(len(pdf), arms, each)
+                parts = [x.reshape(persons, flat).sum(axis=0) for x in (m, f, u, u * u)]
+                by_arm = m.reshape(persons, arms, each)
                 parts += [(by_arm[:, a].T @ by_arm[:, a]).ravel() for a in range(arms)]
                 total[k] += np.concatenate(parts)
         if n:
             for k in range(len(sizes)):
-                slots = pd.DataFrame({"slot": np.arange(width, dtype="int32"), "value": total[k]})
-                yield slots.assign(candidate=np.int32(k), n=float(n))[["candidate", "n", "slot", "value"]]
+                columns = [np.full(width, k, np.int32), np.full(width, float(n)), np.arange(width, dtype=np.int32), total[k]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["candidate", "n", "slot", "value"])
 
-    rows = frame.mapInPandas(sums, "candidate int, n double, slot int, value double")
+    rows = frame.mapInArrow(sums, "candidate int, n double, slot int, value double")
     table = rows.groupBy("candidate", "slot").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
     found = table.toPandas().sort_values(["candidate", "slot"])
     out = []
@@ -219,14 +236,11 @@ def moved_frame(frame: DataFrame, target: Target, steps: Sequence[tuple[np.ndarr
     names = frame.columns
 
     def work(batches):
-        for pdf, block in _blocks(batches, target, steps):
-            out = pdf.copy()
-            for a in ARMS:
-                for k, c in enumerate(target.causes):
-                    out[haz_name(c, a)] = list(block.haz[:, a, k, :])
-            yield out[names]
+        for batch, block in _blocks(batches, target, steps):
+            moved = {haz_name(c, a): lists(block.haz[:, a, k]) for a in ARMS for k, c in enumerate(target.causes)}
+            yield pa.RecordBatch.from_arrays([moved[c] if c in moved else batch.column(c) for c in names], names=names)
 
-    return frame.mapInPandas(work, frame.schema)
+    return frame.mapInArrow(work, frame.schema)
 
 
 @dataclass(frozen=True)
@@ -271,24 +285,17 @@ def influence_rows(frame: DataFrame, target: Target) -> DataFrame:
     schema = f"{target.id_col} {dict(frame.dtypes)[target.id_col]}, event int, target_time double, f1 double, f0 double, u1 double, u0 double"
 
     def work(batches):
-        for pdf, block in _blocks(batches, target, []):
+        for batch, block in _blocks(batches, target, []):
             m, f = block.influence(block.haz)
             u = m + f
             for k, cause in enumerate(target.causes):
                 for j, t in enumerate(target.times):
-                    yield pd.DataFrame(
-                        {
-                            target.id_col: pdf[target.id_col].to_numpy(),
-                            "event": np.int32(cause),
-                            "target_time": float(t),
-                            "f1": f[:, 1, k, j],
-                            "f0": f[:, 0, k, j],
-                            "u1": u[:, 1, k, j],
-                            "u0": u[:, 0, k, j],
-                        }
-                    )
+                    keys = [np.full(batch.num_rows, cause, np.int32), np.full(batch.num_rows, float(t))]
+                    values = [x[:, arm, k, j] for x in (f, u) for arm in (1, 0)]
+                    columns = [batch.column(target.id_col), *map(pa.array, keys + values)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[target.id_col, "event", "target_time", "f1", "f0", "u1", "u0"])
 
-    return frame.mapInPandas(work, schema)
+    return frame.mapInArrow(work, schema)
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -457,11 +464,10 @@ def nuisance_weights(frame: DataFrame, target: Target) -> DataFrame:
     schema = f"{target.id_col} {dict(frame.dtypes)[target.id_col]}, {target.treated} boolean, target_time double, weight double"
 
     def work(batches):
-        for pdf, block in _blocks(batches, target, []):
+        for batch, block in _blocks(batches, target, []):
             own = np.where(block.factual[:, 1, None], block.weight[:, 1], block.weight[:, 0])
             for t, at in zip(target.times, target.at):
-                out = pdf[names].copy()
-                out["target_time"], out["weight"] = float(t), own[:, at]
-                yield out
+                columns = [*map(batch.column, names), pa.array(np.full(len(own), float(t))), pa.array(own[:, at])]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "target_time", "weight"])
 
-    return frame.mapInPandas(work, schema)
+    return frame.mapInArrow(work, schema)
