@@ -7,7 +7,12 @@ are cut by two replacements; all other texts stay whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MARK = "\0"
 
@@ -21,14 +26,22 @@ ENTRY_BYTES = 200
 #: Bytes that the younger of the two generations of a table may take before it becomes the older one.
 KEPT_BYTES = 64 << 20
 #: Texts whose unknown pieces are encoded together.
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 1024
+
+
+def simple(text: str) -> bool:
+    return not any(odd in text for odd in ODD)
+
+
+def marked(texts: list[str]) -> list[str]:
+    """The texts with a mark before every space and around every line feed; a text stays whole if its white space is not that simple."""
+    ask = not simple("a".join(texts))  # the letter parts white space of neighbours
+    return [t if ask and not simple(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0") for t in texts]
 
 
 def pieces(text: str) -> list[str]:
     """The text cut before every space and around every line feed; whole if its white space is not that simple."""
-    if any(odd in text for odd in ODD):
-        return [text]
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split(MARK)
+    return marked([text])[0].split(MARK) if simple(text) else [text]
 
 
 class Kept:
@@ -43,13 +56,17 @@ class Kept:
     def clear(self) -> None:
         self.young, self.old, self.size = {}, {}, 0
 
-    def table(self, wanted: set[str]) -> dict[str, bytes]:
-        """A table that holds all wanted strings, the unknown ones found together. It is good until the next call."""
+    def table(self, wanted: Collection[str]) -> dict[str, bytes]:
+        """A table that holds all wanted strings, none of them named twice, the unknown ones found together. It is good until the next call.
+
+        The order is kept throughout: strings that were made one after the other lie side by side in memory.
+        """
         if self.size > self.most:
             self.young, self.old, self.size = {}, self.young, 0
-        missing = wanted.difference(self.young)
-        fresh = {s: self.old[s] for s in missing if s in self.old}
-        new = list(missing.difference(fresh))
+        young, old = self.young, self.old
+        missing = [s for s in wanted if s not in young]
+        fresh = {s: old[s] for s in missing if s in old}
+        new = [s for s in missing if s not in fresh]
         fresh.update(zip(new, self.find(new), strict=True))
         self.size += ENTRY_BYTES * len(fresh) + 2 * sum(map(len, fresh)) + sum(map(len, fresh.values()))
         self.young.update(fresh)
@@ -64,19 +81,38 @@ class PieceEncoder:
         self.known = Kept(self.encode_pieces, most)
 
     def encode_pieces(self, batch: list[str]) -> list[bytes]:
-        split = [self.split(piece) for piece in batch]
-        tokens = list(set().union(*split))
+        split = list(map(self.split, batch))
+        tokens = list(dict.fromkeys(chain.from_iterable(split)))
         find = dict(zip(tokens, self.encode_tokens(tokens), strict=True)).__getitem__
         return [find(own[0]) if len(own) == 1 else b"".join(map(find, own)) for own in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for start in range(0, len(texts), TEXTS_AT_ONCE):
-            cut = [pieces(text) for text in texts[start : start + TEXTS_AT_ONCE]]
-            find = self.known.table(set().union(*cut)).__getitem__
-            out += [b"".join(map(find, own)) for own in cut]
+            out += self.encode_together(texts[start : start + TEXTS_AT_ONCE])
         return out
 
+    def encode_together(self, texts: list[str]) -> list[bytes]:
+        """Every distinct piece of the texts is looked up once; its ids are put in its places column-wise."""
+        whole = [k for k, t in enumerate(texts) if MARK in t]  # a mark of its own is no cut
+        if not texts:
+            return []
+        if whole:
+            rest = iter(self.encode_together([t for t in texts if MARK not in t]))
+            find = self.known.table({texts[k] for k in whole}).__getitem__
+            kept = {k: find(texts[k]) for k in whole}
+            return [kept[k] if k in kept else next(rest) for k in range(len(texts))]
+        cut = pc.split_pattern(pa.array(marked(texts), pa.large_string()), MARK)
+        named = cut.flatten().dictionary_encode()
+        every = pa.ListArray.from_arrays(pa.array([0, len(named.dictionary)], pa.int32()), named.dictionary)
+        distinct = pc.binary_join(every, pa.scalar(MARK, pa.large_string()))[0].as_py().split(MARK)  # one string for all: Python makes them faster than Arrow
+        find = self.known.table(distinct).__getitem__
+        ids = pa.array(list(map(find, distinct)), pa.large_binary()).take(named.indices)
+        data = ids.buffers()[2]
+        data = memoryview(data) if data is not None else memoryview(b"")
+        starts = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][cut.offsets.to_numpy()].tolist()
+        return [bytes(data[a:b]) for a, b in zip(starts, starts[1:])]
+
 
 #: Marks that are a pre-token of their own after a word.
 MARKS = frozenset(".,;:!?")

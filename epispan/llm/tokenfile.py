@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import codecs
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epispan.llm.common import Batches, emptied, record, texts
-from epispan.llm.pretokens import PieceEncoder, simple_tokens
+from epispan.llm.pretokens import MARK, PieceEncoder
 from epispan.session import cut, scratch_path
 
 END_ID = 2
 BLOCK_IDS = 2**18
 IDS_PER_SHARD = 2**24
+#: Bytes of texts that are encoded together.
+GROUP_BYTES = 4 << 20
 
 IDS_DDL = "doc_id bigint, ids binary"
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -82,7 +85,10 @@ def byte_letters() -> str:
 
 
 BYTE_LETTERS = byte_letters()
-SPACE_LETTER = BYTE_LETTERS[ord(" ")]
+MARK_LETTER = BYTE_LETTERS[ord(MARK)]
+
+#: Signs that are one pre-token where they follow a word in a row. The apostrophe is none of them, since it may begin an ending.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
@@ -106,17 +112,18 @@ class Encoder:
         self.id_bytes = [np.array(k, self.dtype).tobytes() for k in range(self.tokenizer.get_vocab_size())]
 
     def split(self, piece: str) -> list[str]:
-        """Pre-tokens in the letters of the vocabulary."""
-        simple = simple_tokens(piece)
-        if simple:
-            if piece.isascii():  # letters and marks stand for themselves
-                return [t.replace(" ", SPACE_LETTER) for t in simple]
-            return [codecs.charmap_decode(t.encode(), "strict", BYTE_LETTERS)[0] for t in simple]
-        return [token for token, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
+        """Pre-tokens: as they stand in the text if the piece is a word and signs, else in the letters of the vocabulary after a mark."""
+        word = piece.rstrip(SIGNS)
+        if word and (word[1:] if word[0] == " " else word).isalpha():
+            return [piece] if len(word) == len(piece) else [word, piece[len(word) :]]
+        return [MARK + token for token, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
 
     def encode_tokens(self, tokens: list[str]) -> list[bytes]:
+        """Ids of pre-tokens; the bytes of all those that stand as in the text become letters in one call."""
+        plain = [t for t in tokens if t[0] != MARK]
+        lettered = iter(codecs.charmap_decode(MARK.join(plain).encode(), "strict", BYTE_LETTERS)[0].split(MARK_LETTER))
         tokenize, own = self.tokenizer.model.tokenize, self.id_bytes
-        return [b"".join([own[t.id] for t in tokenize(token)]) for token in tokens]
+        return [b"".join([own[t.id] for t in tokenize(token[1:] if token[0] == MARK else next(lettered))]) for token in tokens]
 
     def encode(self, batch: list[str], end_id: int) -> list[bytes]:
         end = np.array([end_id], self.dtype).tobytes()
@@ -146,13 +153,29 @@ def default_definition() -> str:
         return file.read()
 
 
+def grouped(batches: Batches, size: int = GROUP_BYTES) -> Iterator[list[pa.RecordBatch]]:
+    """Neighbouring batches of about ``size`` bytes together, so that a piece is looked up once for all of them."""
+    group, held = [], 0
+    for batch in batches:
+        group.append(batch)
+        held += batch.nbytes
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 def token_ids(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, ids)`` of whole texts, the end id last; 16-bit ids if the vocabulary allows, else 32-bit."""
     shared = docs.sparkSession.sparkContext.broadcast(definition)
 
     def work(batches: Batches) -> Batches:
-        for batch in batches:
-            yield record(IDS, batch.column("doc_id"), encoder(shared).encode(texts(batch), end_id))
+        for group in grouped(batches):
+            encoded = encoder(shared).encode([t for batch in group for t in texts(batch)], end_id)
+            for batch in group:
+                yield record(IDS, batch.column("doc_id"), encoded[: batch.num_rows])
+                del encoded[: batch.num_rows]
 
     def whole_task(batches: Batches) -> Batches:
         return emptied(work(batches), encoder(shared).pieces.known)
