@@ -30,10 +30,15 @@ def matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
+def nullable(values: np.ndarray) -> pa.Array:
+    """A column in which what is not a number is null, so that sums and quantiles pass over it."""
+    return pa.array(values, from_pandas=True)
+
+
 def lists(rows: np.ndarray) -> pa.ListArray:
     """The rows of a matrix as a column of lists."""
     offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows, np.float64).ravel()))
+    return pa.ListArray.from_arrays(pa.array(offsets), nullable(np.ascontiguousarray(rows, np.float64).ravel()))
 
 
 class Blocks:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epispan.functions import stats
-from epispan.operators.blocks import lists, matrix
+from epispan.operators.blocks import lists, matrix, nullable
 from epispan.operators.hazards import (
     ARMS,
     PERSONS_PER_TASK,
@@ -215,7 +215,7 @@ def scores(
         if n:
             for k in range(len(sizes)):
                 columns = [np.full(width, k, np.int32), np.full(width, float(n)), np.arange(width, dtype=np.int32), total[k]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["candidate", "n", "slot", "value"])
+                yield pa.RecordBatch.from_arrays([*map(nullable, columns)], names=["candidate", "n", "slot", "value"])
 
     rows = frame.mapInArrow(sums, "candidate int, n double, slot int, value double")
     table = rows.groupBy("candidate", "slot").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
@@ -292,7 +292,7 @@ def influence_rows(frame: DataFrame, target: Target) -> DataFrame:
                 for j, t in enumerate(target.times):
                     keys = [np.full(batch.num_rows, cause, np.int32), np.full(batch.num_rows, float(t))]
                     values = [x[:, arm, k, j] for x in (f, u) for arm in (1, 0)]
-                    columns = [batch.column(target.id_col), *map(pa.array, keys + values)]
+                    columns = [batch.column(target.id_col), *map(nullable, keys + values)]
                     yield pa.RecordBatch.from_arrays(columns, names=[target.id_col, "event", "target_time", "f1", "f0", "u1", "u0"])
 
     return frame.mapInArrow(work, schema)
@@ -467,7 +467,7 @@ def nuisance_weights(frame: DataFrame, target: Target) -> DataFrame:
         for batch, block in _blocks(batches, target, []):
             own = np.where(block.factual[:, 1, None], block.weight[:, 1], block.weight[:, 0])
             for t, at in zip(target.times, target.at):
-                columns = [*map(batch.column, names), pa.array(np.full(len(own), float(t))), pa.array(own[:, at])]
+                columns = [*map(batch.column, names), nullable(np.full(len(own), float(t))), nullable(own[:, at])]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "target_time", "weight"])
 
     return frame.mapInArrow(work, schema)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from epispan.operators.blocks import lists, matrix
+from epispan.operators.blocks import lists, matrix, nullable
 from epispan.operators.multinomial import period_sums
 
 
@@ -60,3 +60,8 @@ def test_curves_are_read_and_written_as_whole_columns():
     assert np.isnan(matrix(pa.array([[1.0, None]]))[0, 1])
     with pytest.raises(ValueError, match="no list"):
         matrix(pa.array([[1.0], None]))
+
+
+def test_what_is_not_a_number_is_null():
+    assert nullable(np.array([1.0, np.nan])).to_pylist() == [1.0, None]
+    assert lists(np.array([[1.0, np.nan]])).to_pylist() == [[1.0, None]]
